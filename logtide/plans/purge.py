@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtide.operators.links import clear_links, dangling, orphans, purge_orphans, purge_unreferenced, unreferenced
-from logtide.operators.retention import partition_class, purge_expired, removed_rows
+from logtide.operators.retention import purge_expired, removed_rows
 from logtide.functions.times import kept
 from logtide.operators.stats import union_all
 from logtide.specs import REFERENCED_TABLES
@@ -99,16 +100,28 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
     return Purge(left, audits, True)
 
 
+def month_class(month: dt.date, cutoff: int) -> str:
+    """`partition_class` for one month on the driver."""
+    epoch = dt.date(1970, 1, 1)
+    following = (month.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+    first, last = (month - epoch).days * 86_400, (following - epoch).days * 86_400
+    if first < 0 or first >= cutoff:
+        return "keep"
+    return "drop" if last <= cutoff else "rewrite"
+
+
 def retain_partitions(spark: SparkSession, table: str, month: str, time: str, cutoff: int, staging: str) -> dict[str, list]:
     """Apply a cutoff to a catalog table partitioned by month (the first day, as `date`).
 
     Months wholly older are dropped without reading them; only the month of the cutoff is rewritten,
     through a staging folder because a table cannot overwrite what it reads. Running it again is safe.
     """
-    months = spark.table(table).select(month).distinct()
-    classed = months.withColumn("action", partition_class(F.col(month), cutoff)).collect()
-    drop = sorted(r[0] for r in classed if r["action"] == "drop")
-    rewrite = sorted(r[0] for r in classed if r["action"] == "rewrite")
+    # The catalog's list of partitions; no file is opened to choose
+    listed = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    classes = {dt.date.fromisoformat(m): month_class(dt.date.fromisoformat(m), cutoff)
+               for m in listed if not m.startswith("__")}
+    drop = sorted(m for m, action in classes.items() if action == "drop")
+    rewrite = sorted(m for m, action in classes.items() if action == "rewrite")
     if rewrite:
         source = spark.table(table)
         rows = source.filter(F.col(month).isin(*rewrite)).filter(kept(source, time, cutoff))
