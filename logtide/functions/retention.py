@@ -35,8 +35,8 @@ def _seconds(amount: Column, unit: Column) -> Column:
     factor = F.lit(None).cast("decimal(8,0)")
     for name, seconds in UNIT_SECONDS.items():
         factor = F.when(unit == name, F.lit(seconds).cast("decimal(8,0)")).otherwise(factor)
-    return F.when(whole > 12, F.lit(MAXIMUM_SECONDS).cast("decimal(38,16)")).otherwise(
-        (exact * factor).cast("decimal(38,16)"))
+    return F.when(whole > 12, F.lit(MAXIMUM_SECONDS).cast("decimal(36,16)")).otherwise(
+        (exact * factor).cast("decimal(36,16)"))
 
 
 def retention(text: Column) -> Column:
@@ -50,9 +50,9 @@ def retention(text: Column) -> Column:
     parts = F.arrays_zip(F.regexp_extract_all(bare, F.lit(_PART), 1).alias("amount"),
                          F.regexp_extract_all(bare, F.lit(_PART), 2).alias("unit"))
     total = F.aggregate(
-        parts, F.lit(0).cast("decimal(38,16)"),
+        parts, F.lit(0).cast("decimal(36,16)"),
         lambda sum, part: F.least(sum + _seconds(part["amount"], part["unit"]),
-                                  F.lit(MAXIMUM_SECONDS).cast("decimal(38,16)")).cast("decimal(38,16)"))
+                                  F.lit(MAXIMUM_SECONDS).cast("decimal(36,16)")).cast("decimal(36,16)"))
     seconds = F.when(valid & ~off, F.ceil(total).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     problem = (F.when(off, F.lit(None)).when(~valid, "not a retention time")
                .when(seconds < MINIMUM_SECONDS, "below the minimum"))

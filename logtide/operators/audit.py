@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logtide.functions.choice import first_of
 from logtide.functions.texts import abbreviate, header
 from logtide.functions.urls import hosts_in
 
@@ -106,11 +107,11 @@ def apply_allowances(findings: DataFrame, allowances: list[Allowance]) -> DataFr
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     once = findings.groupBy("rule", "site", "detail").agg(F.min(rank).alias("rank"))
-    reason = None
-    for a in allowances:
+    def covers(a: Allowance) -> Column:
         site = F.col("site").startswith(a.site[:-1]) if a.site.endswith("*") else F.col("site") == a.site
-        reason = (reason or F).when((F.col("rule") == a.rule) & site, a.reason)
-    reason = F.lit(None).cast("string") if reason is None else reason
+        return (F.col("rule") == a.rule) & site
+
+    reason = first_of([(covers(a), F.lit(a.reason)) for a in allowances], F.lit(None).cast("string"))
     severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("rank").cast("int"))
     return once.withColumn("reason", reason).select(
         F.when(F.col("reason").isNotNull(), "INFO").otherwise(severity).alias("severity"), "rule", "site",

@@ -30,9 +30,15 @@ def json_string_entries(df: DataFrame, id: str, json: str) -> tuple[DataFrame, D
 
     Members of other types are skipped.
     """
-    # A variant keeps member types; parsing the text as an array or scalar leaves no object to read
-    parsed = df.select(F.col(id), F.col(json).alias("json"), F.try_parse_json(F.col(json)).alias("v"))
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    # The parser stops after one value. Read the text inside an array, before a mark no text can
+    # contain, its own hash: only a text that is one whole value leaves the mark second of two.
+    mark = F.md5(F.col(json).cast("binary"))
+    framed = F.try_parse_json(F.concat(F.lit("["), F.col(json), F.lit(',"'), mark, F.lit('"]')))
+    parsed = (df.select(F.col(id), F.col(json).alias("json"), mark.alias("mark"), framed.alias("framed"))
+              .select(id, "json", F.try_variant_get("framed", "$[0]", "variant").alias("v"),
+                      (F.try_variant_get("framed", "$[1]", "string").eqNullSafe(F.col("mark"))
+                       & F.try_variant_get("framed", "$[2]", "variant").isNull()).alias("whole")))
+    is_object = F.col("whole") & F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     rejects = parsed.filter(~is_object).select(id, "json")
     members = parsed.filter(is_object).select(id, F.explode(F.col("v").cast("map<string,variant>")).alias("name", "value"))
     entries = (members.filter(F.schema_of_variant("value") == "STRING")

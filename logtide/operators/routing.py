@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logtide.functions.choice import first_of
 from logtide.functions.patterns import anchored, group_numbers, took_part
 from logtide.functions.urls import normalize_url, url_parts
 
@@ -53,12 +54,8 @@ def route_column(url: Column, routes: list[Route], default: str) -> Column:
         return F.struct(F.lit(pattern).alias("pattern"), F.lit(action).alias("action"),
                         F.lit(target).cast("string").alias("target"), F.lit(is_default).alias("is_default"))
 
-    chosen = None
-    for r in routes:
-        step = (chosen or F).when(_match(url, r), decision(r.pattern, r.action, r.target, False))
-        chosen = step
-    last = decision(".*", default, None, True)
-    return last if chosen is None else chosen.otherwise(last)
+    return first_of([(_match(url, r), decision(r.pattern, r.action, r.target, False)) for r in routes],
+                    decision(".*", default, None, True))
 
 
 def route(df: DataFrame, url: str, routes: list[Route], default: str = "BLOCK") -> DataFrame:
@@ -89,12 +86,9 @@ def redirect(df: DataFrame, url: str, routes: list[Route], default: str = "BLOCK
     """`route`, plus `location`: where a REDIRECT leads, null for other actions or a missing target."""
     routed = route(df, url, routes, default)
     at = F.col("normalized")
-    location = None
-    for r in routes:
-        value = _substituted(at, r) if r.action == "REDIRECT" and r.target else F.lit(None).cast("string")
-        location = (location or F).when(_match(at, r), value)
-    location = F.lit(None).cast("string") if location is None else location
-    return routed.withColumn("location", location)
+    nowhere = F.lit(None).cast("string")
+    return routed.withColumn("location", first_of(
+        [(_match(at, r), _substituted(at, r) if r.action == "REDIRECT" and r.target else nowhere) for r in routes], nowhere))
 
 
 def route_summary(df: DataFrame, url: str, policies: dict[str, tuple[list[Route], str]]) -> DataFrame:

@@ -87,14 +87,14 @@ def documents_as_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("phrase_uncustomized", r"""
-    SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN source = 'src2' THEN '  ' ELSE upper(text) END AS text
-    FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang <> 'es' AND source <> 'src2' AND length(trim(upper(text))) > 0""")
+    SELECT CAST(doc_id AS VARCHAR) AS name, text || '?' AS text
+    FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang <> 'es' AND source <> 'src2'""")
 def _(spark, folder):
     docs = table(spark, folder, "documents").withColumn("name", F.col("doc_id").cast("string"))
     sent = docs.select("name", F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     good = table(spark, folder, "labels").filter(F.col("quality") == 1).select("doc_id")
     defaults = docs.join(good, "doc_id", "left_semi").select("name", "text")
-    translations = docs.select("name", F.when(F.col("source") == "src2", "  ").otherwise(F.upper("text")).alias("text"))
+    translations = docs.select("name", F.when(F.col("source") == "src2", "  ").otherwise(F.concat("text", F.lit("?"))).alias("text"))
     return uncustomized(sent, translations, defaults)
 
 
@@ -217,7 +217,7 @@ def releases(spark: SparkSession, folder: str) -> DataFrame:
 LISTED = f"""{VERSIONS}, l AS (SELECT 'source ' || substr(p_brand, 7, 1) AS source, CAST(substr(p_brand, 7, 1) AS INTEGER) AS priority, *
         FROM v WHERE p_type NOT IN ('LARGE', 'PROMO', 'SMALL') AND p_brand <> 'Brand#12' AND p_size <= 48 AND p_size <> 47),
     n AS (SELECT source, priority, version FROM (SELECT *, row_number() OVER (PARTITION BY source
-        ORDER BY p1 DESC, p2 DESC, revision DESC, version DESC) AS at FROM l) WHERE at = 1)"""
+        ORDER BY p1 DESC, p2 DESC, revision DESC, version DESC) AS k FROM l) WHERE k = 1)"""
 
 
 @query("newest_release", f"WITH {LISTED} SELECT * FROM n")
@@ -284,22 +284,22 @@ def _(spark, folder):
 
 def observed_parts(spark, folder) -> DataFrame:
     parts = table(spark, folder, "part")
-    return parts.select("p_partkey", "p_size", F.explode(F.array(
-        F.struct(F.lit("brand").alias("field"), F.col("p_brand").alias("entry")),
-        F.struct(F.lit("name").alias("field"), F.col("p_name").alias("entry")))).alias("e")).select("p_partkey", "p_size", "e.field", "e.entry")
+    return parts.select("p_type", F.explode(F.array(
+        F.struct(F.lit("brand").alias("field"), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("entry")),
+        F.struct(F.lit("name").alias("field"), F.col("p_name").alias("entry")))).alias("e")).select("p_type", "e.field", "e.entry")
 
 
-DRIFT = """o AS (SELECT 'brand' AS field, p_brand AS entry, p_size FROM part UNION ALL SELECT 'name', p_name, p_size FROM part),
-    now AS (SELECT DISTINCT field, entry FROM o WHERE p_size > 3), base AS (SELECT DISTINCT field, entry FROM o WHERE p_size < 8 OR p_size > 46)"""
+DRIFT = """o AS (SELECT 'brand' AS field, p_brand || '/' || p_size AS entry, p_type FROM part UNION ALL SELECT 'name', p_name, p_type FROM part),
+    now AS (SELECT DISTINCT field, entry FROM o WHERE p_type <> 'PROMO'), base AS (SELECT DISTINCT field, entry FROM o WHERE p_type IN ('PROMO', 'SMALL'))"""
 
 
 @query("inventory_drift", f"""WITH {DRIFT} SELECT 'REVIEW' AS severity, field, entry, 'new' AS change FROM (SELECT * FROM now EXCEPT SELECT * FROM base)
     UNION ALL SELECT 'INFO', field, entry, 'no longer present' FROM (SELECT * FROM base EXCEPT SELECT * FROM now)""")
 def _(spark, folder):
     parts = observed_parts(spark, folder)
-    baseline = parts.filter((F.col("p_size") < 8) | (F.col("p_size") > 46)).select(
-        F.when(F.col("p_size") < 8, "release").otherwise("development").alias("line"), "field", "entry")
-    return inventory_drift(parts.filter(F.col("p_size") > 3), baseline)
+    baseline = parts.filter(F.col("p_type").isin("PROMO", "SMALL")).select(
+        F.when(F.col("p_type") == "SMALL", "release").otherwise("development").alias("line"), "field", "entry")
+    return inventory_drift(parts.filter(F.col("p_type") != "PROMO"), baseline)
 
 
 KEYED = """obs AS (SELECT DISTINCT s_nationkey || '=' || CAST(s_suppkey // 50 AS VARCHAR) AS key, CAST(s_acctbal > 0 AS VARCHAR) AS value FROM supplier WHERE s_acctbal < 9000),

@@ -68,8 +68,8 @@ def _(spark, folder):
 
 
 @query("reject_report", """SELECT count(*) AS rejected, array_to_string(list_sort(list('documents.text of row ' || doc_id || ' (too long)')
-        FILTER (WHERE at <= 5)), '; ') AS examples
-    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS at FROM documents WHERE length(text) > 3000)""")
+        FILTER (WHERE k <= 5)), '; ') AS examples
+    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE length(text) > 3000)""")
 def _(spark, folder):
     return reject_report(encode(table(spark, folder, "documents"), "doc_id", {"text": hex_codec()}, "documents", "keep")[1])
 

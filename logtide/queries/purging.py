@@ -56,10 +56,10 @@ def policies(spark: SparkSession) -> DataFrame:
 
 @query("purge_by_policy", f"""
     SELECT event_id, event_type FROM (
-        SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS at, CASE event_type
+        SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE event_type
             WHEN 'click' THEN {NOW} - 2592000 WHEN 'error' THEN {NOW} - 2635200
             WHEN 'purchase' THEN {NOW} - 2593800 END AS cutoff FROM events)
-    WHERE cutoff IS NULL OR at < 0 OR at >= cutoff""")
+    WHERE cutoff IS NULL OR t < 0 OR t >= cutoff""")
 def _(spark, folder):
     events = table(spark, folder, "events")
     return purge_by_policy(events, "event_type", "ts", policies(spark), NOW).select("event_id", "event_type")

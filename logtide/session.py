@@ -15,6 +15,8 @@ SETTINGS = {
     # Split a skewed side even if that costs a shuffle further up the plan.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A JSON object may repeat a name; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
