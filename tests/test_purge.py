@@ -186,7 +186,7 @@ def test_partitions_are_dropped_and_one_rewritten(spark, tmp_path, ids):
     cutoff = int(dt.datetime(2024, 2, 10, tzinfo=dt.timezone.utc).timestamp())
     rows = spark.range(120).select(F.col("id").alias("rowid"), (F.lit(1_704_067_200) + F.col("id") * DAY).alias("time"))
     rows = rows.withColumn("month", F.trunc(F.timestamp_seconds("time").cast("date"), "MM"))
-    spark.sql("CREATE DATABASE IF NOT EXISTS purge_test")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS purge_test LOCATION '{tmp_path}'")
     rows.write.partitionBy("month").format("parquet").option("path", str(tmp_path / "log")).mode("overwrite").saveAsTable("purge_test.log")
     try:
         want = [i for i in range(120) if 1_704_067_200 + i * DAY >= cutoff]
