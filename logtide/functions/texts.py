@@ -8,8 +8,11 @@ from pyspark.sql import Column, functions as F
 YEARS = ("(?i)((?:copyright|\\(c\\)|©)(?:\\s*(?:\\(c\\)|©))?[\\s:]*)"
          "(?:19|20)\\d\\d(?:\\s*[-–,]\\s*(?:19|20)\\d\\d)*\\b")
 
+_LINE_ENDS = "\r\u0085\u2028\u2029"
+_MARKERS = " \t\n\x0b\f\r*/"
 _BLANK = r"[\s﻿]*+"
-_COMMENT = r"(?://[^\n\r]*+|/\*(?s:.*?)(?:\*/|\z))"
+# Possessive throughout: Java then loops instead of recursing, however long a comment is
+_COMMENT = r"(?://[^\n\r]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z))"
 _STATEMENT = r"(?:package|import)(?![A-Za-z0-9_$])[^;]*+;"
 
 
@@ -29,13 +32,11 @@ def header(source: Column) -> Column:
     what follows. Markers go, blanks collapse, and the years of copyright notices become `#`.
     """
     # A stretch of comments, then a statement, repeated; or, without statements, comments alone
-    stated = F.regexp_extract(source, rf"\A((?:(?:{_BLANK}{_COMMENT})*+{_BLANK}{_STATEMENT})+)", 1)
-    opening = F.regexp_extract(source, rf"\A((?:{_BLANK}{_COMMENT})+)", 1)
-    region = F.when(stated != "", stated).otherwise(opening)
+    region = F.regexp_extract(source, rf"\A((?:(?:{_BLANK}{_COMMENT})*+{_BLANK}{_STATEMENT})+|(?:{_BLANK}{_COMMENT})+)", 1)
     comments = F.regexp_extract_all(region, F.lit(rf"({_COMMENT})|{_STATEMENT}"), 1)
-    # The slashes and stars of the comment itself are markers too, stripped with the others
-    bodies = F.transform(F.filter(comments, lambda c: c != ""), lambda c: F.regexp_replace(
-        c, r"\A//|\A/\*|\*/\z", ""))
-    text = F.regexp_replace(F.array_join(bodies, "\n"), r"(?m)^[\s*/]+|[\s*/]+$", " ")
-    text = F.regexp_replace(text, YEARS, "$1#")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    # What opens and closes a comment are slashes and stars at the edge of a line like any other marker
+    lines = F.split(F.translate(F.array_join(comments, "\n"), _LINE_ENDS, "\n" * len(_LINE_ENDS)), "\n")
+    text = F.array_join(F.transform(lines, lambda line: F.trim(line, F.lit(_MARKERS))), " ")
+    # The look-ahead only spares the engine the positions where no notice can start
+    text = F.regexp_replace(text, "(?=[cC(©])" + YEARS, "$1#")
+    return F.trim(F.regexp_replace(text, r"\s\s+|[\t\x0B\f]", " "))

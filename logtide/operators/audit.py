@@ -48,9 +48,11 @@ def suspicious_strings(df: DataFrame, site: str, text: str, keywords: list[str],
 
 def header_fingerprint(df: DataFrame, id: str, text: str) -> DataFrame:
     """Distinct header hashes with how many texts share each and the first of them. Texts without a header are left out."""
-    heads = df.select(F.col(id).alias("id"), header(F.col(text)).alias("header")).filter(F.col("header") != "")
-    return (heads.select("id", F.sha2("header", 256).alias("hash")).groupBy("hash")
-            .agg(F.count("*").alias("texts"), F.min("id").alias("first_id")))
+    heads = df.select(F.col(id).alias("id"), header(F.col(text)).alias("header"))
+    # Filter after grouping: before it, the header would be worked out once more for the filter
+    return (heads.select("id", F.sha2("header", 256).alias("hash"), (F.col("header") == "").alias("bare")).groupBy("hash")
+            .agg(F.count("*").alias("texts"), F.min("id").alias("first_id"), F.bool_or("bare").alias("bare"))
+            .filter(~F.col("bare")).drop("bare"))
 
 
 def inventory_drift(observed: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions.values import comparable, describe, same
 from logtide.operators.digest import block_digests
-from logtide.operators.sample import in_ranges
-from logtide.session import checkpointed
+from logtide.operators.sample import BROADCAST_RANGES, in_ranges
+from logtide.session import fits, written
 
 #: Ids per block in a pruned comparison, as a power of two.
 PRUNE_BITS = 12
@@ -79,7 +79,7 @@ def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
 
     unequal = (digests(source, "s", 1).join(digests(target, "t", 2), "block", "full_outer")
                .filter(~F.col("s_hash").eqNullSafe(F.col("t_hash"))).select("block"))
-    unequal = checkpointed(unequal)
+    unequal = written(unequal)
 
     def pruned(side: DataFrame) -> DataFrame:
         return (side.withColumn("block", F.shiftright("id", PRUNE_BITS))
@@ -96,6 +96,7 @@ def diff_sample(left: DataFrame, right: DataFrame, id: str, ranges: DataFrame,
     """
     source, target, typed = _sides(left, right, id)
     bounds = ranges.select("lo", "hi")
+    small = fits(ranges, BROADCAST_RANGES) if small is None else small
     sampled = in_ranges(source, "id", bounds, small)
     differences = _compare(sampled.drop("range_lo"), in_ranges(target, "id", bounds, small).drop("range_lo"), typed)
     now = sampled.groupBy(F.col("range_lo").alias("lo")).agg(F.count("*").alias("now"))

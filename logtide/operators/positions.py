@@ -1,18 +1,25 @@
 """Row positions in id order, without sorting a table into one task.
 
 Ids are unique, so the ids that share all but their low `LEAF_BITS` bits are at most `2**LEAF_BITS`
-rows however the ids are spread: no such block can be hot. Counting rows per block is a combined
-aggregate, running totals over the blocks are taken level by level, and only rows in blocks that a
-caller asks about are ever sorted.
+rows however the ids are spread: no such block can be hot. Rows are counted per block by a
+combined aggregate, which is written down because everything else starts from it; running
+totals over many blocks are taken level by level, and only rows in blocks that a caller asks about
+are ever sorted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logtide.session import fits, written
+
 LEAF_BITS = 12
 #: Blocks per parent at each level above the leaves; 12 + 20 + 20 bits leave 4,096 top blocks.
 FAN_BITS = 20
+#: Up to this many blocks (a few bytes each) one window takes the running totals of all.
+FLAT_BLOCKS = 100_000
+#: Up to this many asked positions (24 bytes each) are broadcast to the ids.
+BROADCAST_HITS = 200_000
 
 
 def block_of(id: str) -> Column:
@@ -22,13 +29,16 @@ def block_of(id: str) -> Column:
 def running(blocks: DataFrame, value: str, out: str, how) -> DataFrame:
     """`blocks` (unique `block`, `value`) plus `out`: `how` (F.sum or F.max) over all earlier blocks.
 
-    Windows are at most 2**FAN_BITS blocks wide, the last one 4,096: every level is partitioned by
-    the parent block, and a parent's own running value is joined back to its children.
+    `blocks` is a kept table. More than `FLAT_BLOCKS` are partitioned by their parent block, whose
+    own running value is joined back: no window is wider than 2**FAN_BITS blocks, the last 4,096.
     """
     def before(frame: DataFrame, by: list[str]) -> DataFrame:
         over = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         return frame.withColumn("within", how(value).over(over))
 
+    if fits(blocks, FLAT_BLOCKS):
+        flat = before(blocks, []).withColumnRenamed("within", out)
+        return flat.withColumn(out, F.coalesce(out, F.lit(0))) if how is F.sum else flat
     parents = (blocks.groupBy(F.shiftright("block", FAN_BITS).alias("parent"))
                .agg(how(value).alias(value)).withColumnRenamed("parent", "block"))
     grands = (parents.groupBy(F.shiftright("block", FAN_BITS).alias("parent"))
@@ -48,7 +58,7 @@ def running(blocks: DataFrame, value: str, out: str, how) -> DataFrame:
 
 def block_offsets(df: DataFrame, id: str) -> DataFrame:
     """Occupied blocks with their row count `n` and the position `first` of their first row."""
-    counts = df.groupBy(block_of(id)).agg(F.count("*").alias("n"))
+    counts = written(df.groupBy(block_of(id)).agg(F.count("*").alias("n")))
     return running(counts, "n", "first", F.sum)
 
 
@@ -61,10 +71,12 @@ def with_position(df: DataFrame, id: str, out: str = "position") -> DataFrame:
             .withColumn(out, F.col("first") + F.col(out) - 1).drop("block", "first"))
 
 
-def ids_at(df: DataFrame, id: str, positions: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
+def ids_at(df: DataFrame, id: str, positions: DataFrame, offsets: DataFrame | None = None,
+           small: bool | None = None) -> DataFrame:
     """The ids at the distinct `position`s asked for. Positions past the last row find nothing.
 
-    Only the ids of blocks that hold an asked position are shuffled and ranked.
+    Only the ids of blocks that hold an asked position are shuffled and ranked. `small` says whether
+    the positions are proven to number at most `BROADCAST_HITS`; left out, they are counted.
     """
     ids = df.select(id)
     offsets = offsets if offsets is not None else block_offsets(ids, id)
@@ -75,8 +87,11 @@ def ids_at(df: DataFrame, id: str, positions: DataFrame, offsets: DataFrame | No
     hits = (asked.join(stretches, "stretch")
             .filter((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n")))
             .select("block", "position", (F.col("position") - F.col("first") + 1).alias("rank")))
+    wanted = hits.select("block").distinct()
+    if fits(positions, BROADCAST_HITS) if small is None else small:
+        wanted, hits = F.broadcast(wanted), F.broadcast(hits)
     ranked = (ids.withColumn("block", block_of(id))
-              .join(hits.select("block").distinct(), "block", "left_semi")
+              .join(wanted, "block", "left_semi")
               .withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(id))))
     return ranked.join(hits, ["block", "rank"]).select("position", id)
 
@@ -88,20 +103,18 @@ def assign_ids(df: DataFrame, order: str, start: int, out: str = "rowid") -> Dat
 
 def page_bounds(df: DataFrame, id: str, rows_per_page: int) -> DataFrame:
     """First and last id and row count of each page of rows in id order."""
-    # a row count and arithmetic plan the pages; only their edge rows are looked up
     if rows_per_page < 1 << LEAF_BITS:
         numbered = with_position(df.select(id), id)
         return (numbered.groupBy(F.floor(F.col("position") / rows_per_page).alias("page"))
                 .agg(F.min(id).alias("from_id"), F.max(id).alias("to_id"), F.count("*").alias("rows")))
     offsets = block_offsets(df.select(id), id)
-    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    spark = df.sparkSession
-    count = df.count()
-    pages = (spark.range((count + rows_per_page - 1) // rows_per_page).withColumnRenamed("id", "page")
+    # The row count plans the pages by arithmetic; only their edge rows are looked up
+    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pages = (df.sparkSession.range((total + rows_per_page - 1) // rows_per_page).withColumnRenamed("id", "page")
              .withColumn("start", F.col("page") * rows_per_page)
-             .withColumn("end", F.least(F.col("start") + rows_per_page, total) - 1))
+             .withColumn("end", F.least(F.col("start") + rows_per_page, F.lit(total)) - 1))
     edges = pages.select("page", "start", "end", F.explode(F.array_distinct(F.array("start", "end"))).alias("position"))
-    found = ids_at(df, id, edges.select("position"), offsets)
+    found = ids_at(df, id, edges.select("position"), offsets, 2 * total <= BROADCAST_HITS * rows_per_page)
     return (edges.join(found, "position")
             .groupBy("page").agg(F.min(id).alias("from_id"), F.max(id).alias("to_id"),
                                  F.first(F.col("end") - F.col("start") + 1).alias("rows")))
@@ -113,7 +126,7 @@ def id_gaps(df: DataFrame, id: str) -> DataFrame:
     Blocks without a hole are settled by their counts; only the others are sorted.
     """
     ids = df.select(id).filter(F.col(id).isNotNull()).distinct()
-    blocks = ids.groupBy(block_of(id)).agg(F.count("*").alias("n"), F.min(id).alias("lo"), F.max(id).alias("hi"))
+    blocks = written(ids.groupBy(block_of(id)).agg(F.count("*").alias("n"), F.min(id).alias("lo"), F.max(id).alias("hi")))
     linked = running(blocks, "hi", "previous", F.max)
     between = linked.filter(F.col("lo") - F.col("previous") > 1).select(
         F.col("previous").alias("after_id"), F.col("lo").alias("next_id"))
@@ -132,7 +145,7 @@ def order_violations(df: DataFrame, id: str, time: str, slack: int = 0) -> DataF
     """
     per_id = df.groupBy(id).agg(F.count("*").alias("copies"), F.min(time).alias("oldest"), F.max(time).alias("newest"))
     per_id = per_id.withColumn("block", block_of(id))
-    blocks = per_id.groupBy("block").agg(F.max("newest").alias("newest"))
+    blocks = written(df.groupBy(block_of(id)).agg(F.max(time).alias("newest")))
     carried = running(blocks, "newest", "before", F.max).select("block", "before")
     inner = Window.partitionBy("block").orderBy(id).rowsBetween(Window.unboundedPreceding, -1)
     checked = (per_id.withColumn("within", F.max("newest").over(inner)).join(carried, "block")

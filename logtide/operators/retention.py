@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions.retention import retention
-from logtide.functions.times import expired, kept, seconds_of, time_literal
+from logtide.functions.times import expired, kept, seconds_of
+from logtide.session import fits
 
 # Fixed value: how far id order may lag time order, in seconds.
 ORDER_SLACK = 86_400
+#: Policies up to this count (some 50 bytes each) are broadcast.
+BROADCAST_POLICIES = 200_000
 
 
 def _not_newest(df: DataFrame, id: str, keep_newest: bool) -> Column:
@@ -36,8 +39,8 @@ def purge_by_policy(df: DataFrame, key: str, time: str, policies: DataFrame, now
     cutoffs = policies.select(F.col("table").alias(key), retention(F.col("retention")).alias("r")).select(
         key, F.when(F.col("r.seconds") > 0, F.lit(now) - F.col("r.seconds")).alias("cutoff"))
     at = seconds_of(df, time)
-    # One row per table name: the size check of the planner decides whether it is broadcast
-    joined = df.join(cutoffs, key, "left")
+    # A log has few values of `key`, each of them hot in a shuffle; more policies than fit are joined with skew handling
+    joined = df.join(F.broadcast(cutoffs) if fits(policies, BROADCAST_POLICIES) else cutoffs, key, "left")
     return joined.filter(F.col("cutoff").isNull() | F.col(time).isNull() | (at < 0)
                          | (at >= F.col("cutoff"))).drop("cutoff")
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logtide.operators.positions import block_offsets, ids_at
+from logtide.operators.positions import BROADCAST_HITS, block_offsets, ids_at
+from logtide.session import fits
 
 # Fixed values of the sample: about 1% of every million rows, in ranges of about a thousand.
 WINDOW_ROWS = 1_000_000
 FRACTION_PERCENT = 1
 RANGE_ROWS = 1_000
 
-#: Ranges below this count (at most 32 bytes each, twice) are broadcast; more are joined by shuffle.
-BROADCAST_RANGES = 200_000
+#: Ranges up to this count (at most 32 bytes each, twice) are broadcast; more are joined by shuffle.
+BROADCAST_RANGES = 1_000_000
 
 
 def sample_plan(spark: SparkSession, row_count: int, seed: int = 0, window_rows: int = WINDOW_ROWS,
@@ -46,24 +47,26 @@ def sample_plan(spark: SparkSession, row_count: int, seed: int = 0, window_rows:
 def sample_ranges(df: DataFrame, id: str, plan: DataFrame) -> DataFrame:
     """The planned positions as id ranges with their row counts; a range past the end is cut short."""
     offsets = block_offsets(df.select(id), id)
-    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    small = fits(plan, BROADCAST_HITS // 2)
     plan = (plan.filter(F.col("start") < total)
-            .withColumn("end", F.least(F.col("end"), total - 1)))
+            .withColumn("end", F.least(F.col("end"), F.lit(total - 1))))
     edges = plan.select("window", "slot", "start", "end",
                         F.explode(F.array_distinct(F.array("start", "end"))).alias("position"))
-    found = ids_at(df, id, edges.select("position"), offsets)
+    found = ids_at(df, id, edges.select("position"), offsets, small)
     return (edges.join(found, "position").groupBy("window", "slot")
             .agg(F.min(id).alias("lo"), F.max(id).alias("hi"),
                  F.first(F.col("end") - F.col("start") + 1).alias("rows")))
 
 
 def _covers(ranges: DataFrame) -> DataFrame:
-    """Each range under the one or two aligned blocks that cover it, at the finest level where two do.
+    """Each range under the one or two aligned blocks that cover it, at the finest of the levels 0, 4 … 60, 63 where two do.
 
-    A range is longer than half a block of its level, so few ranges share a block: the join below
-    fans out by a small constant, whatever the gaps between ids.
+    Blocks of a level hold 2**level ids. A range is longer than a 32nd of a block of its level, so the
+    join below fans out by a small constant whatever the gaps between ids, and ranges of like
+    length share a level: a row is looked up once or twice.
     """
-    level = F.expr("filter(sequence(0, 63), k -> shiftright(hi, k) - shiftright(lo, k) <= 1)[0]")
+    level = F.expr("filter(array_append(sequence(0, 60, 4), 63), k -> shiftright(hi, k) - shiftright(lo, k) <= 1)[0]")
     leveled = ranges.select("lo", "hi", level.alias("level"))
     blocks = F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")
     return leveled.select("lo", "hi", "level", F.explode(blocks).alias("cover"))
@@ -75,7 +78,7 @@ def in_ranges(df: DataFrame, id: str, ranges: DataFrame, small: bool | None = No
     `small` says whether the ranges are proven to fit `BROADCAST_RANGES`; left out, they are counted.
     """
     if small is None:
-        small = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
+        small = fits(ranges, BROADCAST_RANGES)
     covers = _covers(ranges)
     levels = covers.agg(F.collect_set("level")).scalar()
     keyed = df.withColumn("level", F.explode(levels)).withColumn("cover", F.expr(f"shiftright(`{id}`, level)"))

@@ -15,12 +15,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def table_stats(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Row count, lowest and highest id of each table, zeros when empty. `tables`: name -> (rows, id column)."""
-    def one(name: str, df: DataFrame, id: str) -> DataFrame:
-        key = F.col(id).cast("bigint")
-        return df.agg(F.count("*").alias("rows"), F.coalesce(F.min(key), F.lit(0)).alias("min_id"),
-                      F.coalesce(F.max(key), F.lit(0)).alias("max_id")).select(
-            F.lit(name).alias("table"), "rows", "min_id", "max_id")
-    return union_all([one(name, df, id) for name, (df, id) in tables.items()])
+    # One combined aggregate over all tables; a row without an id stands for a table that may be empty
+    spark = next(iter(tables.values()))[0].sparkSession
+    ids = [df.select(F.lit(name).alias("table"), F.lit(1).alias("one"), F.col(id).cast("bigint").alias("id"))
+           for name, (df, id) in tables.items()]
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(name) for name in tables])).alias("table"),
+                                  F.lit(0).alias("one"), F.lit(None).cast("bigint").alias("id"))
+    return union_all([*ids, names]).groupBy("table").agg(
+        F.sum("one").alias("rows"), F.coalesce(F.min("id"), F.lit(0)).alias("min_id"),
+        F.coalesce(F.max("id"), F.lit(0)).alias("max_id"))
 
 
 def high_water(stats: DataFrame, allocated: DataFrame | None = None) -> DataFrame:

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logtide.operators.diff import diff_full, diff_sample
+from logtide.operators.diff import diff_full, diff_pruned, diff_sample
 from logtide.operators.encode import Codec, encode
 from logtide.operators.sample import BROADCAST_RANGES, sample_plan, sample_ranges
-from logtide.session import checkpointed
+from logtide.operators.stats import table_stats
+from logtide.session import written
 from logtide.specs import CORE_TABLES, FULL_COMPARISON_ROWS, LOOKUP_KEY_PREFIX, NEVER_COPIED, copy_order, is_reference
 
 #: Tables copied at the same time; Spark's scheduler shares the executors among them.
@@ -67,11 +68,11 @@ def plan_copy(sources: dict[str, DataFrame], ids: dict[str, str], targets: dict[
     """What to copy, in order. Counts every table before anything is written; an empty source is refused."""
     check_source(list(sources), core)
     plans, total = [], 0
-    for name in copy_order(sources):
-        if name == NEVER_COPIED:
-            continue
-        df, id = sources[name], ids.get(name, "rowid")
-        rows, highest = df.agg(F.count("*"), F.coalesce(F.max(id), F.lit(0))).first()
+    counted = {name: (df, ids.get(name, "rowid")) for name, df in sources.items() if name != NEVER_COPIED}
+    stats = {r["table"]: (r["rows"], r["max_id"]) for r in table_stats(counted).collect()}
+    for name in copy_order(counted):
+        df, id = counted[name]
+        rows, highest = stats[name]
         total += rows
         if name in skip:
             continue
@@ -103,9 +104,9 @@ def copy_tables(sources: dict[str, DataFrame], store, plans: list[TablePlan],
             result.rejects[plan.name] = rejects
         target_id = next(b for a, b in plan.columns if a == plan.id)
         store.write(rows, plan.name, target_id)
-        written = store.read(rows.sparkSession, plan.name).count()
-        if written != plan.rows:
-            raise MigrationRefused(f"copied {written} rows of table {plan.name}, which had {plan.rows}: "
+        arrived = store.read(rows.sparkSession, plan.name).count()
+        if arrived != plan.rows:
+            raise MigrationRefused(f"copied {arrived} rows of table {plan.name}, which had {plan.rows}: "
                                    "something else changed the source")
 
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
@@ -118,7 +119,8 @@ def validate(source: DataFrame, target: DataFrame, plan: TablePlan, seed: int =
     target_id = next(b for a, b in plan.columns if a == plan.id)
     left = source.select(*[F.col(f"`{a}`").alias(b) for a, b in plan.columns])
     if not plan.sampled:
-        return diff_full(left, target, target_id)
+        # A large copy is expected to be right almost everywhere: shuffle only what its digests cannot clear
+        return (diff_full if plan.rows <= FULL_COMPARISON_ROWS else diff_pruned)(left, target, target_id)
     plan_rows = sample_plan(left.sparkSession, plan.rows, seed)
-    ranges = checkpointed(sample_ranges(left, target_id, plan_rows))
+    ranges = written(sample_ranges(left, target_id, plan_rows))
     return diff_sample(left, target, target_id, ranges, small=plan.rows // 100_000 + 1 <= BROADCAST_RANGES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,11 +60,14 @@ def purge_report(audits: list[DataFrame]) -> DataFrame:
 
 
 def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkGraph, cutoff: int,
-                  keep_newest: bool = False, orphans_pending: bool = False, tracked: bool = True) -> Purge:
+                  keep_newest: bool = False, orphans_pending: bool = False, tracked: bool = True,
+                  settle: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Purge:
     """Purge `by_time` tables, then clear links and remove orphans, each step seeing the one before.
 
     `keep_newest` spares the highest id of the referenced tables in both kinds of deletes. The
     orphan steps run only if a row expired or an earlier run left them `orphans_pending`.
+    `settle(table, rows)` may write each step's table and return what was written, so that later
+    steps and the report read it instead of repeating the joins before it.
     """
     left, audits = dict(tables), []
     something = orphans_pending
@@ -71,7 +75,7 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
         newest = keep_newest and name in REFERENCED_TABLES
         gone = removed_rows(tables[name], graph.id(name), graph.time(name), cutoff, newest)
         audits.append(_audit(gone, name, EXPIRED))
-        left[name] = purge_expired(tables[name], graph.id(name), graph.time(name), cutoff, newest)
+        left[name] = settle(name, purge_expired(tables[name], graph.id(name), graph.time(name), cutoff, newest))
         something = something or not gone.isEmpty()
     if not (tracked and something):
         return Purge(left, audits, tracked)
@@ -81,11 +85,11 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
     hub_rows = left[graph.hub]
     for fk, parent in graph.links:
         audits.append(_audit(dangling(left[graph.hub], fk, left[parent], graph.id(parent)), graph.hub, LINKS))
-        left[graph.hub] = clear_links(left[graph.hub], fk, left[parent], graph.id(parent))
+        left[graph.hub] = settle(graph.hub, clear_links(left[graph.hub], fk, left[parent], graph.id(parent)))
     for child, fk in graph.children:
         time = graph.time(child)
         audits.append(_audit(orphans(left[child], fk, hub_rows, hub_id, time, cutoff), child, ORPHANED))
-        left[child] = purge_orphans(left[child], fk, hub_rows, hub_id, time, cutoff)
+        left[child] = settle(child, purge_orphans(left[child], fk, hub_rows, hub_id, time, cutoff))
     unlinked: Column = F.col(graph.removed) == 1
     for fk, _ in reversed(graph.links):
         unlinked = unlinked & F.col(fk).isNull()
@@ -96,7 +100,7 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
     time = graph.time(graph.hub)
     gone = unreferenced(left[graph.hub], hub_id, children, unlinked if newest is None else unlinked & ~newest, time, cutoff)
     audits.append(_audit(gone, graph.hub, ORPHANED))
-    left[graph.hub] = purge_unreferenced(left[graph.hub], hub_id, children, unlinked, time, cutoff, newest)
+    left[graph.hub] = settle(graph.hub, purge_unreferenced(left[graph.hub], hub_id, children, unlinked, time, cutoff, newest))
     return Purge(left, audits, True)
 
 

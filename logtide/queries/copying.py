@@ -10,9 +10,9 @@ from logtide.operators.stats import table_stats
 from logtide.plans.migration import copy_tables, plan_copy
 from logtide.plans.writes import (IDENTITY, begin_version, complete_version, open_published, pending_batches, plan_batches,
                                   read_buckets, write_idempotent)
-from logtide.queries.proving import IDS, all_tables, ranges_sql, stats_sql
+from logtide.queries.proving import IDS, ranges_sql, stats_sql
 from logtide.queries.registry import query, table, work_dir
-from logtide.session import checkpointed
+from logtide.session import written
 from logtide.sources.scan import scan_after, scan_range, scan_ranges
 from logtide.sources.stores import ParquetStore
 
@@ -31,7 +31,7 @@ def _(spark, folder):
     SELECT event_id, user_id, value FROM events JOIN ranges ON event_id BETWEEN lo AND hi""")
 def _(spark, folder):
     events = table(spark, folder, "events")
-    ranges = checkpointed(sample_ranges(events, "event_id", sample_plan(spark, events.count(), 0, 1_000, 4)))
+    ranges = written(sample_ranges(events, "event_id", sample_plan(spark, events.count(), 0, 1_000, 4)))
     return scan_ranges(events, "event_id", ranges, ["user_id", "value"])
 
 
@@ -135,7 +135,7 @@ COPIED = ["region", "nation", "customer", "supplier", "part", "orders", "events"
 @query("copy_tables", stats_sql(COPIED))
 def _(spark, folder):
     """Copies into columns in another order and case, then the statistics of the copies."""
-    sources = {name: all_tables(spark, folder)[name][0] for name in COPIED}
+    sources = {name: table(spark, folder, name) for name in COPIED}
     targets = {name: [c.upper() for c in reversed(df.columns)] for name, df in sources.items()}
     store = ParquetStore(work_dir(spark))
     plans = plan_copy(sources, IDS, targets, core=["orders"])

@@ -15,7 +15,7 @@ from logtide.operators.stats import (coverage_counts, duplicate_keys, duplicate_
 from logtide.queries.purging import DISORDERED, EVENTS_CUTOFF, EVENTS_OLD, disordered
 from logtide.operators.retention import purge_expired
 from logtide.queries.registry import query, table
-from logtide.session import checkpointed
+from logtide.session import written
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
        "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
@@ -286,7 +286,7 @@ def _(spark, folder):
     SELECT diff.* FROM diff JOIN ranges ON diff.id BETWEEN lo AND hi""")
 def _(spark, folder):
     left, right = both_sides(spark, folder)
-    return diff_sample(left, right, "o_orderkey", checkpointed(order_ranges(spark, left)))
+    return diff_sample(left, right, "o_orderkey", written(order_ranges(spark, left)))
 
 
 @query("row_positions", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events WHERE event_type <> 'view'")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from logtide.session import shared_dir
+from logtide.session import work_dir  # noqa: F401  (for queries that write)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +23,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_SCHEMAS: dict[str, StructType] = {}
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder, for queries that write."""
-    return f"{shared_dir(spark)}/logtide-work/{uuid.uuid4().hex}"
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A fixture table; its schema is read from the file once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)

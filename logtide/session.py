@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,9 @@ SETTINGS = {
     # Split a skewed side even if that costs a shuffle further up the plan.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Streams remember a day of ids: keep them off the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A JSON object may repeat a name; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -39,9 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small intermediate table that several jobs read, on reliable storage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most `rows` rows; stops counting there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the shared folder."""
+    return f"{shared_dir(spark)}/logtide-work/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A small intermediate table that several jobs read, written to the shared folder.
+
+    Its lineage ends there, lost executors cost nothing but a read, and the planner knows its size.
+    """
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
