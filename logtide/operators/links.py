@@ -32,6 +32,28 @@ def clear_links(df: DataFrame, fk: str, parents: DataFrame, pk: str) -> DataFram
     return unlinked.unionByName(linked.select(*[cleared if c == fk else F.col(f"`{c}`") for c in columns]))
 
 
+def clear_all_links(df: DataFrame, links: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """`clear_links` for several links (column, parents, parents' id) at once, in two scans instead of two per link.
+
+    Rows without any link skip the joins. Rows that lack one of several links would share its null in
+    a shuffle; each gets a key of its own that no parent can match, so they spread evenly.
+    """
+    columns = df.columns
+    linked_to = [F.col(fk).isNotNull() for fk, _, _ in links]
+    some = linked_to[0]
+    for one in linked_to[1:]:
+        some = some | one
+    rows = df.filter(some)
+    cleared = {}
+    for n, (fk, parents, pk) in enumerate(links):
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+        rows = rows.withColumn(f"probe{n}", F.coalesce(fk, spread)).withColumn(f"lacks{n}", F.col(fk).isNull())
+        found = parents.select(F.col(pk).alias(f"key{n}"), F.lit(False).alias(f"met{n}"))
+        rows = rows.join(found, (F.col(f"probe{n}") == F.col(f"key{n}")) & (F.col(f"lacks{n}") == F.col(f"met{n}")), "left")
+        cleared[fk] = F.when(F.col(f"key{n}").isNotNull(), F.col(fk)).alias(fk)
+    return df.filter(~some).unionByName(rows.select(*[cleared.get(c, F.col(f"`{c}`")) for c in columns]))
+
+
 def orphans(df: DataFrame, fk: str, parents: DataFrame, pk: str, time: str, cutoff: int) -> DataFrame:
     """Expired rows whose parent is gone; a null link counts as gone."""
     return df.filter(expired(df, time, cutoff)).join(

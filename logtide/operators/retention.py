@@ -51,6 +51,19 @@ def policy_report(policies: DataFrame) -> DataFrame:
         "table", "retention", "r.seconds", "r.problem")
 
 
+def _walk(df: DataFrame, id: str, time: str, cutoff: int, now: int, width: int, keep_newest: bool):
+    """(ranges with their statistics, the range at which the walk finishes or null)."""
+    at = seconds_of(df, time)
+    rows = df.select(F.col(id).alias("id"), at.alias("at"), expired(df, time, cutoff).alias("old"))
+    if keep_newest:
+        rows = rows.filter(F.col("id") != df.agg(F.max(id)).scalar())
+    ranges = (rows.groupBy(F.expr(f"(id - pmod(id, {width}L)) div {width}L").alias("range"))
+              .agg(F.min("id").alias("from_id"), F.max("id").alias("to_id"), F.count("*").alias("rows"),
+                   F.min("at").alias("oldest"), F.count_if("old").alias("expired")))
+    finishing = ranges.filter((F.col("oldest") >= cutoff + ORDER_SLACK) & (F.col("oldest") <= now + ORDER_SLACK))
+    return ranges, finishing.agg(F.min("range")).scalar()
+
+
 def purge_range_plan(df: DataFrame, id: str, time: str, cutoff: int, now: int, width: int,
                      keep_newest: bool = False) -> DataFrame:
     """What a walk over id ranges of `width` would do: purge, skip, finish, or leave (after the finish).
@@ -59,16 +72,7 @@ def purge_range_plan(df: DataFrame, id: str, time: str, cutoff: int, now: int, w
     a day in the future; old rows behind it wait for a later run. Depends on `width`: this is the
     incremental walk's answer, `purge_expired` is the exact one.
     """
-    at = seconds_of(df, time)
-    rows = df.select(F.col(id).alias("id"), at.alias("at"),
-                     (expired(df, time, cutoff) & _not_newest(df, id, keep_newest)).alias("old"))
-    if keep_newest:
-        rows = rows.filter(F.col("id") != df.agg(F.max(id)).scalar())
-    ranges = (rows.groupBy(F.expr(f"(id - pmod(id, {width}L)) div {width}L").alias("range"))
-              .agg(F.min("id").alias("from_id"), F.max("id").alias("to_id"), F.count("*").alias("rows"),
-                   F.min("at").alias("oldest"), F.count_if("old").alias("expired")))
-    ends = (F.col("oldest") >= cutoff + ORDER_SLACK) & (F.col("oldest") <= now + ORDER_SLACK)
-    end = ranges.filter(ends).agg(F.min("range")).scalar()
+    ranges, end = _walk(df, id, time, cutoff, now, width, keep_newest)
     step = (F.when(F.col("range") > end, "leave").when(F.col("range") == end, "finish")
             .when(F.col("oldest") >= cutoff, "skip").otherwise("purge"))
     return ranges.withColumn("step", step).withColumn(
@@ -78,8 +82,7 @@ def purge_range_plan(df: DataFrame, id: str, time: str, cutoff: int, now: int, w
 def purge_walked(df: DataFrame, id: str, time: str, cutoff: int, now: int, width: int,
                  keep_newest: bool = False) -> DataFrame:
     """Rows left after the range walk of `purge_range_plan`."""
-    plan = purge_range_plan(df, id, time, cutoff, now, width, keep_newest)
-    end = plan.filter(F.col("step") == "finish").agg(F.min("range")).scalar()
+    _, end = _walk(df, id, time, cutoff, now, width, keep_newest)
     place = F.expr(f"(`{id}` - pmod(`{id}`, {width}L)) div {width}L")
     gone = expired(df, time, cutoff) & _not_newest(df, id, keep_newest) & (end.isNull() | (place < end))
     return df.filter(~F.coalesce(gone, F.lit(False)))

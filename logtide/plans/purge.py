@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logtide.operators.links import clear_links, dangling, orphans, purge_orphans, purge_unreferenced, unreferenced
+from logtide.operators.links import clear_all_links, dangling, orphans, purge_orphans, purge_unreferenced, unreferenced
 from logtide.operators.retention import purge_expired, removed_rows
 from logtide.functions.times import kept
 from logtide.operators.stats import union_all
@@ -81,11 +81,15 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
         return Purge(left, audits, tracked)
 
     hub_id = graph.id(graph.hub)
-    # Clearing links removes no rows, so the children's parents are the hub as the expiry left it
+    # Clearing links removes no rows, so the children's parents are the hub as the expiry left it;
     hub_rows = left[graph.hub]
+    # and no link depends on another, so one pass clears them all
     for fk, parent in graph.links:
-        audits.append(_audit(dangling(left[graph.hub], fk, left[parent], graph.id(parent)), graph.hub, LINKS))
-        left[graph.hub] = settle(graph.hub, clear_links(left[graph.hub], fk, left[parent], graph.id(parent)))
+        audits.append(_audit(dangling(hub_rows.select(fk), fk, left[parent], graph.id(parent)), graph.hub, LINKS))
+    left[graph.hub] = settle(graph.hub, clear_all_links(
+        hub_rows, [(fk, left[parent], graph.id(parent)) for fk, parent in graph.links]))
+    # An orphan refers to no row of the hub, so which rows are referred to can be read before orphans go
+    children = [(left[child], fk) for child, fk in graph.children]
     for child, fk in graph.children:
         time = graph.time(child)
         audits.append(_audit(orphans(left[child], fk, hub_rows, hub_id, time, cutoff), child, ORPHANED))
@@ -96,7 +100,6 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
     newest = None
     if keep_newest and graph.hub in REFERENCED_TABLES:
         newest = F.col(hub_id) == hub_rows.agg(F.max(hub_id)).scalar()
-    children = [(left[child], fk) for child, fk in graph.children]
     time = graph.time(graph.hub)
     gone = unreferenced(left[graph.hub], hub_id, children, unlinked if newest is None else unlinked & ~newest, time, cutoff)
     audits.append(_audit(gone, graph.hub, ORPHANED))

@@ -198,3 +198,27 @@ def test_partitions_are_dropped_and_one_rewritten(spark, tmp_path, ids):
         assert done["drop"] == []
     finally:
         spark.sql("DROP TABLE purge_test.log")
+
+
+def test_several_links_are_cleared_at_once(spark):
+    from logtide.operators.links import clear_all_links, clear_links
+    rows = [(1, 1, 1, b"a"), (2, None, 2, None), (3, 3, None, b""), (4, None, None, b"d"), (5, 9, 9, b"e"), (6, 1, 9, b"f")]
+    df = spark.createDataFrame(rows, "rowid bigint, a bigint, b bigint, data binary")
+    a, b = spark.createDataFrame([(1,), (2,)], "x bigint"), spark.createDataFrame([(2,), (-7,)], "y bigint")
+    got = {r["rowid"]: (r["a"], r["b"]) for r in clear_all_links(df, [("a", a, "x"), ("b", b, "y")]).collect()}
+    assert got == {1: (1, None), 2: (None, 2), 3: (None, None), 4: (None, None), 5: (None, None), 6: (1, None)}
+    one_by_one = clear_links(clear_links(df, "a", a, "x"), "b", b, "y")
+    assert {r["rowid"]: (r["a"], r["b"]) for r in one_by_one.collect()} == got
+
+
+def test_settled_cascade_is_the_same(spark, ids):
+    from logtide.session import written
+    steps = []
+
+    def settle(name, df):
+        steps.append(name)
+        return written(df)
+
+    purge = purge_cascade(seed(spark), ["entity", "block"], LinkGraph(), CUTOFF, settle=settle)
+    assert state(purge, ids)[0] == SPAWNS and sum(r["removed"] for r in purge.report().collect()) == 6
+    assert steps == ["entity", "block", "entity_spawn", "entity_interaction", "entity_container", "entity_spawn"]
