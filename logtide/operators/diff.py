@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions.values import comparable, describe, same
 from logtide.operators.digest import block_digests
-from logtide.operators.sample import BROADCAST_RANGES, in_ranges
-from logtide.session import fits, written
+from logtide.operators.sample import in_ranges, prepared
+from logtide.session import written
 
 #: Ids per block in a pruned comparison, as a power of two.
 PRUNE_BITS = 12
@@ -88,17 +88,15 @@ def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
     return _compare(pruned(source), pruned(target), typed)
 
 
-def diff_sample(left: DataFrame, right: DataFrame, id: str, ranges: DataFrame,
-                small: bool | None = None) -> DataFrame:
+def diff_sample(left: DataFrame, right: DataFrame, id: str, ranges: DataFrame) -> DataFrame:
     """The differences inside the sampled id `ranges` (lo, hi, rows), read in one pass per side.
 
     A range whose source rows no longer number `rows` is reported as `moved`, with the two counts.
     """
     source, target, typed = _sides(left, right, id)
-    bounds = ranges.select("lo", "hi")
-    small = fits(ranges, BROADCAST_RANGES) if small is None else small
-    sampled = in_ranges(source, "id", bounds, small)
-    differences = _compare(sampled.drop("range_lo"), in_ranges(target, "id", bounds, small).drop("range_lo"), typed)
+    bounds = prepared(ranges)
+    sampled = in_ranges(source, "id", bounds)
+    differences = _compare(sampled.drop("range_lo"), in_ranges(target, "id", bounds).drop("range_lo"), typed)
     now = sampled.groupBy(F.col("range_lo").alias("lo")).agg(F.count("*").alias("now"))
     moved = (ranges.select("lo", "rows").join(now, "lo", "left")
              .filter(F.coalesce("now", F.lit(0)) != F.col("rows"))

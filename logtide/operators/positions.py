@@ -26,17 +26,18 @@ def block_of(id: str) -> Column:
     return F.shiftright(F.col(id), LEAF_BITS).alias("block")
 
 
-def running(blocks: DataFrame, value: str, out: str, how) -> DataFrame:
+def running(blocks: DataFrame, value: str, out: str, how, few: bool | None = None) -> DataFrame:
     """`blocks` (unique `block`, `value`) plus `out`: `how` (F.sum or F.max) over all earlier blocks.
 
-    `blocks` is a kept table. More than `FLAT_BLOCKS` are partitioned by their parent block, whose
+    `blocks` is a written table; `few` says whether it has at most `FLAT_BLOCKS` rows, left out it is
+    counted. More are partitioned by their parent block, whose
     own running value is joined back: no window is wider than 2**FAN_BITS blocks, the last 4,096.
     """
     def before(frame: DataFrame, by: list[str]) -> DataFrame:
         over = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         return frame.withColumn("within", how(value).over(over))
 
-    if fits(blocks, FLAT_BLOCKS):
+    if fits(blocks, FLAT_BLOCKS) if few is None else few:
         flat = before(blocks, []).withColumnRenamed("within", out)
         return flat.withColumn(out, F.coalesce(out, F.lit(0))) if how is F.sum else flat
     parents = (blocks.groupBy(F.shiftright("block", FAN_BITS).alias("parent"))
@@ -56,16 +57,17 @@ def running(blocks: DataFrame, value: str, out: str, how) -> DataFrame:
     return done
 
 
-def block_offsets(df: DataFrame, id: str) -> DataFrame:
-    """Occupied blocks with their row count `n` and the position `first` of their first row."""
+def block_offsets(df: DataFrame, id: str) -> tuple[DataFrame, int]:
+    """Occupied blocks with their row count `n` and the position `first` of their first row; and all rows' count."""
     counts = written(df.groupBy(block_of(id)).agg(F.count("*").alias("n")))
-    return running(counts, "n", "first", F.sum)
+    blocks, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return running(counts, "n", "first", F.sum, blocks <= FLAT_BLOCKS), rows
 
 
 def with_position(df: DataFrame, id: str, out: str = "position") -> DataFrame:
     """Number the rows 0, 1, 2 … in id order. Rows are shuffled once, by block."""
     rank = F.row_number().over(Window.partitionBy("block").orderBy(id))
-    offsets = block_offsets(df.select(id), id).select("block", "first")
+    offsets = block_offsets(df.select(id), id)[0].select("block", "first")
     return (df.withColumn("block", block_of(id)).withColumn(out, rank)
             .join(offsets, "block")
             .withColumn(out, F.col("first") + F.col(out) - 1).drop("block", "first"))
@@ -79,7 +81,7 @@ def ids_at(df: DataFrame, id: str, positions: DataFrame, offsets: DataFrame | No
     the positions are proven to number at most `BROADCAST_HITS`; left out, they are counted.
     """
     ids = df.select(id)
-    offsets = offsets if offsets is not None else block_offsets(ids, id)
+    offsets = offsets if offsets is not None else block_offsets(ids, id)[0]
     # Equi-join on stretches of 4,096 positions: a block reaches into two of them at most
     stretches = offsets.withColumn("stretch", F.explode(F.sequence(
         F.shiftright("first", LEAF_BITS), F.shiftright(F.col("first") + F.col("n") - 1, LEAF_BITS))))
@@ -107,9 +109,8 @@ def page_bounds(df: DataFrame, id: str, rows_per_page: int) -> DataFrame:
         numbered = with_position(df.select(id), id)
         return (numbered.groupBy(F.floor(F.col("position") / rows_per_page).alias("page"))
                 .agg(F.min(id).alias("from_id"), F.max(id).alias("to_id"), F.count("*").alias("rows")))
-    offsets = block_offsets(df.select(id), id)
     # The row count plans the pages by arithmetic; only their edge rows are looked up
-    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    offsets, total = block_offsets(df.select(id), id)
     pages = (df.sparkSession.range((total + rows_per_page - 1) // rows_per_page).withColumnRenamed("id", "page")
              .withColumn("start", F.col("page") * rows_per_page)
              .withColumn("end", F.least(F.col("start") + rows_per_page, F.lit(total)) - 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtide.operators.positions import BROADCAST_HITS, block_offsets, ids_at
@@ -46,8 +48,7 @@ def sample_plan(spark: SparkSession, row_count: int, seed: int = 0, window_rows:
 
 def sample_ranges(df: DataFrame, id: str, plan: DataFrame) -> DataFrame:
     """The planned positions as id ranges with their row counts; a range past the end is cut short."""
-    offsets = block_offsets(df.select(id), id)
-    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    offsets, total = block_offsets(df.select(id), id)
     small = fits(plan, BROADCAST_HITS // 2)
     plan = (plan.filter(F.col("start") < total)
             .withColumn("end", F.least(F.col("end"), F.lit(total - 1))))
@@ -59,32 +60,41 @@ def sample_ranges(df: DataFrame, id: str, plan: DataFrame) -> DataFrame:
                  F.first(F.col("end") - F.col("start") + 1).alias("rows")))
 
 
-def _covers(ranges: DataFrame) -> DataFrame:
-    """Each range under the one or two aligned blocks that cover it, at the finest of the levels 0, 4 … 60, 63 where two do.
+@dataclass(frozen=True)
+class Ranges:
+    """Ascending, disjoint id ranges made ready for lookups."""
+    covers: DataFrame
+    levels: list[int]
+    small: bool
+
 
-    Blocks of a level hold 2**level ids. A range is longer than a 32nd of a block of its level, so the
-    join below fans out by a small constant whatever the gaps between ids, and ranges of like
-    length share a level: a row is looked up once or twice.
+def prepared(ranges: DataFrame) -> Ranges:
+    """Each range (lo, hi) under the one or two aligned blocks that cover it, at the finest of the levels
+    0, 4 … 60, 63 where two do.
+
+    Blocks of a level hold 2**level ids. A range is longer than a 32nd of a block of its level, so a
+    lookup fans out by a small constant whatever the gaps between ids, and ranges of like length
+    share a level: a row is looked up once or twice. Counting the ranges also lists the levels.
     """
     level = F.expr("filter(array_append(sequence(0, 60, 4), 63), k -> shiftright(hi, k) - shiftright(lo, k) <= 1)[0]")
     leveled = ranges.select("lo", "hi", level.alias("level"))
+    count, levels = leveled.agg(F.count("*"), F.sort_array(F.collect_set("level"))).first()
     blocks = F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")
-    return leveled.select("lo", "hi", "level", F.explode(blocks).alias("cover"))
-
-
-def in_ranges(df: DataFrame, id: str, ranges: DataFrame, small: bool | None = None) -> DataFrame:
-    """Rows whose id lies in one of the ascending, disjoint `ranges` (lo, hi), plus that range's `lo`.
-
-    `small` says whether the ranges are proven to fit `BROADCAST_RANGES`; left out, they are counted.
-    """
-    if small is None:
-        small = fits(ranges, BROADCAST_RANGES)
-    covers = _covers(ranges)
-    levels = covers.agg(F.collect_set("level")).scalar()
-    keyed = df.withColumn("level", F.explode(levels)).withColumn("cover", F.expr(f"shiftright(`{id}`, level)"))
-    covers = covers.withColumnRenamed("lo", "range_lo").withColumnRenamed("hi", "range_hi")
-    joined = keyed.join(F.broadcast(covers) if small else covers, ["level", "cover"])
-    return (joined.filter(F.col(id).between(F.col("range_lo"), F.col("range_hi")))
+    covers = leveled.select(F.col("lo").alias("range_lo"), F.col("hi").alias("range_hi"), "level", F.explode(blocks).alias("cover"))
+    return Ranges(covers, list(levels), count <= BROADCAST_RANGES)
+
+
+def in_ranges(df: DataFrame, id: str, ranges: DataFrame | Ranges) -> DataFrame:
+    """Rows whose id lies in one of the ranges, plus that range's `range_lo`. One scan, no range join."""
+    ready = ranges if isinstance(ranges, Ranges) else prepared(ranges)
+    if not ready.levels:
+        return df.withColumn("range_lo", F.col(id)).filter(F.lit(False))
+    levels = F.array(*[F.lit(level) for level in ready.levels])
+    keyed = df.withColumn("level", F.explode(levels) if len(ready.levels) > 1 else F.lit(ready.levels[0]))
+    keyed = keyed.withColumn("cover", F.expr(f"shiftright(`{id}`, level)"))
+    covers = F.broadcast(ready.covers) if ready.small else ready.covers
+    return (keyed.join(covers, ["level", "cover"])
+            .filter(F.col(id).between(F.col("range_lo"), F.col("range_hi")))
             .drop("level", "cover", "range_hi"))
 
 

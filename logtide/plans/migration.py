@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.operators.diff import diff_full, diff_pruned, diff_sample
 from logtide.operators.encode import Codec, encode
-from logtide.operators.sample import BROADCAST_RANGES, sample_plan, sample_ranges
+from logtide.operators.sample import sample_plan, sample_ranges
 from logtide.operators.stats import table_stats
 from logtide.session import written
 from logtide.specs import CORE_TABLES, FULL_COMPARISON_ROWS, LOOKUP_KEY_PREFIX, NEVER_COPIED, copy_order, is_reference
@@ -123,4 +123,4 @@ def validate(source: DataFrame, target: DataFrame, plan: TablePlan, seed: int =
         return (diff_full if plan.rows <= FULL_COMPARISON_ROWS else diff_pruned)(left, target, target_id)
     plan_rows = sample_plan(left.sparkSession, plan.rows, seed)
     ranges = written(sample_ranges(left, target_id, plan_rows))
-    return diff_sample(left, target, target_id, ranges, small=plan.rows // 100_000 + 1 <= BROADCAST_RANGES)
+    return diff_sample(left, target, target_id, ranges)

@@ -33,14 +33,18 @@ def build_session(app: str = "logtide", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach; a machine-local one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    made = tempfile.mkdtemp(prefix="logtide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="logtide-")
+    return _LOCAL[app]
 
 
 def fits(df: DataFrame, rows: int) -> bool:

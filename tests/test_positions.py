@@ -1,10 +1,12 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import Row, functions as F
 
 from logtide.operators.diff import diff_full, diff_pruned, diff_sample
 from logtide.operators.digest import table_digest
 from logtide.operators.positions import assign_ids, id_gaps, ids_at, order_violations, page_bounds, with_position
-from logtide.operators.sample import in_ranges, sample_plan, sample_ranges
+from logtide.operators.sample import in_ranges, prepared, sample_plan, sample_ranges
 from logtide.operators.stats import duplicate_keys, duplicate_report, high_water, stats_verdict, table_stats
 from logtide.sources.scan import scan_ranges
 
@@ -89,11 +91,29 @@ def test_ranges_match_positions_and_are_cut_short(spark):
 def test_many_ranges_in_one_scan(spark, sparse, small):
     ranges = [(-2**62, -3), (-1, -1), (1001, 1003), (1004, 1500), (4095, 4097), (8000, 100_500), (100_502, 2**62 - 1)]
     df = spark.createDataFrame(ranges, "lo bigint, hi bigint")
-    got = {r["rowid"]: r["range_lo"] for r in in_ranges(sparse, "rowid", df, small).collect()}
+    ready = prepared(df)
+    assert ready.small
+    got = {r["rowid"]: r["range_lo"] for r in in_ranges(sparse, "rowid", replace(ready, small=small)).collect()}
     assert got == {i: lo for i in IDS for lo, hi in ranges if lo <= i <= hi}
     assert sorted(r["rowid"] for r in scan_ranges(sparse, "rowid", ranges).collect()) == sorted(got)
 
 
+def test_no_ranges_no_rows(spark, sparse):
+    assert in_ranges(sparse, "rowid", spark.createDataFrame([], "lo bigint, hi bigint")).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [1, 10**9])
+def test_running_totals_by_parent_block(spark, monkeypatch, limit):
+    from logtide.operators import positions
+    monkeypatch.setattr(positions, "FLAT_BLOCKS", limit)
+    keys = sorted({0, 1, 2, 5_000_000, -7, -2**50, 2**50, 2**50 + 1, 2**30, 2**30 + 9, *range(10_000, 10_050)})
+    blocks = spark.createDataFrame([(k, n + 1) for n, k in enumerate(keys)], "block bigint, n bigint")
+    sums = {r["block"]: r["x"] for r in positions.running(blocks, "n", "x", F.sum).collect()}
+    tops = {r["block"]: r["x"] for r in positions.running(blocks, "n", "x", F.max).collect()}
+    assert sums == {k: n * (n + 1) // 2 for n, k in enumerate(keys)}
+    assert tops == {k: n or None for n, k in enumerate(keys)}
+
+
 def damaged(spark, rows=20_000):
     left = spark.range(rows).select(F.col("id").alias("rowid"), (F.col("id") * 2).alias("x"), F.concat(F.lit("t"), "id").alias("t"))
     right = (left.filter(~F.col("rowid").isin(3, 9_000))
