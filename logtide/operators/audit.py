@@ -105,20 +105,26 @@ def apply_allowances(findings: DataFrame, allowances: list[Allowance]) -> DataFr
     """Each finding (severity, rule, site, detail) once, as INFO with the reason if an allowance covers its site.
 
     Allowances are configuration: a trailing `*` matches by prefix, and the first that fits wins.
-    A finding reported under several severities counts as the most severe.
+    A finding reported under several severities counts as the most severe. With a column
+    `allowed_site`, an allowance must name that instead of the site; with a column `resolution`,
+    what resolves the finding stays with it unless it is allowed or only for the record.
     """
+    extra = [c for c in ("allowed_site", "resolution") if c in findings.columns]
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    once = findings.groupBy("rule", "site", "detail").agg(F.min(rank).alias("rank"))
+    once = findings.groupBy("rule", "site", "detail").agg(
+        F.min(rank).alias("rank"), *[F.min_by(c, rank).alias(c) for c in extra])
     def covers(a: Allowance) -> Column:
-        site = F.col("site").startswith(a.site[:-1]) if a.site.endswith("*") else F.col("site") == a.site
+        named = F.col("allowed_site" if "allowed_site" in extra else "site")
+        site = named.startswith(a.site[:-1]) if a.site.endswith("*") else named == a.site
         return (F.col("rule") == a.rule) & site
 
     reason = first_of([(covers(a), F.lit(a.reason)) for a in allowances], F.lit(None).cast("string"))
     severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("rank").cast("int"))
+    resolution = [F.when(F.col("reason").isNull() & (severity != "INFO"), F.col("resolution")).alias("resolution")]
     return once.withColumn("reason", reason).select(
         F.when(F.col("reason").isNotNull(), "INFO").otherwise(severity).alias("severity"), "rule", "site",
         F.when(F.col("reason").isNotNull(), F.concat("detail", F.lit(" (allowed: "), "reason", F.lit(")")))
-        .otherwise(F.col("detail")).alias("detail"))
+        .otherwise(F.col("detail")).alias("detail"), *(resolution if "resolution" in extra else []))
 
 
 def audit_verdict(findings: DataFrame) -> DataFrame:

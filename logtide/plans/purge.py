@@ -45,7 +45,8 @@ class Purge:
         return purge_report(self.audits)
 
 
-def _audit(df: DataFrame, table: str, kind: str) -> DataFrame:
+def audit_rows(df: DataFrame, table: str, kind: str) -> DataFrame:
+    """One audit line: how many rows of a table a step removes or changes."""
     return df.agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), F.lit(kind).alias("kind"), "rows")
 
 
@@ -74,7 +75,7 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
     for name in by_time:
         newest = keep_newest and name in REFERENCED_TABLES
         gone = removed_rows(tables[name], graph.id(name), graph.time(name), cutoff, newest)
-        audits.append(_audit(gone, name, EXPIRED))
+        audits.append(audit_rows(gone, name, EXPIRED))
         left[name] = settle(name, purge_expired(tables[name], graph.id(name), graph.time(name), cutoff, newest))
         something = something or not gone.isEmpty()
     if not (tracked and something):
@@ -85,14 +86,14 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
     hub_rows = left[graph.hub]
     # and no link depends on another, so one pass clears them all
     for fk, parent in graph.links:
-        audits.append(_audit(dangling(hub_rows.select(fk), fk, left[parent], graph.id(parent)), graph.hub, LINKS))
+        audits.append(audit_rows(dangling(hub_rows.select(fk), fk, left[parent], graph.id(parent)), graph.hub, LINKS))
     left[graph.hub] = settle(graph.hub, clear_all_links(
         hub_rows, [(fk, left[parent], graph.id(parent)) for fk, parent in graph.links]))
     # An orphan refers to no row of the hub, so which rows are referred to can be read before orphans go
     children = [(left[child], fk) for child, fk in graph.children]
     for child, fk in graph.children:
         time = graph.time(child)
-        audits.append(_audit(orphans(left[child], fk, hub_rows, hub_id, time, cutoff), child, ORPHANED))
+        audits.append(audit_rows(orphans(left[child], fk, hub_rows, hub_id, time, cutoff), child, ORPHANED))
         left[child] = settle(child, purge_orphans(left[child], fk, hub_rows, hub_id, time, cutoff))
     unlinked: Column = F.col(graph.removed) == 1
     for fk, _ in reversed(graph.links):
@@ -102,7 +103,7 @@ def purge_cascade(tables: dict[str, DataFrame], by_time: list[str], graph: LinkG
         newest = F.col(hub_id) == hub_rows.agg(F.max(hub_id)).scalar()
     time = graph.time(graph.hub)
     gone = unreferenced(left[graph.hub], hub_id, children, unlinked if newest is None else unlinked & ~newest, time, cutoff)
-    audits.append(_audit(gone, graph.hub, ORPHANED))
+    audits.append(audit_rows(gone, graph.hub, ORPHANED))
     left[graph.hub] = settle(graph.hub, purge_unreferenced(left[graph.hub], hub_id, children, unlinked, time, cutoff, newest))
     return Purge(left, audits, True)
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.functions.times import seconds_of
 from logtide.operators.changelog import latest_state
-from logtide.operators.links import clear_links, purge_orphans, purge_unreferenced
+from logtide.operators.links import clear_links, orphans, purge_orphans, purge_unreferenced
 from logtide.operators.retention import (partition_retention, purge_by_policy, purge_expired,
-                                         purge_range_plan, purge_walked)
+                                         purge_range_plan, purge_walked, removed_rows)
 from logtide.operators.stats import high_water, table_stats
-from logtide.plans.purge import LinkGraph, purge_cascade
+from logtide.plans.purge import EXPIRED, ORPHANED, LinkGraph, audit_rows, purge_cascade, purge_report
 from logtide.queries.registry import query, table
 
 #: 2024-01-16, in the middle of the events
@@ -229,14 +229,11 @@ def _(spark, folder):
     SELECT "table", kind, rows, rows AS removed, CASE WHEN kind = 'expired rows' THEN 0 ELSE rows END AS orphans_changed FROM r""")
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Purge old orders, remove the line items they leave behind, and report."""
-    from logtide.operators.links import orphans
-    from logtide.operators.retention import removed_rows
-    from logtide.plans.purge import EXPIRED, ORPHANED, _audit, purge_report
     orders, items = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     gone = removed_rows(orders, "o_orderkey", "o_orderdate", ORDERS_CUTOFF)
     left = purge_expired(orders, "o_orderkey", "o_orderdate", ORDERS_CUTOFF)
     lost = orphans(items, "l_orderkey", left, "o_orderkey", "l_shipdate", ORDERS_CUTOFF)
-    return purge_report([_audit(gone, "orders", EXPIRED), _audit(lost, "lineitem", ORPHANED)])
+    return purge_report([audit_rows(gone, "orders", EXPIRED), audit_rows(lost, "lineitem", ORPHANED)])
 
 
 @query("high_water", """SELECT 'events' AS "table", max(event_id) AS high_water FROM events

@@ -212,3 +212,11 @@ def test_allowances_and_verdict(spark):
                    ("host", "h"): ("INFO", "gone"), ("other", "a/B#run"): ("REVIEW", "q")}
     assert audit_verdict(allowed).first().asDict() == {"fail": 1, "review": 1, "info": 3, "failed": True, "review_required": True}
     assert audit_verdict(allowed.filter("severity = 'INFO'")).first()["failed"] is False
+
+
+def test_allowances_of_named_entries(spark):
+    findings = spark.createDataFrame([("REVIEW", "cap", "key", "changed", "key=1", "ACCEPT"), ("REVIEW", "cap", "key", "changed again", "key=2", "ACCEPT"),
+                                      ("INFO", "cap", "key", "gone", "key", "ACCEPT")],
+                                     "severity string, rule string, site string, detail string, allowed_site string, resolution string")
+    got = {(r["severity"], r["detail"], r["resolution"]) for r in apply_allowances(findings, [Allowance("cap", "key=1", "seen")]).collect()}
+    assert got == {("INFO", "changed (allowed: seen)", None), ("REVIEW", "changed again", "ACCEPT"), ("INFO", "gone", None)}

@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Row, functions as F
 
 from logtide.operators.diff import diff_full, diff_pruned, diff_sample
@@ -172,3 +173,18 @@ def test_duplicates_of_a_hot_key(spark):
     report = duplicate_report(duplicate_keys(df, "k", "id")).first()
     assert report["shared"] == "more than 100" and report["example"] == "hot in rows 0, 3, 6, 9, 12"
     assert duplicate_report(duplicate_keys(spark.range(3), "id", "id")).first() == Row(shared="0", example=None)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 400)), min_size=1, max_size=12), st.sampled_from([1, 37, 10**9, -10**12]))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_random_ranges(spark, steps, scale):
+    """Disjoint ranges with gaps and lengths of any kind, against a plain loop."""
+    ranges, at = [], -5
+    for gap, length in steps:
+        lo, hi = sorted(((at + 1 + gap) * scale, (at + 1 + gap + length) * scale))
+        ranges.append((lo, hi))
+        at += 1 + gap + length
+    ids = sorted({e + d for lo, hi in ranges for e in (lo, hi, (lo + hi) // 2) for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(i,) for i in ids], "rowid bigint")
+    got = sorted((r["rowid"], r["range_lo"]) for r in in_ranges(rows, "rowid", spark.createDataFrame(sorted(ranges), "lo bigint, hi bigint")).collect())
+    assert got == [(i, lo) for i in ids for lo, hi in sorted(ranges) if lo <= i <= hi]
