@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 YEARS = ("(?i)((?:copyright|\\(c\\)|©)(?:\\s*(?:\\(c\\)|©))?[\\s:]*)"
          "(?:19|20)\\d\\d(?:\\s*[-–,]\\s*(?:19|20)\\d\\d)*\\b")
 
-_LINE_ENDS = "\r\u0085\u2028\u2029"
-_MARKERS = " \t\n\x0b\f\r*/"
+# The markers and blanks around a line break, or blanks within a line
+_EDGES = r"[ \t\x0B\f*/]*+[\n\r][\s*/]*+|\s\s+|[\t\x0B\f]"
 _BLANK = r"[\s﻿]*+"
 # Possessive throughout: Java then loops instead of recursing, however long a comment is
 _COMMENT = r"(?://[^\n\r]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z))"
@@ -31,12 +31,12 @@ def header(source: Column) -> Column:
     Comments before and among package and import statements count; those after the last one belong to
     what follows. Markers go, blanks collapse, and the years of copyright notices become `#`.
     """
-    # A stretch of comments, then a statement, repeated; or, without statements, comments alone
-    region = F.regexp_extract(source, rf"\A((?:(?:{_BLANK}{_COMMENT})*+{_BLANK}{_STATEMENT})+|(?:{_BLANK}{_COMMENT})+)", 1)
-    comments = F.regexp_extract_all(region, F.lit(rf"({_COMMENT})|{_STATEMENT}"), 1)
+    # What follows on from the start of the text: comments, and '' for each statement
+    found = F.regexp_extract_all(source, F.lit(rf"\G{_BLANK}(?:({_COMMENT})|{_STATEMENT})"), 1)
+    after_last = F.size(found) - F.array_position(F.reverse(found), "") + 1
+    comments = F.when(F.array_contains(found, ""), F.slice(found, F.lit(1), after_last.cast("int"))).otherwise(found)
     # What opens and closes a comment are slashes and stars at the edge of a line like any other marker
-    lines = F.split(F.translate(F.array_join(comments, "\n"), _LINE_ENDS, "\n" * len(_LINE_ENDS)), "\n")
-    text = F.array_join(F.transform(lines, lambda line: F.trim(line, F.lit(_MARKERS))), " ")
+    text = F.regexp_replace(F.array_join(comments, "\n"), _EDGES, " ")
     # The look-ahead only spares the engine the positions where no notice can start
-    text = F.regexp_replace(text, "(?=[cC(©])" + YEARS, "$1#")
-    return F.trim(F.regexp_replace(text, r"\s\s+|[\t\x0B\f]", " "))
+    text = F.regexp_replace(F.trim(text, F.lit(" */")), "(?=[cC(©])" + YEARS, "$1#")
+    return F.coalesce(text, F.lit(""))
