@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from logtide.functions.choice import bound
+
 # Patterns of the audit.
 YEARS = ("(?i)((?:copyright|\\(c\\)|©)(?:\\s*(?:\\(c\\)|©))?[\\s:]*)"
          "(?:19|20)\\d\\d(?:\\s*[-–,]\\s*(?:19|20)\\d\\d)*\\b")
 
-# The markers and blanks around a line break, or blanks within a line
-_EDGES = r"[ \t\x0B\f*/]*+[\n\r][\s*/]*+|\s\s+|[\t\x0B\f]"
+_MARKERS = " \t\x0b\f*/"
 _BLANK = r"[\s﻿]*+"
 # Possessive throughout: Java then loops instead of recursing, however long a comment is
 _COMMENT = r"(?://[^\n\r]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z))"
@@ -33,10 +34,22 @@ def header(source: Column) -> Column:
     """
     # What follows on from the start of the text: comments, and '' for each statement
     found = F.regexp_extract_all(source, F.lit(rf"\G{_BLANK}(?:({_COMMENT})|{_STATEMENT})"), 1)
-    after_last = F.size(found) - F.array_position(F.reverse(found), "") + 1
-    comments = F.when(F.array_contains(found, ""), F.slice(found, F.lit(1), after_last.cast("int"))).otherwise(found)
+    text = bound(found, lambda all: F.array_join(_before_code(all), "\n"))
+    text = bound(text, lambda t: F.when(t.contains("\r"), F.replace(t, F.lit("\r"), F.lit("\n"))).otherwise(t))
     # What opens and closes a comment are slashes and stars at the edge of a line like any other marker
-    text = F.regexp_replace(F.array_join(comments, "\n"), _EDGES, " ")
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line, F.lit(_MARKERS)))
+    text = bound(F.array_join(F.filter(lines, lambda line: line != ""), " "), _collapsed)
     # The look-ahead only spares the engine the positions where no notice can start
-    text = F.regexp_replace(F.trim(text, F.lit(" */")), "(?=[cC(©])" + YEARS, "$1#")
-    return F.coalesce(text, F.lit(""))
+    return F.coalesce(F.regexp_replace(text, "(?=[cC(©])" + YEARS, "$1#"), F.lit(""))
+
+
+def _before_code(found: Column) -> Column:
+    """The comments up to the last statement, or all if there is none."""
+    last = F.size(found) - F.array_position(F.reverse(found), "") + 1
+    return F.when(F.array_contains(found, ""), F.slice(found, F.lit(1), last.cast("int"))).otherwise(found)
+
+
+def _collapsed(text: Column) -> Column:
+    """Blanks within lines as one space. Most texts have none to collapse, which is cheap to see."""
+    blanks = text.contains("  ") | text.contains("\t") | text.contains("\x0b") | text.contains("\f")
+    return F.when(blanks, F.regexp_replace(text, r"[ \t\x0B\f]+", " ")).otherwise(text)

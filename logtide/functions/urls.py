@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
+from logtide.functions.choice import bound, first_of
+
 # Schemes a URL may have and the ports they stand for.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "file": ""}
 
@@ -16,7 +18,7 @@ _HOST_PORT = r"\A(?:.*@)?(\[[^\]]*\]|[^:@]*)(?::([0-9]*))?\z"
 def url_parts(url: Column) -> dict[str, Column]:
     """Scheme, host, port and file (path and query) of a URL; empty where absent."""
     authority = F.regexp_extract(url, _URL, 2)
-    return {
+    return {  # as a struct it is worked out once; see `_of_parts`
         "scheme": F.lower(F.regexp_extract(url, _URL, 1)),
         "host": F.lower(F.regexp_extract(authority, _HOST_PORT, 1)),
         "port": F.regexp_extract(authority, _HOST_PORT, 2),
@@ -29,25 +31,27 @@ def normalize_url(url: Column) -> Column:
 
     Null for text that is not a URL of a known scheme.
     """
-    p = url_parts(url)
-    default = F.lit(None).cast("string")
-    for scheme, port in DEFAULT_PORTS.items():
-        default = F.when(p["scheme"] == scheme, F.lit(port)).otherwise(default)
-    port = F.when((p["port"] != "") & (p["port"] != default), F.concat(F.lit(":"), p["port"])).otherwise("")
-    return F.when(p["scheme"].isin(*DEFAULT_PORTS), F.concat(p["scheme"], F.lit("://"), p["host"], port, p["file"]))
+    def spelled(p: Column) -> Column:
+        default = first_of([(p["scheme"] == scheme, F.lit(port)) for scheme, port in DEFAULT_PORTS.items()],
+                           F.lit(None).cast("string"))
+        port = F.when((p["port"] != "") & (p["port"] != default), F.concat(F.lit(":"), p["port"])).otherwise("")
+        return F.when(p["scheme"].isin(*DEFAULT_PORTS), F.concat(p["scheme"], F.lit("://"), p["host"], port, p["file"]))
+
+    return _of_parts(url, spelled)
+
+
+def _of_parts(url: Column, use: Callable[[Column], Column]) -> Column:
+    return bound(F.struct(*[part.alias(name) for name, part in url_parts(url).items()]), use)
 
 
 def classify_endpoint(url: Column, endpoints: Iterable[tuple[str, str, Iterable[str] | None]]) -> Column:
     """The first endpoint (name, host, paths or None for any) a URL is for, by exact host and path."""
-    p = url_parts(url)
-    path = F.lower(F.regexp_extract(p["file"], r"\A([^?]*)", 1))
-    found = F.lit(None).cast("string")
-    for name, host, paths in reversed(list(endpoints)):
-        test = p["host"] == host
-        if paths is not None:
-            test = test & path.isin(*paths)
-        found = F.when(test, name).otherwise(found)
-    return found
+    def classified(p: Column) -> Column:
+        path = F.lower(F.substring_index(p["file"], "?", 1))
+        return first_of([(p["host"] == host if paths is None else (p["host"] == host) & path.isin(*paths), F.lit(name))
+                         for name, host, paths in endpoints], F.lit(None).cast("string"))
+
+    return _of_parts(url, classified)
 
 
 def hosts_in(text: Column) -> Column:
