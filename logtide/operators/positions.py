@@ -126,13 +126,13 @@ def id_gaps(df: DataFrame, id: str) -> DataFrame:
 
     Blocks without a hole are settled by their counts; only the others are sorted.
     """
-    ids = df.select(id).filter(F.col(id).isNotNull()).distinct()
-    blocks = written(ids.groupBy(block_of(id)).agg(F.count("*").alias("n"), F.min(id).alias("lo"), F.max(id).alias("hi")))
+    ids = df.select(id, block_of(id)).filter(F.col(id).isNotNull())
+    blocks = written(ids.distinct().groupBy("block").agg(F.count("*").alias("n"), F.min(id).alias("lo"), F.max(id).alias("hi")))
     linked = running(blocks, "hi", "previous", F.max)
     between = linked.filter(F.col("lo") - F.col("previous") > 1).select(
         F.col("previous").alias("after_id"), F.col("lo").alias("next_id"))
     holed = blocks.filter(F.col("n") < F.col("hi") - F.col("lo") + 1).select("block")
-    within = (ids.withColumn("block", block_of(id)).join(holed, "block", "left_semi")
+    within = (ids.join(holed, "block", "left_semi").distinct()
               .withColumn("after_id", F.lag(id).over(Window.partitionBy("block").orderBy(id)))
               .filter(F.col(id) - F.col("after_id") > 1)
               .select("after_id", F.col(id).alias("next_id")))
