@@ -192,7 +192,7 @@ def versions(spark: SparkSession, folder: str) -> DataFrame:
 
 VERSIONS = """v AS (SELECT p_partkey, p_brand, p_type, p_size, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS p1, p_size AS p2,
         CASE p_type WHEN 'SMALL' THEN 2 ELSE 0 END AS p3, p_type IN ('PROMO', 'SMALL') AS is_dev,
-        CASE WHEN p_type IN ('PROMO', 'SMALL') THEN -1 ELSE length(p_type) END AS revision,
+        CASE WHEN p_type IN ('PROMO', 'SMALL') THEN -1 ELSE CAST(length(p_type) AS INTEGER) END AS revision,
         CASE p_type WHEN 'PROMO' THEN 5 WHEN 'SMALL' THEN 7 ELSE -1 END AS commits, p_type = 'SMALL' AS dirty,
         regexp_extract(p_brand, '([0-9]+)', 1) || '.' || p_size || CASE p_type WHEN 'PROMO' THEN '-5-g0af209a-nova-dev'
             WHEN 'SMALL' THEN '.2-7-g0af209a-dirty-nova-dev' WHEN 'LARGE' THEN '-NOVA1' ELSE '-nova' || length(p_type) END AS version FROM part)"""
