@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtide.llm.common import table
+from logtide.llm.decontaminate import marked
 from logtide.llm.jaccard_join import near_copies
 
 
@@ -12,6 +14,14 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark, table(spark, folder, "documents"))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join}
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = marked(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span[1] - span[0])
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(names, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op9_decontaminate": op9_decontaminate}
 
 ORACLES: dict[str, str] = {}
