@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm.common import table
+from logtide.llm import language_id
+from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
 from logtide.llm.jaccard_join import near_copies
 
@@ -22,6 +23,12 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(names, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op9_decontaminate": op9_decontaminate}
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identified(spark, docs, language_id.learn(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLES: dict[str, str] = {}
