@@ -2,8 +2,8 @@
 
 A text's subwords are the byte 3- and 4-grams of its lower-cased letters, words set apart by one blank, and whole words,
 each hashed to a bucket. Their embeddings are averaged; a linear softmax gives language probabilities. Both are trained
-by stochastic gradient descent in numpy, on whole texts and on short spans of them, from a bounded sample for each
-language. A temperature is fitted on rows put aside; so is the score below which a text is rejected: the one that
+by stochastic gradient descent in numpy, on whole texts and on short spans of them, from a sample of LEARNED_ROWS rows of
+texts of LEARNED_BYTES at most. A temperature is fitted on rows put aside; so is the score below which a text is rejected: the one that
 would lose `REJECTED` of the rows that the model gets right, and not over `MOST_REJECTING`.
 
 A null text, or one without a letter, is `und` with score 0 and rejected. All texts are read whole. If there is no row
@@ -23,8 +23,8 @@ from logtide.llm.common import flat, fold, slices
 from logtide.llm.words import LOWER, bounds, spans, sums
 
 BUCKETS, DIMENSION = 1 << 17, 16
-#: Rows learned from for each language, and the bytes of the longest such text.
-LEARNED_ROWS, LEARNED_BYTES = 1500, 1 << 16
+#: Rows learned from, about as many of each language, and the bytes of the longest such text.
+LEARNED_ROWS, LEARNED_BYTES = 4000, 1 << 14
 EPOCHS, RATE, SPAN_WORDS = 6, 0.5, 40
 REJECTED, MOST_REJECTING = 0.0005, 0.5
 UNKNOWN = "und"
@@ -167,9 +167,10 @@ def learn(docs: DataFrame) -> Model | None:
         return None
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.lit(0)
-    for row in counts:  # about LEARNED_ROWS of each language, picked by a hash of the id
-        share = F.when(F.col("lang") == row["lang"], F.lit(int(min(1.0, LEARNED_ROWS / row["count"]) * (1 << 30)))).otherwise(share)
-    picked = rows.where(slot < share).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * LEARNED_ROWS * len(counts)).toArrow()
+    for row in counts:  # picked by a hash of the id
+        part = min(1.0, LEARNED_ROWS / len(counts) / row["count"])
+        share = F.when(F.col("lang") == row["lang"], F.lit(int(part * (1 << 30)))).otherwise(share)
+    picked = rows.where(slot < share).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * LEARNED_ROWS).toArrow()
     return trained(picked.column("text").to_pylist(), picked.column("lang").to_pylist())
 
 

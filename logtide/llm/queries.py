@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language_id
+from logtide.llm import language_id, toxicity
 from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
 from logtide.llm.jaccard_join import near_copies
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = toxicity.scored(spark, docs, toxicity.learn(docs, table(spark, folder, "labels")))
+    held_out = fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.LEFT_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark, table(spark, folder, "documents"))
 
@@ -29,6 +36,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op2_toxicity": op2_toxicity, "op5_jaccard_join": op5_jaccard_join, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLES: dict[str, str] = {}
