@@ -116,23 +116,26 @@ def trained(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
     table = (rng.random((BUCKETS, DIMENSION), np.float32) - 0.5) / DIMENSION
     weights, bias = np.zeros((DIMENSION, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    found = subwords(*flat(pa.array(texts, pa.string())))
+    parts = [subwords(*flat(part.column("text"))) for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), limit=1 << 19)]
+    place = [(part, k) for part in parts for k in range(len(part.first_word) - 1)]
+    worded = np.concatenate([np.diff(part.first_word) > 0 for part in parts])
     aside = np.arange(len(texts)) % 5 == 4
-    learned = np.flatnonzero(~aside & (np.diff(found.first_word) > 0))
+    learned = np.flatnonzero(~aside & worded)
 
-    def buckets(a: int, b: int) -> np.ndarray:
+    def buckets(found: Subwords, a: int, b: int) -> np.ndarray:
         low, high = found.word_gram[a], found.word_gram[b]
         return np.concatenate((found.grams[low:high].ravel(), found.words[a:b]))
 
     steps, done = max(1, EPOCHS * 2 * len(learned)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(np.repeat(learned, 2)).tolist():
-            a, b = int(found.first_word[i]), int(found.first_word[i + 1])
+            found, row = place[i]
+            a, b = int(found.first_word[row]), int(found.first_word[row + 1])
             n = int(rng.integers(1, SPAN_WORDS))
             if done % 2 or b - a > 10 * SPAN_WORDS:  # a span; whole long texts add little
                 a = int(rng.integers(a, max(a + 1, b - n + 1)))
                 b = min(b, a + n)
-            ids, many = np.unique(buckets(a, b), return_counts=True)
+            ids, many = np.unique(buckets(found, a, b), return_counts=True)
             share = (many / many.sum()).astype(np.float32)
             mean = share @ table[ids]
             error = softmax(mean @ weights + bias)
@@ -146,9 +149,9 @@ def trained(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     model = Model(languages, table, weights, bias, 1.0, 0.0)
     if len(languages) <= DIMENSION:  # the product is narrower than the embeddings
         model = Model(languages, table @ weights, None, bias, 1.0, 0.0)
-    check = np.flatnonzero(aside & (np.diff(found.first_word) > 0))
+    check = np.flatnonzero(aside & worded)
     if len(check):
-        mean, _ = averages(found, model.table)
+        mean = np.concatenate([averages(part, model.table)[0] for part in parts])
         logits = ((mean @ model.weights if model.weights is not None else mean) + model.bias)[check]
         heat = np.geomspace(0.05, 20, 60)
         model.temperature = float(heat[np.argmin([-np.log(softmax(logits, t)[np.arange(len(check)), target[check]] + 1e-12).mean() for t in heat])])
