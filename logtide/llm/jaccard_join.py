@@ -7,11 +7,11 @@ within their prefixes, so the join is on prefix shingles.
 1. `read`: each text's set size, a key of the whole set, its part sizes (see `far_apart`), and how often each of a fixed
    number of shingle slots occurs in all texts. Texts with one set are one class from there on; copies are never paired.
 2. `prefixes`: (shingle, class, size, position), for the prefix alone.
-3. `stars`: the rows of a shingle, by size, pass in a stream; each is paired with the smallest class before it that the
-   length filter admits. That is one pair a row, whatever the size of the group. Verified pairs give first components.
-4. `across`: all other pairs of a shingle that the length and positional filters admit, without those whose classes have
-   one component already: a link between them would change nothing.
-5. New pairs are verified once each, on the whole sets, after the suffix filter.
+3. `stars`: the rows of a shingle pass in a stream; each is paired with a few of its length that lead them, so that pairs
+   grow with the rows, whatever the size of the group. Verified pairs give first components.
+4. `across`: all other pairs of a shingle that the length, positional and suffix filters admit, without those whose
+   classes have one component already: a link between them would change nothing.
+5. New pairs are verified once each, on the whole sets.
 
 Rows without an id take no part and have no component; a text without words is empty, with links to nothing. Rows
 that share an id are told apart by their text, and carry the id each. Extra columns are ignored.
@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 from logtide.llm.common import flat, kept, slices
 from logtide.llm.words import NOT_SPACE, mixed, shingles, words
 
-#: Slots of the shingle counts that give the order: fixed, so their size is bounded (1 MB).
-SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
+#: Slots of the shingle counts that give the order: fixed, so their size is bounded (8 MB).
+SLOTS, SLOT_BLOCK = 1 << 21, 1 << 14
+#: Higher counts of a slot are as one for the order.
+MOST_COUNTED = (1 << 32) - 1
 #: Parts that a set is cut to by fixed pivots, for the suffix filter.
 PARTS = 256
+#: Classes that every other of a shingle and length is compared with before all pairs are looked at.
+LEADERS = 16
 #: Set keys that a task remembers to leave out copies early; later ones leave in the join.
 REMEMBERED = 200_000
 
@@ -63,7 +67,7 @@ def read(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for part, found in sets(batch, n):
                 joined = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                counts += np.bincount((joined & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                np.add.at(counts, (joined & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 rows = len(found)
                 sizes = np.array([len(x) for x in found], np.int64)
                 owner = np.repeat(np.arange(rows), sizes)
@@ -76,7 +80,7 @@ def read(docs: DataFrame, n: int) -> DataFrame:
         blocks = SLOTS // SLOT_BLOCK
         yield pa.RecordBatch.from_arrays([
             pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()),
-            pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(blocks, -1)], pa.binary())],
+            pa.array(range(blocks), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in counts.reshape(blocks, -1)], pa.binary())],
             ["doc_id", "size", "key", "parts", "block", "counts"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         function, "doc_id long, size long, key long, parts binary, block int, counts binary")
@@ -92,9 +96,9 @@ def slot_counts(seen: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
                                          ["block", "counts"])
     blocks = seen.where("block is not null").select("block", "counts").repartition(SLOTS // SLOT_BLOCK, "block")
-    counts = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
+    counts = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint32)
     for row in blocks.mapInArrow(add, "block int, counts binary").toLocalIterator():
-        counts[row.block] = np.frombuffer(row.counts, np.int64)
+        counts[row.block] = np.frombuffer(row.counts, np.uint32)
     return counts.ravel()
 
 
@@ -128,11 +132,16 @@ def admitted(size_a, pos_a, size_b, pos_b, percent: int):
 
 
 def stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) along each shingle, and the rows of shingles that more than one class has (b null)."""
+    """Pairs (a, b) along each shingle, and the rows of shingles that more than one class has (b null).
+
+    A shingle's rows are grouped by size: within a length class the length filter admits every pair. Each row is paired
+    with the LEADERS least keys of its length class, which are mostly the same along all shingles of a group of copies,
+    and the least key of a length class with those of the class before it.
+    """
     def function(batches):
-        here, leader, last, waiting = None, None, None, None
+        here, leaders, last, waiting = None, [], None, None
         for batch in batches:
-            h, key, size, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            h, key, size, pos, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(h):
                 continue
             same = h[1:] == h[:-1]
@@ -142,37 +151,50 @@ def stars(rows: DataFrame, percent: int) -> DataFrame:
             several[0] |= h[0] == here
             pick = np.flatnonzero(several)
             out, pairs = [], []
-            for row in zip(h[pick].tolist(), key[pick].tolist(), size[pick].tolist(), pos[pick].tolist()):
+            for row in zip(h[pick].tolist(), key[pick].tolist(), size[pick].tolist(), pos[pick].tolist(), length[pick].tolist()):
                 if row[0] != here:
-                    here, leader, waiting, last = row[0], row, row, row[1]
+                    here, leaders, waiting, last = row[0], [row], row, row[1]
                 elif row[1] != last:
                     if waiting:
-                        out.append(waiting)
+                        out.append(waiting[:4])
                         waiting = None
-                    out.append(row)
+                    out.append(row[:4])
                     last = row[1]
-                    if 100 * leader[2] < percent * row[2]:
-                        leader = row
-                    else:
-                        pairs.append((leader[1], leader[2], leader[3], row[1], row[2], row[3]))
+                    pairs += [(*leader[1:4], *row[1:4]) for leader in leaders]
+                    if leaders[0][4] != row[4]:
+                        leaders = [row]
+                    elif len(leaders) < LEADERS:
+                        leaders.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] + [pa.nulls(len(out), pa.int64())] * 2,
                                                  ["h", "a", "size_a", "pos", "b", "size_b"])
             if pairs:
                 a, size_a, pos_a, b, size_b, pos_b = np.array(pairs, np.int64).T
                 ok = admitted(size_a, pos_a, size_b, pos_b, percent)
+                turn = ((size_a > size_b) | ((size_a == size_b) & (a > b)))[ok]
                 a, size_a, b, size_b = a[ok], size_a[ok], b[ok], size_b[ok]
+                a, b, size_a, size_b = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, size_b, size_a), np.where(turn, size_a, size_b)]), axis=1)
                 nothing = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([nothing, pa.array(a), pa.array(size_a), nothing, pa.array(b), pa.array(size_b)],
                                                  ["h", "a", "size_a", "pos", "b", "size_b"])
-    return rows.repartition("h").sortWithinPartitions("h", "size", "key").mapInArrow(
+    length = F.floor(F.log(100 / percent, F.col("size"))).alias("length")
+    return rows.select("*", length).repartition("h").sortWithinPartitions("h", "length", "key").mapInArrow(
         function, "h long, a long, size_a long, pos long, b long, size_b long")
 
 
+def far_apart(parts_a: np.ndarray, parts_b: np.ndarray) -> np.ndarray:
+    """The suffix filter's bound: what two sets differ in is at least what the sizes of their parts differ by."""
+    return np.abs(parts_a.astype(np.int16) - parts_b).sum(axis=-1, dtype=np.int64)
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one shingle whose classes are in different components; rows: (h, size, a, pos, root)."""
-    def pairs(size, key, pos, root):
+    """Pairs of one shingle whose classes are in different components; rows: (h, size, a, pos, root, parts).
+
+    The length, positional and suffix filters are applied to each pair before it leaves the task.
+    """
+    def pairs(group: np.ndarray, parts: np.ndarray):
         """Each row outside the most frequent component against the others: nothing if there is one component."""
+        size, key, pos, root = group[1:]
         roots, where, many = np.unique(root, return_inverse=True, return_counts=True)
         if len(roots) < 2:
             return
@@ -180,45 +202,49 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
         for i in np.flatnonzero(outside):
             ok = admitted(size[i], pos[i], size, pos, percent) & (root != root[i])
             ok[:i] &= ~outside[:i]  # those pairs were taken already
-            if (j := np.flatnonzero(ok)).size:
+            j = np.flatnonzero(ok)
+            total = size[i] + size[j]
+            j = j[far_apart(parts[i], parts[j]) <= total - 2 * least_overlap(total, percent)]
+            if j.size:
                 a, b = np.full(len(j), key[i]), key[j]
                 size_a, size_b = np.full(len(j), size[i]), size[j]
                 turn = (size_a > size_b) | ((size_a == size_b) & (a > b))
                 yield np.where(turn, b, a), np.where(turn, size_b, size_a), np.where(turn, a, b), np.where(turn, size_a, size_b)
 
+    def joined(groups):
+        out = []
+        for group in groups:
+            for x in pairs(*group):
+                out.append(x)
+                if len(out) > 10_000:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
+
+    def made(out):
+        a, size_a, b, size_b = np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, size_a, b, size_b)], ["a", "size_a", "b", "size_b"])
+
     def function(batches):
-        held: list[np.ndarray] = []
-        def batches_of(groups):
-            out = []
-            for group in groups:
-                for x in pairs(*group):
-                    out.append(x)
-                    if len(out) > 1000:
-                        yield made(out)
-                        out = []
-            if out:
-                yield made(out)
-        def made(out):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "size_a", "b", "size_b"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the shingle that may go on
         for batch in batches:
-            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if not table.shape[1]:
+            if not batch.num_rows:
                 continue
-            table = np.concatenate([*held, table], axis=1) if held else table
-            cut = np.searchsorted(table[0], table[0, -1], "left")
-            held = [table[:, cut:]]
-            whole = table[:, :cut]
-            edges = np.flatnonzero(whole[0, 1:] != whole[0, :-1]) + 1
-            yield from batches_of((g[1:] for g in np.split(whole, edges, axis=1) if g.shape[1] > 1))
+            table = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            parts = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, PARTS)
+            edges = [0, *(np.flatnonzero(table[0, 1:] != table[0, :-1]) + 1).tolist(), table.shape[1]]
+            groups = [(table[:, a:b], parts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            if held and held[0][0][0, 0] == table[0, 0]:
+                held.append(groups.pop(0))
+            if groups:
+                whole = [(np.concatenate([t for t, _ in held], axis=1), np.concatenate([p for _, p in held]))] if held else []
+                held = [groups.pop()]
+                yield from joined(whole + groups)
         if held:
-            yield from batches_of(g[1:] for g in held)
-    sorted_rows = rows.repartition("h").sortWithinPartitions("h", "size", "a")
-    return sorted_rows.select("h", "size", "a", "pos", "root").mapInArrow(function, "a long, size_a long, b long, size_b long")
-
-
-def far_apart(parts_a: np.ndarray, parts_b: np.ndarray) -> np.ndarray:
-    """The suffix filter's bound: what two sets differ in is at least what the sizes of their parts differ by."""
-    return np.abs(parts_a.astype(np.int16) - parts_b).sum(axis=-1, dtype=np.int64)
+            yield from joined([(np.concatenate([t for t, _ in held], axis=1), np.concatenate([p for _, p in held]))])
+    sorted_rows = rows.select("h", "size", "a", "pos", "root", "parts").repartition("h").sortWithinPartitions("h", "size", "a")
+    return sorted_rows.mapInArrow(function, "a long, size_a long, b long, size_b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -293,6 +319,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
     first = components(links)
     rows = found.where("b is null").select("h", F.col("size_a").alias("size"), "a", "pos")
     rows = rows.join(first.select(F.col("key").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    rows = rows.join(several, "h", "left_semi").join(classes.select(F.col("key").alias("a"), "parts"), "a")
     rest = once(across(rows, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(rest, classes, docs, n, percent)
     roots = components(links.union(more))
