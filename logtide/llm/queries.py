@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language_id, toxicity
+from logtide.llm import language_id, quality_fm, toxicity
 from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
 from logtide.llm.jaccard_join import near_copies
@@ -22,6 +22,13 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark, table(spark, folder, "documents"))
 
 
+def op8_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = quality_fm.scored(spark, docs, quality_fm.learn(docs, table(spark, folder, "labels")))
+    held_out = fold(F.col("doc_id"), quality_fm.FOLDS) == quality_fm.LEFT_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_fm.GOOD).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = marked(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span[1] - span[0])
@@ -36,6 +43,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op5_jaccard_join": op5_jaccard_join, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op2_toxicity": op2_toxicity, "op5_jaccard_join": op5_jaccard_join, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLES: dict[str, str] = {}
