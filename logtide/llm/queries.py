@@ -9,6 +9,7 @@ from logtide.llm import language_id, quality_fm, toxicity
 from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
 from logtide.llm.jaccard_join import near_copies
+from logtide.llm.token_counts import token_counts
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +19,15 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(spark, table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark, table(spark, folder, "documents"))
 
@@ -43,6 +53,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op5_jaccard_join": op5_jaccard_join, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLES: dict[str, str] = {}
