@@ -9,6 +9,7 @@ from logtide.llm import language_id, quality_fm, toxicity
 from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
 from logtide.llm.jaccard_join import near_copies
+from logtide.llm.sentencepiece_sampling import sampled_segmentations
 from logtide.llm.token_counts import token_counts
 
 
@@ -32,6 +33,10 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark, table(spark, folder, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sampled_segmentations(spark, table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = quality_fm.scored(spark, docs, quality_fm.learn(docs, table(spark, folder, "labels")))
@@ -53,6 +58,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLES: dict[str, str] = {}
