@@ -18,6 +18,7 @@ listed. Repeated rows give the same samples; rows without an id are seeded by th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,11 @@ from logtide.llm.words import mixed, spans, sums
 
 OFFSET = 2.7
 #: Bytes of text whose lattices are built at once.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 5 << 20
 NORMAL, BYTE, UNIGRAM = (1, 4), 6, 1
+BEGUN_BITS = 22
+#: Random numbers for a chunk that is drawn anew; longer ones use them in turn.
+STEPS = 24
 
 
 @dataclass
@@ -41,7 +45,8 @@ class Pieces:
     hashes: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
-    held: np.ndarray
+    begun: np.ndarray
+    at: np.ndarray
     longest: int
     of_byte: np.ndarray
     byte_weight: float
@@ -72,10 +77,17 @@ def pieces(path: str, smoothing: float = 1.0) -> Pieces:
     data = np.frombuffer(b"".join(text[i] for i in normal), np.uint8)
     size = np.array([len(text[i]) for i in normal])
     ends = np.cumsum(size)
-    hashes = spans(sums(data), ends - size, ends)
+    running = sums(data)
+    hashes = spans(running, ends - size, ends)
     order = np.argsort(hashes)
-    held = np.zeros(1 << 20, bool)
-    held[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    begun = np.zeros(1 << BEGUN_BITS, bool)  # whether a span may begin a piece
+    for n in range(1, int(size.max()) + 1):
+        begin = (ends - size)[size >= n]
+        begun[slots(spans(running, begin, begin + n))] = True
+    at = np.full(1 << BEGUN_BITS, -1, np.int32)  # a slot's piece; the few that share one are searched for
+    at[slots(hashes[order])] = np.arange(len(order))
+    shared, many = np.unique(slots(hashes), return_counts=True)
+    at[shared[many > 1]] = -2
     of_byte, decoded = np.full(256, -1, np.int32), list(text)
     for i, p in enumerate(model.pieces):
         if p.type == BYTE:
@@ -87,10 +99,24 @@ def pieces(path: str, smoothing: float = 1.0) -> Pieces:
         raise ValueError("only models with a piece for every byte")
     alone = np.ones(256, bool)
     alone[data] = False
-    return Pieces(hashes[order], np.array(normal, np.int32)[order], weights[order], held, int(size.max()), of_byte, float(weights.min()) - 2 * smoothing,
+    return Pieces(hashes[order], np.array(normal, np.int32)[order], weights[order], begun, at, int(size.max()), of_byte, float(weights.min()) - 2 * smoothing,
                   alone & (np.arange(256) < 128), np.frombuffer(b"".join(decoded), np.uint8), np.cumsum([0] + [len(x) for x in decoded]))
 
 
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BEGUN_BITS)).astype(np.int32)
+
+
+def found_in(known: Pieces, hashes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The number of each hash's piece, -1 for none."""
+    at = known.at[slot]
+    search = np.flatnonzero(at == -2)
+    if len(search):
+        at[search] = np.minimum(np.searchsorted(known.hashes, hashes[search]), len(known.hashes) - 1)
+    at[(at >= 0) & (known.hashes[at] != hashes)] = -1
+    return at
+
+
 def lengths_to(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of the ranges [first, first + size), one range after the other."""
     return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
@@ -120,14 +146,17 @@ class Lattice:
             if not len(on):
                 break
             h = spans(running, place[on], place[on] + n)
-            maybe = np.flatnonzero(known.held[(h >> np.uint64(44)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(known.hashes, h[maybe]), len(known.hashes) - 1)
-            found = known.hashes[at] == h[maybe]
-            source.append(on[maybe[found]])
-            reach.append(np.full(int(found.sum()), n))
-            piece.append(known.ids[at[found]])
-            weight.append(known.weights[at[found]])
-        source, reach, piece, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (source, reach, piece, weight))
+            slot = slots(h)
+            go = np.flatnonzero(known.begun[slot])
+            on = on[go]
+            at = found_in(known, h[go], slot[go])
+            found = np.flatnonzero(at >= 0)
+            at = at[found]
+            source.append(on[found])
+            reach.append(np.full(len(found), n, np.int32))
+            piece.append(known.ids[at])
+            weight.append(known.weights[at])
+        source, reach, piece, weight = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (source, reach, piece, weight))
         lead = stream[place]
         char = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
         single = np.zeros(len(place), bool)
@@ -135,18 +164,21 @@ class Lattice:
         lone = np.flatnonzero(begins & ~single)
         n = np.minimum(char[lone], left[lone])
         source, reach = np.concatenate((source, lone)), np.concatenate((reach, n))
-        piece = np.concatenate((piece, np.where(n == 1, known.of_byte[lead[lone]], -1)))
+        piece = np.concatenate((piece, np.where(n == 1, known.of_byte[lead[lone]], -1).astype(np.int32)))
         weight = np.concatenate((weight, known.byte_weight * n))
-        order = np.lexsort((reach, source))
+        order = np.argsort(source, kind="stable")  # some sorted runs
         source, reach, piece, weight = source[order], reach[order], piece[order], weight[order]
         self.place, self.reach, self.piece, self.stream, self.of_byte = place[source], reach, piece, stream, known.of_byte
         origin = state[source]
         self.to = origin + reach
-        self.first = np.searchsorted(origin, np.arange(int(self.last[-1]) + 2))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(origin, minlength=int(self.last[-1]) + 1))))
         ahead = np.full(int(self.last[-1]) + 1, -np.inf)
         ahead[self.last] = 0.0
-        by_left = np.argsort(left[source], kind="stable")
-        lefts = left[source][by_left]
+        lefts = left[source]
+        if not len(lefts) or lefts.max() < 1 << 15:
+            lefts = lefts.astype(np.int16)  # sorted by radix
+        by_left = np.argsort(lefts, kind="stable")
+        lefts = lefts[by_left]
         cuts = np.append(np.flatnonzero(np.concatenate(([True], lefts[1:] != lefts[:-1]))), len(lefts))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # nearest to the end first
             edges = by_left[a:b]
@@ -192,25 +224,30 @@ class Lattice:
 
     def draw_other(self, chunk: int, barred: list[tuple], random: list[float]) -> tuple[list[int], float]:
         """A segmentation of one chunk that is not barred: each edge's mass less that of the barred ones through it."""
-        state, goal, out, log_p = int(self.base[chunk]), int(self.last[chunk]), [], 0.0
+        state, goal, out, total = int(self.base[chunk]), int(self.last[chunk]), [], 0.0
         while state != goal:
             a, b = int(self.first[state]), int(self.first[state + 1])
-            mass = np.exp(self.log_p[a:b])
+            log_p = self.log_p[a:b].tolist()
+            mass = [math.exp(p) for p in log_p]
             for path in barred:
-                mass[path[len(out)] - a] -= float(np.exp(self.log_p[list(path[len(out):])].sum()))
-            mass = np.maximum(mass, 0.0)
+                mass[path[len(out)] - a] -= math.exp(sum(self.log_p[list(path[len(out):])].tolist()))
             if barred:  # rounding must not leave mass where every continuation is barred
-                mass[mass < 1e-14] = 0.0
-            if not mass.sum():
+                mass = [m if m > 1e-14 else 0.0 for m in mass]
+            left = sum(mass)
+            if not left:
                 return [], -np.inf
-            cut = np.cumsum(mass)
-            u = random[len(out) % len(random)] if len(out) < len(random) else float(uniform(np.array([np.uint64(len(out))]), np.array([state]), 1)[0])
-            edge = a + min(int(np.searchsorted(cut, u * cut[-1], "right")), int(np.flatnonzero(mass)[-1]))
-            barred = [path for path in barred if path[len(out)] == edge]
-            out.append(edge)
-            log_p += float(self.log_p[edge])
-            state = int(self.to[edge])
-        return out, log_p
+            left *= random[len(out) % len(random)]
+            pick = max(i for i, m in enumerate(mass) if m)
+            for i, m in enumerate(mass):
+                left -= m
+                if m and left < 0:
+                    pick = i
+                    break
+            barred = [path for path in barred if path[len(out)] == a + pick]
+            out.append(a + pick)
+            total += log_p[pick]
+            state = int(self.to[a + pick])
+        return out, total
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many are each edge's."""
@@ -293,10 +330,11 @@ def samples(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, known: Piece
         new_edges, free, barred = {}, where.copy(), {}
         values = best.copy()
         log_p = np.zeros(len(chunk))
-        for t in np.flatnonzero(np.isfinite(best)).tolist():
+        going = np.flatnonzero(np.isfinite(best))
+        numbers = uniform(np.repeat(key[filled][going], STEPS), np.tile(np.arange(STEPS), len(going)), (turn << 8) + 4).reshape(-1, STEPS)
+        for t, random in zip(going.tolist(), numbers.tolist()):
             old, c = winners[source[t]], int(where[t])
             bars = [old.path(c), *(old.barred.get(t, []) if old.free[t] == c else [])]
-            random = uniform(np.full(64, key[filled][t]), np.arange(64), (turn << 8) + 4).tolist()
             path, p = lattice.draw_other(int(chunk[c]), bars, random)
             old.bounds[c] = -np.inf
             if not path:
