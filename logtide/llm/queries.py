@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logtide.llm import language_id, quality_fm, toxicity
 from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
+from logtide.llm.html_extract import main_texts
 from logtide.llm.jaccard_join import near_copies
 from logtide.llm.sentencepiece_sampling import sampled_segmentations
 from logtide.llm.token_counts import token_counts
@@ -20,6 +21,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
+def op3_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -58,6 +63,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 ORACLES: dict[str, str] = {}
