@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import language_id, quality_fm, toxicity
+from logtide.llm.chat_format import LOG_ORDER, digests, formatted, logged
 from logtide.llm.common import fold, table
 from logtide.llm.decontaminate import marked
 from logtide.llm.html_extract import main_texts
@@ -38,6 +39,13 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(spark, table(spark, folder, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return digests(formatted(logged(rows.union(extra)), *LOG_ORDER))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sampled_segmentations(spark, table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -63,6 +71,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+
+#: The escapes of chat formatting: backslashes first, then one after the first character of each control string.
+_ESCAPED = """replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]')"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_format": f"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role)) AS loss_sha256,
+               CAST(sum(11 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+        FROM r GROUP BY conv_id""",
+}
