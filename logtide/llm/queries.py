@@ -13,6 +13,11 @@ from logtide.llm.html_extract import main_texts
 from logtide.llm.jaccard_join import near_copies
 from logtide.llm.sentencepiece_sampling import sampled_segmentations
 from logtide.llm.token_counts import token_counts
+from logtide.llm.topk_search import top_k
+
+
+def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(spark, table(spark, folder, "embeddings"), every=50, k=5)
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,12 +76,19 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+QUERIES = {"op1_topk_search": op1_topk_search, "op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
 
 #: The escapes of chat formatting: backslashes first, then one after the first character of each control string.
 _ESCAPED = """replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]')"""
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+                   FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op6_chat_format": f"""
         WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
