@@ -330,7 +330,7 @@ def replaced(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     columns["text"] = pa.array(texts, text)
     if "n_chars" in columns:
         columns["n_chars"] = pc.cast(pc.utf8_length(columns["text"]), columns["n_chars"].type)
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    return pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
 
 
 def digest(items: list[int]) -> str:

@@ -151,7 +151,9 @@ def features(x: Texts, known: Lexicon) -> np.ndarray:
     either = np.maximum(plain, read)
     people = _second_person()
     person = people[np.minimum(np.searchsorted(people, words.hash), len(people) - 1)] == words.hash
-    near = np.convolve(person, np.ones(2 * NEAR + 1), "same") > 0 if len(person) else person
+    place = np.arange(len(person))
+    people_before = np.concatenate(([0], np.cumsum(person)))
+    near = people_before[np.minimum(place + NEAR + 1, len(person))] > people_before[np.maximum(place - NEAR, 0)]
     strongest = np.zeros(x.rows)
     np.maximum.at(strongest, np.repeat(np.arange(x.rows), np.diff(words.first)), either)
     star = np.zeros(len(x.data), bool)
