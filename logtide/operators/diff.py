@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtide.functions.values import comparable, describe, same
 from logtide.operators.digest import block_digests
@@ -33,9 +33,18 @@ def _sides(left: DataFrame, right: DataFrame, id: str):
     return source, target, typed
 
 
+def _once(side: DataFrame, copies: str) -> DataFrame:
+    """One row of each id, with how many there are. The join needs the ids together and sorted anyway."""
+    own = Window.partitionBy("id")
+    first = F.row_number().over(own.orderBy(F.xxhash64(*[c for c in side.columns if c != "id"])))
+    numbered = side.withColumn(copies, F.count("*").over(own)).withColumn("nth", first)
+    return numbered.filter("nth = 1").drop("nth")
+
+
 def _compare(source: DataFrame, target: DataFrame, typed: list) -> DataFrame:
-    joined = (source.withColumn("in_source", F.lit(True))
-              .join(target.withColumn("in_target", F.lit(True)), "id", "full_outer"))
+    """Rows of one id are compared by one of them on each side; unequal numbers of them are a finding."""
+    joined = (_once(source, "s_copies").withColumn("in_source", F.lit(True))
+              .join(_once(target, "t_copies").withColumn("in_target", F.lit(True)), "id", "full_outer"))
 
     def finding(kind: str, column, a: Column, b: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(column).cast("string").alias("column"),
@@ -45,7 +54,9 @@ def _compare(source: DataFrame, target: DataFrame, typed: list) -> DataFrame:
     both = F.col("in_source").isNotNull() & F.col("in_target").isNotNull()
     found = [F.when(F.col("in_target").isNull(), finding("missing", None, nothing, nothing)),
              F.when(F.col("in_source").isNull(), finding("extra", None, nothing, nothing))]
-    differs = F.lit(False)
+    repeated = F.col("s_copies") != F.col("t_copies")
+    found.append(F.when(both & repeated, finding("repeated", None, F.col("s_copies").cast("string"), F.col("t_copies").cast("string"))))
+    differs = F.coalesce(repeated, F.lit(False))
     for i, (name, a_type, b_type) in enumerate(typed):
         a, b = F.col(f"s{i}"), F.col(f"t{i}")
         other = ~same(a, b, a_type, b_type)
@@ -58,15 +69,16 @@ def _compare(source: DataFrame, target: DataFrame, typed: list) -> DataFrame:
 
 
 def diff_full(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
-    """Every difference between a source and its copy: missing and extra rows, and each differing column.
+    """Every difference between a source and its copy: missing and extra rows, each differing column, and ids that
+    the sides have different numbers of (`repeated`, with the two numbers).
 
-    Both sides are shuffled by id once. Ids are unique, so the shuffle is even.
+    Both sides are shuffled by id once. Ids are all but unique, so the shuffle is even.
     """
     return _compare(*_sides(left, right, id))
 
 
 def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
-    """The same differences, shuffling only rows of blocks whose digests differ.
+    """The same differences, shuffling only rows of blocks whose digests differ. Reads both digests when called.
 
     For a copy that is almost right: two scans, a combined aggregate and next to no shuffle.
     """

@@ -49,7 +49,7 @@ def egress_violations(log: DataFrame, prefixes: list[str], allowed_hosts: list[s
     """
     rows = log.filter(~is_local(F.col("target"))).withColumn("attribution", attribution(F.col("stack"), prefixes))
     host = host_of(F.col("target"))
-    reason = (F.when(~host.isin(*allowed_hosts), "host not allowed")
+    reason = (F.when(~F.lower(host).isin(*[name.lower() for name in allowed_hosts]), "host not allowed")
               .when((F.col("kind") != "resolve") & ~F.col("target").endswith(":443"), "not HTTPS"))
     if client:
         reason = reason.when(~F.col("stack").contains(client), "not the allowed client")

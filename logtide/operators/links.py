@@ -27,7 +27,7 @@ def clear_links(df: DataFrame, fk: str, parents: DataFrame, pk: str) -> DataFram
     columns = df.columns
     unlinked = df.filter(F.col(fk).isNull())
     linked = (df.filter(F.col(fk).isNotNull())
-              .join(_parents(parents, pk), F.col(fk) == F.col("key"), "left"))
+              .join(_keys(parents, pk), F.col(fk) == F.col("key"), "left"))
     cleared = F.when(F.col("key").isNotNull(), F.col(fk)).alias(fk)
     return unlinked.unionByName(linked.select(*[cleared if c == fk else F.col(f"`{c}`") for c in columns]))
 
@@ -48,16 +48,17 @@ def clear_all_links(df: DataFrame, links: list[tuple[str, DataFrame, str]]) -> D
     for n, (fk, parents, pk) in enumerate(links):
         spread = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
         rows = rows.withColumn(f"probe{n}", F.coalesce(fk, spread)).withColumn(f"lacks{n}", F.col(fk).isNull())
-        found = parents.select(F.col(pk).alias(f"key{n}"), F.lit(False).alias(f"met{n}"))
+        found = _keys(parents, pk).select(F.col("key").alias(f"key{n}"), F.lit(False).alias(f"met{n}"))
         rows = rows.join(found, (F.col(f"probe{n}") == F.col(f"key{n}")) & (F.col(f"lacks{n}") == F.col(f"met{n}")), "left")
         cleared[fk] = F.when(F.col(f"key{n}").isNotNull(), F.col(fk)).alias(fk)
     return df.filter(~some).unionByName(rows.select(*[cleared.get(c, F.col(f"`{c}`")) for c in columns]))
 
 
 def orphans(df: DataFrame, fk: str, parents: DataFrame, pk: str, time: str, cutoff: int) -> DataFrame:
-    """Expired rows whose parent is gone; a null link counts as gone."""
-    return df.filter(expired(df, time, cutoff)).join(
-        _parents(parents, pk), F.col(fk) == F.col("key"), "left_anti")
+    """Expired rows whose parent is gone; a null link counts as gone and skips the join."""
+    old = df.filter(expired(df, time, cutoff))
+    linked = old.filter(F.col(fk).isNotNull()).join(_parents(parents, pk), F.col(fk) == F.col("key"), "left_anti")
+    return linked.unionByName(old.filter(F.col(fk).isNull()))
 
 
 def purge_orphans(df: DataFrame, fk: str, parents: DataFrame, pk: str, time: str, cutoff: int) -> DataFrame:

@@ -126,27 +126,17 @@ class RewriteRules:
     links: dict[str, tuple[str, str]] = field(default_factory=dict)
     #: name -> (old link, label, new link); only the link changes where the text shows it
     relinked: dict[str, tuple[str, str, str]] = field(default_factory=dict)
-
-
-def shape_patterns(name: str) -> list[str]:
-    """Shapes of a displayed name: the first group stays, the name after it is replaced."""
-    code = r"(?:[\x01\x02]|§[0-9a-fk-orxA-FK-ORX])"
-    name = rf"\Q{name}\E"
-    return [
-        rf"(){name}(?= ?{code}*- )",
-        rf"(\[){name}(?=])",
-        rf"(----- ?{code}*){name}",
-        rf"(){name}(?={code}* \| )",
-        rf"^({code}+){name}$",
-    ]
+    #: (what stands before a displayed name and stays, what follows it), as patterns
+    contexts: tuple[tuple[str, str], ...] = ()
 
 
 def rebrand(text: Column, rules: RewriteRules) -> Column:
+    """The old name becomes the new one wherever one of the rules' contexts surrounds it."""
     new = rules.new_name.replace("\\", "\\\\").replace("$", "\\$")
-    out = text
-    for pattern in shape_patterns(rules.old_name):
-        out = F.regexp_replace(out, pattern, f"$1{new}")
-    return out
+    for before, after in rules.contexts:
+        ahead = f"(?={after})" if after else ""
+        text = F.regexp_replace(text, rf"({before})\Q{rules.old_name}\E{ahead}", f"$1{new}")
+    return text
 
 
 def rewrite_text(df: DataFrame, name: str, text: str, rules: RewriteRules) -> DataFrame:

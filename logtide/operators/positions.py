@@ -59,18 +59,23 @@ def running(blocks: DataFrame, value: str, out: str, how, few: bool | None = Non
 
 def block_offsets(df: DataFrame, id: str) -> tuple[DataFrame, int]:
     """Occupied blocks with their row count `n` and the position `first` of their first row; and all rows' count."""
-    counts = written(df.groupBy(block_of(id)).agg(F.count("*").alias("n")))
+    counts = written(df.filter(F.col(id).isNotNull()).groupBy(block_of(id)).agg(F.count("*").alias("n")))
     blocks, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     return running(counts, "n", "first", F.sum, blocks <= FLAT_BLOCKS), rows
 
 
 def with_position(df: DataFrame, id: str, out: str = "position") -> DataFrame:
-    """Number the rows 0, 1, 2 … in id order. Rows are shuffled once, by block."""
+    """Number the rows 0, 1, 2 … in id order; rows without an id stay, without a position. Rows are shuffled once, by block.
+
+    Counts the blocks when called.
+    """
     rank = F.row_number().over(Window.partitionBy("block").orderBy(id))
     offsets = block_offsets(df.select(id), id)[0].select("block", "first")
-    return (df.withColumn("block", block_of(id)).withColumn(out, rank)
-            .join(offsets, "block")
-            .withColumn(out, F.col("first") + F.col(out) - 1).drop("block", "first"))
+    numbered = (df.filter(F.col(id).isNotNull()).withColumn("block", block_of(id)).withColumn(out, rank)
+                .join(offsets, "block")
+                .withColumn(out, F.col("first") + F.col(out) - 1).drop("block", "first"))
+    # not by a null block: all of those rows would meet in one task
+    return numbered.unionByName(df.filter(F.col(id).isNull()).withColumn(out, F.lit(None).cast("bigint")))
 
 
 def ids_at(df: DataFrame, id: str, positions: DataFrame, offsets: DataFrame | None = None,
@@ -99,14 +104,14 @@ def ids_at(df: DataFrame, id: str, positions: DataFrame, offsets: DataFrame | No
 
 
 def assign_ids(df: DataFrame, order: str, start: int, out: str = "rowid") -> DataFrame:
-    """Give new rows the ids after the high-water mark `start`, in the order of a unique key."""
+    """Give new rows the ids after the high-water mark `start`, in the order of a unique key; rows without a key get none."""
     return with_position(df, order, out).withColumn(out, F.col(out) + F.lit(start) + 1)
 
 
 def page_bounds(df: DataFrame, id: str, rows_per_page: int) -> DataFrame:
     """First and last id and row count of each page of rows in id order."""
     if rows_per_page < 1 << LEAF_BITS:
-        numbered = with_position(df.select(id), id)
+        numbered = with_position(df.select(id).filter(F.col(id).isNotNull()), id)
         return (numbered.groupBy(F.floor(F.col("position") / rows_per_page).alias("page"))
                 .agg(F.min(id).alias("from_id"), F.max(id).alias("to_id"), F.count("*").alias("rows")))
     # The row count plans the pages by arithmetic; only their edge rows are looked up
@@ -144,6 +149,7 @@ def order_violations(df: DataFrame, id: str, time: str, slack: int = 0) -> DataF
 
     Copies of one id are folded before the shuffle, so a badly repeated id is one row.
     """
+    df = df.filter(F.col(id).isNotNull())
     per_id = df.groupBy(id).agg(F.count("*").alias("copies"), F.min(time).alias("oldest"), F.max(time).alias("newest"))
     per_id = per_id.withColumn("block", block_of(id))
     blocks = written(df.groupBy(block_of(id)).agg(F.max(time).alias("newest")))

@@ -34,10 +34,11 @@ def purge_expired(df: DataFrame, id: str, time: str, cutoff: int, keep_newest: b
 def purge_by_policy(df: DataFrame, key: str, time: str, policies: DataFrame, now: int) -> DataFrame:
     """Rows left when each table (the value of `key`) expires by its own retention text.
 
-    `policies` has (table, retention). A table without a usable retention keeps everything.
+    `policies` has (table, retention). A table without a usable retention keeps everything; of several policies for
+    one table, the one that keeps most counts.
     """
-    cutoffs = policies.select(F.col("table").alias(key), retention(F.col("retention")).alias("r")).select(
-        key, F.when(F.col("r.seconds") > 0, F.lit(now) - F.col("r.seconds")).alias("cutoff"))
+    cutoffs = policies.select(F.col("table").alias(key), retention(F.col("retention")).alias("r")).groupBy(key).agg(
+        F.when(F.every(F.coalesce(F.col("r.seconds") > 0, F.lit(False))), F.lit(now) - F.max("r.seconds")).alias("cutoff"))
     at = seconds_of(df, time)
     # A log has few values of `key`, each of them hot in a shuffle; more policies than fit are joined with skew handling
     joined = df.join(F.broadcast(cutoffs) if fits(policies, BROADCAST_POLICIES) else cutoffs, key, "left")

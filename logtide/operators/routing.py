@@ -92,12 +92,15 @@ def redirect(df: DataFrame, url: str, routes: list[Route], default: str = "BLOCK
 
 
 def route_summary(df: DataFrame, url: str, policies: dict[str, tuple[list[Route], str]]) -> DataFrame:
-    """Requests per host and action under each named policy, in one scan: policy columns per host."""
+    """Requests per host and action under each named policy, in one scan: policy columns per host.
+
+    Unreadable URLs are counted under the empty host, null ones under none.
+    """
     at = normalize_url(F.col(url))
     host = url_parts(F.col(url))["host"]
     decided = df.select(host.alias("host"), F.array(*[
         F.struct(F.lit(name).alias("policy"), route_column(at, routes, default).alias("d"))
-        for name, (routes, default) in policies.items()]).alias("all")).filter(at.isNotNull())
+        for name, (routes, default) in policies.items()]).alias("all"))
     return (decided.select("host", F.explode("all").alias("one"))
             .groupBy("host", F.col("one.policy").alias("policy"), F.col("one.d.action").alias("action"),
                      F.col("one.d.is_default").alias("is_default"))
@@ -105,11 +108,11 @@ def route_summary(df: DataFrame, url: str, policies: dict[str, tuple[list[Route]
 
 
 def policy_matrix(df: DataFrame, url: str, policies: dict[str, tuple[list[Route], str]]) -> DataFrame:
-    """One row per host: the requests each policy lets out (PASSTHROUGH or REDIRECT), answers and blocks."""
+    """One row per host: the requests each policy blocks, answers, passes through and redirects; the empty host has the unreadable URLs."""
     at = normalize_url(F.col(url))
     decided = df.select(url_parts(F.col(url))["host"].alias("host"),
                         *[route_column(at, routes, default)["action"].alias(name)
-                          for name, (routes, default) in policies.items()]).filter(at.isNotNull())
+                          for name, (routes, default) in policies.items()])
     cells = [F.count_if(F.col(f"`{name}`") == action).alias(f"{name}_{action}".replace("-", "_").lower())
-             for name in policies for action in ("BLOCK", "ANSWER", "PASSTHROUGH")]
+             for name in policies for action in ("BLOCK", "ANSWER", "PASSTHROUGH", "REDIRECT")]
     return decided.groupBy("host").agg(*cells)

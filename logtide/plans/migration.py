@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logtide.operators.diff import diff_full, diff_pruned, diff_sample
+from logtide.operators.diff import diff_pruned, diff_sample
 from logtide.operators.encode import Codec, encode
 from logtide.operators.sample import sample_plan, sample_ranges
 from logtide.operators.stats import table_stats
 from logtide.session import written
-from logtide.specs import CORE_TABLES, FULL_COMPARISON_ROWS, LOOKUP_KEY_PREFIX, NEVER_COPIED, copy_order, is_reference
+from logtide.specs import CORE_TABLES, LOOKUP_KEY_PREFIX, NEVER_COPIED, copy_order, is_reference
 
 #: Tables copied at the same time; Spark's scheduler shares the executors among them.
 PARALLEL_TABLES = 4
@@ -64,8 +64,11 @@ class CopyResult:
 
 
 def plan_copy(sources: dict[str, DataFrame], ids: dict[str, str], targets: dict[str, list[str]] | None = None,
-              skip: tuple[str, ...] = (), full: bool = False, core: list[str] = CORE_TABLES) -> list[TablePlan]:
-    """What to copy, in order. Counts every table before anything is written; an empty source is refused."""
+              skip: tuple[str, ...] = (), sample: bool = False, core: list[str] = CORE_TABLES) -> list[TablePlan]:
+    """What to copy, in order. Counts every table before anything is written; an empty source is refused.
+
+    `sample` asks for a comparison of about 1% of every table but reference tables; without it all rows are compared.
+    """
     check_source(list(sources), core)
     plans, total = [], 0
     counted = {name: (df, ids.get(name, "rowid")) for name, df in sources.items() if name != NEVER_COPIED}
@@ -78,7 +81,7 @@ def plan_copy(sources: dict[str, DataFrame], ids: dict[str, str], targets: dict[
             continue
         wanted = targets[name] if targets else [c for c in df.columns if not c.startswith(LOOKUP_KEY_PREFIX)]
         plans.append(TablePlan(name, id, match_columns(df.columns, wanted, name), rows, highest,
-                               not (full or rows <= FULL_COMPARISON_ROWS or is_reference(name))))
+                               sample and not is_reference(name)))
     if total == 0:
         raise MigrationRefused("the source holds no data")
     return plans
@@ -115,12 +118,12 @@ def copy_tables(sources: dict[str, DataFrame], store, plans: list[TablePlan],
 
 
 def validate(source: DataFrame, target: DataFrame, plan: TablePlan, seed: int = 0) -> DataFrame:
-    """Differences of one copied table: all rows of small and reference tables, about 1% of larger ones."""
+    """Differences of one copied table: all rows, or about 1% where the plan asks for a sample."""
     target_id = next(b for a, b in plan.columns if a == plan.id)
     left = source.select(*[F.col(f"`{a}`").alias(b) for a, b in plan.columns])
     if not plan.sampled:
-        # A large copy is expected to be right almost everywhere: shuffle only what its digests cannot clear
-        return (diff_full if plan.rows <= FULL_COMPARISON_ROWS else diff_pruned)(left, target, target_id)
+        # A copy is expected to be right almost everywhere: shuffle only what its digests cannot clear
+        return diff_pruned(left, target, target_id)
     plan_rows = sample_plan(left.sparkSession, plan.rows, seed)
     ranges = written(sample_ranges(left, target_id, plan_rows))
     return diff_sample(left, target, target_id, ranges)

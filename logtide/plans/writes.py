@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logtide.session import written
 from logtide.sources.files import exists, folders, read_json, write_json
 
 BUCKET = "id_bucket"
@@ -14,11 +15,18 @@ BUCKET_BITS = 24
 
 
 def write_idempotent(df: DataFrame, path: str, id: str, bits: int = BUCKET_BITS) -> None:
-    """Write rows into folders by id range; a repeated write replaces the folders it touches.
+    """Write rows into folders by id range; a repeated write replaces the rows with its ids.
 
-    A batch must hold whole buckets, as a rerun of the same batch does.
+    Folders are replaced whole: rows of other ids in a folder that the batch touches are read first, kept in the
+    shared folder, and written again beside it. Batches that share a folder must not be written at the same time.
     """
     bucketed = df.withColumn(BUCKET, F.shiftright(F.col(id), bits))
+    if exists(df.sparkSession, path):
+        before = df.sparkSession.read.parquet(path)
+        before = before.withColumn(BUCKET, F.col(BUCKET).cast(bucketed.schema[BUCKET].dataType))
+        touched = bucketed.select(BUCKET).distinct()
+        others = before.join(touched, BUCKET, "left_semi").join(df.select(id).distinct(), id, "left_anti")
+        bucketed = bucketed.unionByName(written(others))
     (bucketed.repartitionByRange(BUCKET, id).sortWithinPartitions(BUCKET, id)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 

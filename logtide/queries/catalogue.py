@@ -61,7 +61,8 @@ def _(spark, folder):
 RULES = RewriteRules(
     "Acme", "Nova", dropped=("SRC3", "SRC4"), self_naming=("SRC5",), fixed={"SRC6": "Nova is a build of Acme."},
     links={"SRC8": ("Website", "https://nova.example")},
-    relinked={"SRC9": ("https://acme.example/get", "Download", "https://nova.example/releases")})
+    relinked={"SRC9": ("https://acme.example/get", "Download", "https://nova.example/releases")},
+    contexts=((r"\[", r"\]"), ("----- ", ""), ("", " - "), ("", r" \| ")))
 
 
 @query("text_rewrite", """

@@ -10,7 +10,7 @@ from logtide.operators.stats import table_stats
 from logtide.plans.migration import copy_tables, plan_copy
 from logtide.plans.writes import (IDENTITY, begin_version, complete_version, open_published, pending_batches, plan_batches,
                                   read_buckets, write_idempotent)
-from logtide.queries.proving import IDS, ranges_sql, stats_sql
+from logtide.queries.proving import IDS, dated, ranges_sql, stats_sql
 from logtide.queries.registry import query, table, work_dir
 from logtide.session import written
 from logtide.sources.scan import scan_after, scan_range, scan_ranges
@@ -37,16 +37,17 @@ def _(spark, folder):
 
 @query("fit_audit", """
     WITH v AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM orders)
-    SELECT 'orders' AS "table", 'o_custkey' AS "column", o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS value, 'is out of range for UInt8' AS reason
+    SELECT 'orders' AS "table", 'o_custkey' AS "column", o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS value, 'range' AS reason
         FROM v WHERE o_custkey > 255
-    UNION ALL SELECT 'orders', 'o_totalprice', o_orderkey, CAST(o_totalprice AS VARCHAR), 'isn''t a whole number, as UInt32 requires'
+    UNION ALL SELECT 'orders', 'o_totalprice', o_orderkey, CAST(o_totalprice AS VARCHAR), 'fraction'
         FROM v WHERE round(o_totalprice) <> o_totalprice
-    UNION ALL SELECT 'orders', 'status', o_orderkey, 'NULL', 'is missing, which the target requires' FROM v WHERE status IS NULL
-    UNION ALL SELECT 'orders', 'o_orderpriority', o_orderkey, '''' || o_orderpriority || '''', 'isn''t a number, as Int32 requires' FROM v""")
+    UNION ALL SELECT 'orders', 'status', o_orderkey, 'NULL', 'missing' FROM v WHERE status IS NULL
+    UNION ALL SELECT 'orders', 'o_orderdate', o_orderkey, CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR), 'range' FROM v
+    UNION ALL SELECT 'orders', 'o_orderpriority', o_orderkey, '''' || o_orderpriority || '''', 'kind' FROM v""")
 def _(spark, folder):
-    orders = table(spark, folder, "orders").withColumn("status", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    orders = dated(table(spark, folder, "orders")).withColumn("status", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
     return fit_audit(orders, "o_orderkey", {"o_orderkey": "UInt64", "o_custkey": "UInt8", "o_totalprice": "UInt32",
-                                            "status": "String", "o_orderpriority": "Nullable(Int32)"}, "orders")
+                                            "status": "String", "o_orderdate": "SMALLINT", "o_orderpriority": "Nullable(Int32)"}, "orders")
 
 
 def hex_codec() -> Codec:
@@ -129,7 +130,7 @@ def _(spark, folder):
         "bucket", "table", "columns", "count", "first_id", "last_id")
 
 
-COPIED = ["region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "pages", "benchmark"]
+COPIED = list(IDS)
 
 
 @query("copy_tables", stats_sql(COPIED))
@@ -143,12 +144,23 @@ def _(spark, folder):
     return table_stats({name: (store.read(spark, name), IDS[name].upper()) for name in COPIED})
 
 
-@query("publish_manifest", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+@query("publish_manifest", "SELECT * FROM orders")
 def _(spark, folder):
     root = work_dir(spark)
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders = table(spark, folder, "orders")
     target = begin_version(spark, root, "v1")
     ParquetStore(target).write(orders, "orders", "o_orderkey")
     stats = table_stats({"orders": (spark.read.parquet(f"{target}/orders"), "o_orderkey")}).first().asDict()
     complete_version(spark, root, "v1", {"orders": {k: v for k, v in stats.items() if k != "table"}})
     return open_published(spark, root, "orders")
+
+
+@query("write_partial_buckets", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, folder):
+    """Batches that share folders, by price: each leaves the other's rows, and a repeated one adds none."""
+    path = work_dir(spark)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    cheap = F.col("o_totalprice") < 200_000
+    for batch in (orders.filter(cheap), orders.filter(~cheap), orders.filter(cheap)):
+        write_idempotent(batch, path, "o_orderkey")
+    return read_buckets(spark, path).select("o_orderkey", "o_custkey", "o_totalprice")

@@ -174,7 +174,13 @@ def _(spark, folder):
         same(F.col("p_partkey").cast("string"), F.col("p_partkey"), text, long).alias("text_number"))
 
 
-DIGEST_LINE = """CAST(o_orderkey AS VARCHAR) || '|o_custkey=' || CAST(o_custkey AS VARCHAR) || '|o_orderpriority=''' || o_orderpriority
+def dated(orders: DataFrame) -> DataFrame:
+    """Log tables hold no timestamps: the order date in seconds."""
+    return orders.withColumn("o_orderdate", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+
+
+DIGEST_LINE = """CAST(o_orderkey AS VARCHAR) || '|o_custkey=' || CAST(o_custkey AS VARCHAR) || '|o_orderdate=' || CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR)
+    || '|o_orderpriority=''' || o_orderpriority
     || '''|o_orderstatus=''' || o_orderstatus || '''|o_totalprice=' || CAST(o_totalprice AS VARCHAR) || chr(10)"""
 
 
@@ -193,7 +199,7 @@ def fold_sql(source: str, by: str, name: str) -> str:
     {fold_sql('up', 'block', 'upper')}, {fold_sql('upper', '', 'whole')}
     SELECT 'orders' AS "table", rows, min_id, max_id, substr(hash, 1, 16) AS digest FROM whole""")
 def _(spark, folder):
-    return table_digest(table(spark, folder, "orders").drop("o_orderdate"), "o_orderkey", "orders")
+    return table_digest(dated(table(spark, folder, "orders")), "o_orderkey", "orders")
 
 
 # A copy of the orders with rows lost, changed and added
@@ -201,12 +207,12 @@ def _(spark, folder):
 def damaged(orders: DataFrame) -> DataFrame:
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
     left = orders.filter(~((price > 495_000) & (status == "P"))).select(
-        F.col("O_ORDERKEY"), F.when(F.col("o_custkey") == 7, None).otherwise(F.col("o_custkey")).alias("o_custkey"), status,
+        F.col("O_ORDERKEY"), F.when(F.col("o_custkey") == 7, None).otherwise(F.col("o_custkey")).alias("o_custkey"), "o_orderdate", status,
         F.when((F.col("o_orderpriority") == "1-URGENT") & (price < 9_000), price + 1).otherwise(price).alias("o_totalprice"),
         F.when(price < 2_000, F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority"))
         .cast("binary").alias("o_orderpriority"))
     added = orders.filter(F.col("o_custkey") == 5).select(
-        (F.col("o_orderkey") + 10_000_000).alias("o_orderkey"), "o_custkey", status, price,
+        (F.col("o_orderkey") + 10_000_000).alias("o_orderkey"), "o_custkey", "o_orderdate", status, price,
         F.col("o_orderpriority").cast("binary").alias("o_orderpriority"))
     return left.unionByName(added)
 
@@ -230,7 +236,7 @@ DAMAGED = """damaged AS (
 
 
 def both_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, folder, "orders").drop("o_orderdate")
+    orders = dated(table(spark, folder, "orders"))
     return orders, damaged(orders)
 
 
@@ -325,3 +331,12 @@ def _(spark, folder):
 def _(spark, folder):
     log = disordered(table(spark, folder, "events"))
     return order_violations(log.unionByName(log.filter(F.col("event_type") == "signup")), "event_id", "time", 86_400)
+
+
+@query("diff_repeated", """SELECT o_orderkey AS id, 'repeated' AS kind, CAST(NULL AS VARCHAR) AS "column", '1' AS source, '3' AS target
+    FROM orders WHERE o_custkey % 100 = 3""")
+def _(spark, folder):
+    """What appends that were retried twice leave."""
+    orders = dated(table(spark, folder, "orders"))
+    again = orders.filter(F.col("o_custkey") % 100 == 3)
+    return diff_pruned(orders, orders.unionByName(again).unionByName(again), "o_orderkey")

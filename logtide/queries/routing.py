@@ -92,7 +92,7 @@ def _(spark, folder):
 
 @query("policy_matrix", "SELECT host, " + ", ".join(
     f"count(*) FILTER (WHERE {policy_sql(name)} = '{action}') AS {(name + '_' + action).replace('-', '_').lower()}"
-    for name in policies() for action in ("BLOCK", "ANSWER", "PASSTHROUGH")) + f" FROM {HOSTED} GROUP BY host")
+    for name in policies() for action in ("BLOCK", "ANSWER", "PASSTHROUGH", "REDIRECT")) + f" FROM {HOSTED} GROUP BY host")
 def _(spark, folder):
     return policy_matrix(table(spark, folder, "pages"), "url", policies())
 

@@ -36,11 +36,24 @@ def build_session(app: str = "logtide", master: str | None = None, **conf: str)
 _LOCAL: dict[str, str] = {}
 
 
+class NoSharedFolder(Exception):
+    pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a machine-local one only where none is configured."""
+    """The folder every executor can reach: spark.checkpoint.dir, else what setCheckpointDir set.
+
+    A folder of this machine is taken only where all tasks run on it; any other master is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    chosen = spark.sparkContext.getCheckpointDir()
+    if chosen:
+        return chosen.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise NoSharedFolder("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="logtide-")

@@ -21,12 +21,27 @@ def scan_range(df: DataFrame, id: str, lo: int, hi: int, columns: list[str] | No
     return rows if columns is None else rows.select(id, *[c for c in columns if c != id])
 
 
+def merged(ranges) -> list[tuple[int, int]]:
+    """Ascending ranges that neither overlap nor touch; empty ones (lo over hi) go."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((lo, hi) for lo, hi in ranges if lo <= hi):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def scan_ranges(df: DataFrame, id: str, ranges, columns: list[str] | None = None) -> DataFrame:
-    """Rows in ascending disjoint ranges, in one scan: a list of pairs, or a DataFrame with lo and hi."""
+    """Rows in any of the ranges, each once, in one scan: a list of pairs, or a DataFrame with disjoint lo and hi.
+
+    Pairs are merged first, so they may overlap.
+    """
     if columns is not None:
         df = df.select(id, *[c for c in columns if c != id])
     if isinstance(ranges, DataFrame):
         return in_ranges(df, id, ranges.select("lo", "hi")).drop("range_lo")
+    ranges = merged(ranges)
     if len(ranges) > LITERAL_RANGES:
         pairs = df.sparkSession.createDataFrame(list(ranges), "lo bigint, hi bigint")
         return in_ranges(df, id, pairs).drop("range_lo")

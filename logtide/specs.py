@@ -26,9 +26,6 @@ BINARY_COLUMNS = {
 NULLABLE_LOCATION = {"wid", "x", "z"}
 LOOKUP_KEY_PREFIX = "_key_"
 
-#: Up to this many rows a table is compared in full.
-FULL_COMPARISON_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class TableSpec:

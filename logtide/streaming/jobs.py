@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,12 +15,14 @@ from logtide.operators.routing import Route, route
 def catch_up(stream: DataFrame, id: str, high_water: int, path: str, checkpoint: str) -> DataStreamWriter:
     """Rows above the high-water mark into a parquet folder, exactly once.
 
-    A batch is written under its own number, so a batch that is replayed after a failure replaces
-    itself instead of adding rows.
+    A batch is written under its checkpoint's name and its own number, so a batch that is replayed after a failure
+    replaces itself instead of adding rows, and streams with other checkpoints replace nothing.
     """
+    name = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, number: int) -> None:
-        (batch.withColumn("batch", F.lit(number)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+        (batch.withColumn("stream", F.lit(f"s{name}")).withColumn("batch", F.lit(number)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(path))
 
     return (stream.filter(F.col(id) > high_water).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint))
@@ -28,14 +32,26 @@ def dedupe_late(stream: DataFrame, id: str, time: str, now: int, slack: int = OR
     """Each id once, as long as its copies come within `slack` seconds of event time.
 
     Rows dated further than `slack` ahead of `now` are left out before the watermark: one wrong
-    clock would otherwise make everything after it late. `future_rows` gives them to a side sink.
+    clock would otherwise make everything after it late; so are rows without a time, which no watermark can
+    place. `future_rows` gives both to a side sink. A row that comes behind the watermark is dropped by Spark,
+    its first copy too: `missed` finds those afterwards.
     """
     timely = stream.filter(F.col(time) <= F.timestamp_seconds(F.lit(now + slack)))
     return timely.withWatermark(time, f"{slack} seconds").dropDuplicatesWithinWatermark([id])
 
 
 def future_rows(stream: DataFrame, time: str, now: int, slack: int = ORDER_SLACK) -> DataFrame:
-    return stream.filter(F.col(time) > F.timestamp_seconds(F.lit(now + slack)))
+    """What `dedupe_late` leaves out before the watermark: rows too far ahead, and rows without a time."""
+    return stream.filter(F.col(time).isNull() | (F.col(time) > F.timestamp_seconds(F.lit(now + slack))))
+
+
+def missed(source: DataFrame, target: DataFrame, id: str, time: str, now: int, slack: int = ORDER_SLACK) -> DataFrame:
+    """Of a stream that ran to its end: source rows with a timely date whose id the target has not, one for each id.
+
+    Their first copies came behind the watermark. Both are tables; append the result to the target to lose nothing.
+    """
+    timely = source.filter(F.col(time) <= F.timestamp_seconds(F.lit(now + slack)))
+    return timely.join(target.select(id), id, "left_anti").dropDuplicates([id]).select(*source.columns)
 
 
 def live_policy(stream: DataFrame, url: str, routes: list[Route], default: str, time: str | None = None,

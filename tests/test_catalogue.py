@@ -104,8 +104,10 @@ def test_languages(spark):
 
 
 def test_rewriting(spark):
+    colour = "(?:§.)"
+    around = ((r"\[", r"\]"), (f"-{{5}} {colour}*", ""), ("", f" {colour}*- "), ("", rf"{colour}* \| "), (f"^{colour}+", "$"))
     rules = RewriteRules("Acme", "Nova", dropped=("GONE",), self_naming=("SELF",), links={"CHAT": ("Website", "https://n")},
-                         relinked={"GET": ("https://a/get", "Download", "https://n/get")})
+                         relinked={"GET": ("https://a/get", "Download", "https://n/get")}, contexts=around)
     rows = [("GONE", "x"), ("SELF", "Acme by Acme"), ("CHAT", "Discord: https://a"), ("GET", "Herunterladen: https://a/get"), ("GET", "nothing"),
             ("TEXT", "Acme - no"), ("TEXT", "[Acme] Using"), ("TEXT", "----- Acme -----"), ("TEXT", "----- §3Acme"), ("TEXT", "Acme§f | Results"),
             ("TEXT", "§3Acme"), ("TEXT", "Acme"), ("TEXT", "I like Acme."), ("TEXT", "Acme §f- x")]

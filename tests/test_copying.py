@@ -59,7 +59,7 @@ def test_fit(spark, target, fits, misfit):
 def test_missing_values(spark):
     df = spark.createDataFrame([(7, None, None, None, None)], "rowid bigint, time bigint, x bigint, action bigint, user bigint")
     got = fit_audit(df, "rowid", {"time": "UInt32", "x": "Int32", "action": "Nullable(UInt8)", "user": "Nullable(UInt32)"}, "block", "action").collect()
-    assert [(r["column"], r["reason"]) for r in got] == [("time", "is missing, which the target requires"), ("action", "is missing, without which the row is left out")]
+    assert [(r["column"], r["reason"]) for r in got] == [("time", "missing"), ("action", "missing-shown")]
 
 
 def test_profiles(spark):
@@ -146,11 +146,11 @@ def test_copy_and_validate(spark, tmp_path):
     assert [(r["id"], r["source"], r["target"]) for r in validate(sources["chat"], wrong, plans[3]).collect()] == [(3, "''", "NULL")]
 
 
-def test_large_tables_are_sampled(spark, tmp_path):
+def test_tables_are_sampled_on_request(spark, tmp_path):
     big = spark.range(150_000).select((F.col("id") * 2).alias("rowid"), (F.col("id") % 7).alias("v"))
     tables = {**source(spark), "block": big}
-    plan = next(p for p in plan_copy(tables, {}) if p.name == "block")
-    assert plan.sampled and not next(p for p in plan_copy(tables, {}, full=True) if p.name == "block").sampled
+    plan = next(p for p in plan_copy(tables, {}, sample=True) if p.name == "block")
+    assert plan.sampled and not next(p for p in plan_copy(tables, {}) if p.name == "block").sampled
     assert validate(big, big, plan).isEmpty()
     assert 1_500 <= validate(big, big.withColumn("v", F.col("v") + 1), plan).count() <= 2_500
 

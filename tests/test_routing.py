@@ -103,7 +103,8 @@ def test_summaries(spark):
     df = spark.createDataFrame([("https://stats.host.example/",)] * 3 + [("https://x.example/",), ("broken",)], "u string")
     got = {(r["host"], r["policy"], r["action"], r["is_default"]): r["requests"] for r in route_summary(df, "u", policies).collect()}
     assert got == {("stats.host.example", "privacy-first", "BLOCK", False): 3, ("stats.host.example", "passthrough", "PASSTHROUGH", True): 3,
-                   ("x.example", "privacy-first", "BLOCK", True): 1, ("x.example", "passthrough", "PASSTHROUGH", True): 1}
+                   ("x.example", "privacy-first", "BLOCK", True): 1, ("x.example", "passthrough", "PASSTHROUGH", True): 1,
+                   ("", "privacy-first", "BLOCK", True): 1, ("", "passthrough", "PASSTHROUGH", True): 1}
     matrix = {r["host"]: r for r in policy_matrix(df, "u", policies).collect()}
     assert (matrix["stats.host.example"]["privacy_first_block"], matrix["x.example"]["passthrough_passthrough"]) == (3, 1)
 
