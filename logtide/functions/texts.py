@@ -26,6 +26,18 @@ def java_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
 
 
+# One run of Unicode escapes, a backslash with what it escapes, or what has no backslash
+_ESCAPES = r"(?s)((?:\\u++[0-9a-fA-F]{4})++|\\[^u]|[^\\]++|\\)"
+
+
+def unescaped(source: Column) -> Column:
+    """Java's Unicode escapes as their characters, read before anything else is; pairs of surrogates together."""
+    pieces = F.regexp_extract_all(source, F.lit(_ESCAPES), 1)
+    shown = F.transform(pieces, lambda p: F.when(
+        p.rlike(r"\A\\u+[0-9a-fA-F]{4}"), F.decode(F.unhex(F.regexp_replace(p, r"\\u+", "")), "UTF-16BE")).otherwise(p))
+    return F.when(source.contains("\\u"), F.array_join(shown, "")).otherwise(source)
+
+
 def header(source: Column) -> Column:
     """The comments before a source text's first code, as one line of words.
 
@@ -33,7 +45,7 @@ def header(source: Column) -> Column:
     what follows. Markers go, blanks collapse, and the years of copyright notices become `#`.
     """
     # What follows on from the start of the text: comments, and '' for each statement
-    found = F.regexp_extract_all(source, F.lit(rf"\G{_BLANK}(?:({_COMMENT})|{_STATEMENT})"), 1)
+    found = F.regexp_extract_all(unescaped(source), F.lit(rf"\G{_BLANK}(?:({_COMMENT})|{_STATEMENT})"), 1)
     text = bound(found, lambda all: F.array_join(_before_code(all), "\n"))
     text = bound(text, lambda t: F.when(t.contains("\r"), F.replace(t, F.lit("\r"), F.lit("\n"))).otherwise(t))
     # What opens and closes a comment are slashes and stars at the edge of a line like any other marker

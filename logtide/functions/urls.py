@@ -56,5 +56,6 @@ def classify_endpoint(url: Column, endpoints: Iterable[tuple[str, str, Iterable[
 
 def hosts_in(text: Column) -> Column:
     """Hosts of all URLs in a text, lower-cased, as an array."""
+    # Fixed value: the schemes and characters of a host that count
     return F.transform(
         F.regexp_extract_all(text, F.lit(r"(?i)\b(?:https?|wss?|ftp)://([a-z0-9.-]+)"), 1), F.lower)

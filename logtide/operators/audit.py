@@ -37,6 +37,7 @@ def suspicious_strings(df: DataFrame, site: str, text: str, keywords: list[str],
 
     tests = [F.when(lower.contains(word), finding("keyword", F.concat(
         F.lit(f"mentions '{word}': "), abbreviate(value)))) for word in keywords]
+    # Fixed value: the characters of an encoded run
     tests.append(F.when(value.rlike(f"[A-Za-z0-9+/=_-]{{{min_run}}}"), finding("encoded-run", F.concat(
         F.lit("long encoded-looking text: "), abbreviate(value)))))
     tests += [F.when(value.startswith(prefix), finding("prefix", F.concat(

@@ -26,6 +26,7 @@ def host_of(target: Column) -> Column:
 def is_local(target: Column) -> Column:
     """Loopback and local names, which are no egress."""
     host = F.lower(host_of(target))
+    # Names and addresses of the machine itself
     return ((host == "localhost") | host.endswith(".localhost") | host.startswith("127.")
             | host.isin("::1", "[::1]", "0.0.0.0"))
 

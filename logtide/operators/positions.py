@@ -129,18 +129,17 @@ def page_bounds(df: DataFrame, id: str, rows_per_page: int) -> DataFrame:
 def id_gaps(df: DataFrame, id: str) -> DataFrame:
     """Stretches of unused ids between used ones: `after_id`, `next_id`, `missing`.
 
-    Blocks without a hole are settled by their counts; only the others are sorted.
+    Ids are shuffled once, by block; gaps within a block and its bounds come from one sorted pass over it. That pass
+    runs when called.
     """
-    ids = df.select(id, block_of(id)).filter(F.col(id).isNotNull())
-    blocks = written(ids.distinct().groupBy("block").agg(F.count("*").alias("n"), F.min(id).alias("lo"), F.max(id).alias("hi")))
-    linked = running(blocks, "hi", "previous", F.max)
-    between = linked.filter(F.col("lo") - F.col("previous") > 1).select(
+    ids = df.select(F.col(id).alias("id"), block_of(id)).filter(F.col("id").isNotNull())
+    walked = ids.withColumn("after_id", F.lag("id").over(Window.partitionBy("block").orderBy("id")))
+    gap = F.when(F.col("id") - F.col("after_id") > 1, F.struct("after_id", F.col("id").alias("next_id")))
+    blocks = written(walked.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.collect_list(gap).alias("gaps")))
+    bounds = blocks.select("block", "lo", "hi")
+    between = running(bounds, "hi", "previous", F.max).filter(F.col("lo") - F.col("previous") > 1).select(
         F.col("previous").alias("after_id"), F.col("lo").alias("next_id"))
-    holed = blocks.filter(F.col("n") < F.col("hi") - F.col("lo") + 1).select("block")
-    within = (ids.join(holed, "block", "left_semi").distinct()
-              .withColumn("after_id", F.lag(id).over(Window.partitionBy("block").orderBy(id)))
-              .filter(F.col(id) - F.col("after_id") > 1)
-              .select("after_id", F.col(id).alias("next_id")))
+    within = blocks.select(F.inline("gaps"))
     return between.unionByName(within).withColumn("missing", F.col("next_id") - F.col("after_id") - 1)
 
 

@@ -77,12 +77,12 @@ def coverage_counts(df: DataFrame, columns: list[str], table: str) -> DataFrame:
 def duplicate_keys(df: DataFrame, key: str, id: str, examples: int = 5) -> DataFrame:
     """Non-null values shared by several rows, how many, and their smallest ids.
 
-    Counting combines before the shuffle. `row_number() <= examples` lets Spark cut each value to
-    that many ids inside every map task, so a value held by a third of the table stays a few rows.
+    Counting combines before the shuffle, and only rows of shared values go on. `row_number() <= examples` lets Spark
+    cut each value to that many ids inside every map task, so a value held by a third of the table stays a few rows.
     """
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("value"), F.col(id).cast("bigint").alias("id"))
     counts = rows.groupBy("value").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
-    first = (rows.withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("id")))
+    first = (rows.join(counts.select("value"), "value", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("id")))
              .filter(F.col("at") <= examples)
              .groupBy("value").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     return counts.join(first, "value").select(

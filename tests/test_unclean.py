@@ -134,3 +134,12 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
         session.shared_dir(Elsewhere)
     monkeypatch.setattr(Elsewhere.sparkContext, "chosen", "hdfs://x/y/")
     assert session.shared_dir(Elsewhere) == "hdfs://x/y"
+
+
+def test_unicode_escapes_are_read_before_headers(spark):
+    from logtide.functions.texts import header, unescaped
+    rows = [("\\u0041\\uu00e9\\ud83d\\ude00x", "Aé😀x"), ("\\\\u0041", "\\\\u0041"), ("\\u00zz", "\\u00zz"), ("no escape", "no escape"), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want string").select(unescaped(F.col("t")), "want").collect()
+    assert all(r[0] == r[1] for r in got)
+    hidden = spark.createDataFrame([("\\u002f* Notice \\u002a/ class A {}",)], "t string").select(header(F.col("t"))).first()[0]
+    assert hidden == "Notice"
