@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -10,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logtide.operators.diff import diff_pruned, diff_sample
 from logtide.operators.encode import Codec, encode
 from logtide.operators.sample import sample_plan, sample_ranges
-from logtide.operators.stats import table_stats
+from logtide.operators.stats import high_water, stats_verdict, table_stats
+from logtide.plans.writes import MANIFEST, begin_version, complete_version
 from logtide.session import written
+from logtide.sources.files import exists, read_json, write_json
+from logtide.sources.stores import ParquetStore
 from logtide.specs import CORE_TABLES, LOOKUP_KEY_PREFIX, NEVER_COPIED, copy_order, is_reference
 
 #: Tables copied at the same time; Spark's scheduler shares the executors among them.
 PARALLEL_TABLES = 4
+#: A version's folder of the tables that have arrived.
+LEDGER = "_arrived"
 
 
 class MigrationRefused(Exception):
@@ -97,8 +103,12 @@ def copied(df: DataFrame, plan: TablePlan, codecs: dict[str, Codec] | None = Non
 
 
 def copy_tables(sources: dict[str, DataFrame], store, plans: list[TablePlan],
-                codecs: dict[str, dict[str, Codec]] | None = None, policy: str = "keep") -> CopyResult:
-    """Write every planned table to a store, several at a time, and check the rows written."""
+                codecs: dict[str, dict[str, Codec]] | None = None, policy: str = "keep", replace: bool = False,
+                arrived: Callable[[TablePlan], None] | None = None) -> CopyResult:
+    """Write every planned table to a store, several at a time, and check the rows written.
+
+    `replace` writes over what a copy that was stopped left; `arrived` is called for each table that is there and counted.
+    """
     result = CopyResult(plans)
 
     def one(plan: TablePlan) -> None:
@@ -106,17 +116,65 @@ def copy_tables(sources: dict[str, DataFrame], store, plans: list[TablePlan],
         if rejects is not None:
             result.rejects[plan.name] = rejects
         target_id = next(b for a, b in plan.columns if a == plan.id)
-        store.write(rows, plan.name, target_id)
-        arrived = store.read(rows.sparkSession, plan.name).count()
-        if arrived != plan.rows:
-            raise MigrationRefused(f"copied {arrived} rows of table {plan.name}, which had {plan.rows}: "
+        store.write(rows, plan.name, target_id, replace)
+        written_rows = store.read(rows.sparkSession, plan.name).count()
+        if written_rows != plan.rows:
+            raise MigrationRefused(f"copied {written_rows} rows of table {plan.name}, which had {plan.rows}: "
                                    "something else changed the source")
+        if arrived:
+            arrived(plan)
 
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
         list(pool.map(one, plans))
     return result
 
 
+def migrate(spark: SparkSession, sources: dict[str, DataFrame], ids: dict[str, str], root: str, version: str, sample: bool = False,
+            allocated: DataFrame | None = None, core: list[str] = CORE_TABLES, codecs: dict[str, dict[str, Codec]] | None = None,
+            policy: str = "keep") -> DataFrame:
+    """Copy all tables to a new version of a parquet store, prove the copy, and only then publish it.
+
+    A version that is complete, or a folder that is not a version, is refused as occupied. One that is incomplete is gone
+    on with: its ledger names the tables that arrived, with the counts and ids they had in the source; others are written
+    again. Then the source's statistics must be as they were planned, the target's equal to them with no further table, the
+    high-water marks carried, and no compared row may differ. Returns the verdicts, one row a table; the manifest
+    holds counts, ids, marks and the number of rejected values.
+    """
+    folder = f"{root}/{version}"
+    if exists(spark, folder):
+        found = read_json(spark, f"{folder}/{MANIFEST}")
+        if found is None or found["status"] == "complete":
+            raise MigrationRefused(f"{folder} is occupied")
+    else:
+        begin_version(spark, root, version)
+    plans = plan_copy(sources, ids, sample=sample, core=core)
+    store, planned = ParquetStore(folder), {p.name: {"rows": p.rows, "max_id": p.max_id} for p in plans}
+    ledger = {name: read_json(spark, f"{folder}/{LEDGER}/{name}.json") for name in planned}
+    pending = [p for p in plans if ledger[p.name] != planned[p.name]]
+    result = copy_tables(sources, store, pending, codecs, policy, replace=True,
+                         arrived=lambda p: write_json(spark, f"{folder}/{LEDGER}/{p.name}.json", planned[p.name]))
+
+    tables = {p.name: (sources[p.name], p.id) for p in plans}
+    target = {name: (store.read(spark, name), tables[name][1]) for name in store.tables(spark) if name in tables}
+    unplanned = [name for name in store.tables(spark) if name not in tables and name[0] not in "_."]
+    if unplanned:
+        raise MigrationRefused(f"unexpected tables in {folder}: {', '.join(unplanned)}")
+    now, there = table_stats(tables), table_stats(target)
+    if changed := [r["table"] for r in now.collect() if planned[r["table"]] != {"rows": r["rows"], "max_id": r["max_id"]}]:
+        raise MigrationRefused(f"the source changed while it was copied: {', '.join(changed)}")
+    verdicts = stats_verdict(now, now, there)
+    wrong = [r["table"] for r in verdicts.filter("verdict <> 'ok'").collect()]
+    differing = [p.name for p in plans if p.name not in wrong and not (codecs or {}).get(p.name)
+                 and not validate(sources[p.name], target[p.name][0], p).isEmpty()]
+    if wrong or differing:
+        raise MigrationRefused(f"the copy is not the source: {', '.join(wrong + differing)}")
+    marks = {r["table"]: r["high_water"] for r in high_water(now, allocated).collect()}
+    rejects = {name: df.count() for name, df in result.rejects.items()}
+    complete_version(spark, root, version, {r["table"]: {"rows": r["rows"], "min_id": r["min_id"], "max_id": r["max_id"], "high_water": marks[r["table"]],
+                                                         "rejects": rejects.get(r["table"], 0)} for r in there.collect()})
+    return verdicts
+
+
 def validate(source: DataFrame, target: DataFrame, plan: TablePlan, seed: int = 0) -> DataFrame:
     """Differences of one copied table: all rows, or about 1% where the plan asks for a sample."""
     target_id = next(b for a, b in plan.columns if a == plan.id)

@@ -23,9 +23,10 @@ class ParquetStore:
     def has(self, spark: SparkSession, table: str) -> bool:
         return exists(spark, f"{self.root}/{table}")
 
-    def write(self, df: DataFrame, table: str, id: str) -> None:
-        """A new table in id order, so that later range reads skip row groups."""
-        in_id_order(df, id).write.mode("errorifexists").parquet(f"{self.root}/{table}")
+    def write(self, df: DataFrame, table: str, id: str, replace: bool = False) -> None:
+        """A new table in id order, so that later range reads skip row groups; `replace` puts it over a partial one."""
+        in_id_order(df, id).write.mode("overwrite" if replace else "errorifexists").option(
+            "partitionOverwriteMode", "static").parquet(f"{self.root}/{table}")
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,8 @@ class CatalogStore:
     def has(self, spark: SparkSession, table: str) -> bool:
         return spark.catalog.tableExists(f"`{self.database}`.`{table}`")
 
-    def write(self, df: DataFrame, table: str, id: str) -> None:
-        in_id_order(df, id).write.format("parquet").mode("errorifexists").saveAsTable(f"`{self.database}`.`{table}`")
+    def write(self, df: DataFrame, table: str, id: str, replace: bool = False) -> None:
+        in_id_order(df, id).write.format("parquet").mode("overwrite" if replace else "errorifexists").saveAsTable(f"`{self.database}`.`{table}`")
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,10 @@ class JdbcStore:
         return spark.read.jdbc(self.url, self.prefix + table, predicates=page_predicates(id, bounds),
                                properties=self.properties)
 
-    def write(self, df: DataFrame, table: str, id: str) -> None:
+    def write(self, df: DataFrame, table: str, id: str, replace: bool = False) -> None:
+        """Appends; a retried task may write rows twice, which a comparison reports as `repeated`."""
+        if replace:
+            raise NotImplementedError("a JDBC table is not replaced here: empty it, then copy it anew")
         (df.write.mode("append").option("batchsize", self.batch_rows).option("isolationLevel", "READ_COMMITTED")
          .jdbc(self.url, self.prefix + table, properties=self.properties))
 

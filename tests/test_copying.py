@@ -177,3 +177,34 @@ def test_stores(spark, tmp_path):
     assert page_predicates("rowid", [(1, 5), (6, 9)]) == ["rowid >= 1 AND rowid <= 5", "rowid >= 6 AND rowid <= 9"]
     assert drop_prefix(["co_block", "CO_user", "other"], "co_") == {"block": "co_block", "user": "CO_user"}
     assert JdbcStore("jdbc:x:", prefix="co_").partitions == 32
+
+
+def test_a_stopped_migration_is_gone_on_with(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    from logtide.plans import migration
+    from logtide.plans.writes import NotPublished, manifest, open_published
+    tables, root = source(spark), str(tmp_path)
+    broken = {**tables, "chat": tables["chat"].withColumn("message", F.raise_error(F.lit("gone")))}
+    with pytest.raises(PySparkException):
+        migration.migrate(spark, broken, {}, root, "v1")
+    with pytest.raises(NotPublished):
+        open_published(spark, root, "block")
+    written, write = [], ParquetStore.write
+    monkeypatch.setattr(ParquetStore, "write", lambda self, df, name, *a: (written.append(name), write(self, df, name, *a)))
+    verdicts = migration.migrate(spark, tables, {}, root, "v1")
+    assert {r["verdict"] for r in verdicts.collect()} == {"ok"} and "chat" in written and len(written) < len(tables)
+    assert manifest(spark, root, "v1")["tables"]["chat"]["high_water"] == tables["chat"].agg(F.max("rowid")).first()[0]
+    assert open_published(spark, root, "chat").count() == tables["chat"].count()
+    with pytest.raises(MigrationRefused, match="occupied"):
+        migration.migrate(spark, tables, {}, root, "v1")
+
+
+def test_a_migration_with_foreign_or_wrong_rows_is_not_published(spark, tmp_path):
+    from logtide.plans import migration
+    from logtide.plans.writes import begin_version
+    tables, root = source(spark), str(tmp_path)
+    folder = begin_version(spark, root, "v1")
+    spark.range(1).write.parquet(f"{folder}/stray")
+    with pytest.raises(MigrationRefused, match="stray"):
+        migration.migrate(spark, tables, {}, root, "v1")
