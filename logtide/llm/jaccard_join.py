@@ -7,9 +7,9 @@ within their prefixes, so the join is on prefix shingles.
 1. `read`: each text's set size, a key of the whole set, its part sizes (see `far_apart`), and how often each of a fixed
    number of shingle slots occurs in all texts. Texts with one set are one class from there on; copies are never paired.
 2. `prefixes`: (shingle, class, size, position), for the prefix alone.
-3. `stars`: the rows of a shingle pass in a stream; each is paired with a few of its length that lead them, so that pairs
-   grow with the rows, whatever the size of the group. Verified pairs give first components.
-4. `across`: all other pairs of a shingle that the length, positional and suffix filters admit, without those whose
+3. `stars`: the rows of a shingle pass in a stream. Few classes are all paired; of more, each is paired with some of its
+   length that lead them, so that pairs grow with the rows, whatever the size of the group. Verified pairs give first components.
+4. `across`: all other pairs of such a shingle that the length, positional and suffix filters admit, without those whose
    classes have one component already: a link between them would change nothing.
 5. New pairs are verified once each, on the whole sets.
 
@@ -20,6 +20,7 @@ that share an id are told apart by their text, and carry the id each. Extra colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ SLOTS, SLOT_BLOCK = 1 << 21, 1 << 14
 MOST_COUNTED = (1 << 32) - 1
 #: Parts that a set is cut to by fixed pivots, for the suffix filter.
 PARTS = 256
-#: Classes that every other of a shingle and length is compared with before all pairs are looked at.
+#: Classes of a shingle that are all paired; of more, so many of a length that every other is compared with at first.
 LEADERS = 16
 #: Set keys that a task remembers to leave out copies early; later ones leave in the join.
 REMEMBERED = 200_000
@@ -132,14 +133,46 @@ def admitted(size_a, pos_a, size_b, pos_b, percent: int):
 
 
 def stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) along each shingle, and the rows of shingles that more than one class has (b null).
+    """Pairs (a, b) along each shingle; the rows (b null) of shingles of which not all pairs are among these.
 
-    A shingle's rows are grouped by size: within a length class the length filter admits every pair. Each row is paired
-    with the LEADERS least keys of its length class, which are mostly the same along all shingles of a group of copies,
-    and the least key of a length class with those of the class before it.
+    All pairs of a shingle of at most LEADERS classes are taken. Of others, the rows are grouped by size: within a
+    length class the length filter admits every pair. Each row is paired with the LEADERS least keys of its length class,
+    which are mostly the same along all shingles of a group of copies, and the least key of a length class with those of
+    the class before it.
     """
     def function(batches):
-        here, leaders, last, waiting = None, [], None, None
+        here, group, long, leaders, last, out, pairs = None, [], False, [], None, [], []
+
+        def follow(row):
+            nonlocal leaders
+            out.append(row[:4])
+            pairs.extend((*leader[1:4], *row[1:4]) for leader in leaders)
+            if leaders and leaders[0][4] == row[4]:
+                if len(leaders) < LEADERS:
+                    leaders.append(row)
+            else:
+                leaders = [row]
+
+        def made():
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] + [pa.nulls(len(out), pa.int64())] * 2,
+                                                 ["h", "a", "size_a", "pos", "b", "size_b"])
+            if pairs:
+                a, size_a, pos_a, b, size_b, pos_b = np.array(pairs, np.int64).T
+                ok = admitted(size_a, pos_a, size_b, pos_b, percent)
+                turn = ((size_a > size_b) | ((size_a == size_b) & (a > b)))[ok]
+                a, size_a, b, size_b = a[ok], size_a[ok], b[ok], size_b[ok]
+                a, b, size_a, size_b = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, size_b, size_a), np.where(turn, size_a, size_b)]), axis=1)
+                nothing = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, pa.array(a), pa.array(size_a), nothing, pa.array(b), pa.array(size_b)],
+                                                 ["h", "a", "size_a", "pos", "b", "size_b"])
+            out.clear()
+            pairs.clear()
+
+        def close():
+            if not long:
+                pairs.extend((*x[1:4], *y[1:4]) for x, y in combinations(group, 2))
+
         for batch in batches:
             h, key, size, pos, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(h):
@@ -150,33 +183,23 @@ def stars(rows: DataFrame, percent: int) -> DataFrame:
             several[1:] |= same
             several[0] |= h[0] == here
             pick = np.flatnonzero(several)
-            out, pairs = [], []
             for row in zip(h[pick].tolist(), key[pick].tolist(), size[pick].tolist(), pos[pick].tolist(), length[pick].tolist()):
                 if row[0] != here:
-                    here, leaders, waiting, last = row[0], [row], row, row[1]
+                    close()
+                    here, group, long, leaders, last = row[0], [row], False, [], row[1]
                 elif row[1] != last:
-                    if waiting:
-                        out.append(waiting[:4])
-                        waiting = None
-                    out.append(row[:4])
                     last = row[1]
-                    pairs += [(*leader[1:4], *row[1:4]) for leader in leaders]
-                    if leaders[0][4] != row[4]:
-                        leaders = [row]
-                    elif len(leaders) < LEADERS:
-                        leaders.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] + [pa.nulls(len(out), pa.int64())] * 2,
-                                                 ["h", "a", "size_a", "pos", "b", "size_b"])
-            if pairs:
-                a, size_a, pos_a, b, size_b, pos_b = np.array(pairs, np.int64).T
-                ok = admitted(size_a, pos_a, size_b, pos_b, percent)
-                turn = ((size_a > size_b) | ((size_a == size_b) & (a > b)))[ok]
-                a, size_a, b, size_b = a[ok], size_a[ok], b[ok], size_b[ok]
-                a, b, size_a, size_b = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, size_b, size_a), np.where(turn, size_a, size_b)]), axis=1)
-                nothing = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, pa.array(a), pa.array(size_a), nothing, pa.array(b), pa.array(size_b)],
-                                                 ["h", "a", "size_a", "pos", "b", "size_b"])
+                    if long:
+                        follow(row)
+                        continue
+                    group.append(row)
+                    if len(group) > LEADERS:
+                        long = True
+                        for each in group:
+                            follow(each)
+            yield from made()
+        close()
+        yield from made()
     length = F.floor(F.log(100 / percent, F.col("size"))).alias("length")
     return rows.select("*", length).repartition("h").sortWithinPartitions("h", "length", "key").mapInArrow(
         function, "h long, a long, size_a long, pos long, b long, size_b long")
