@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from logtide.session import shared_dir
 
@@ -65,6 +67,11 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows, picked by a hash of a column: the same rows however the table is dealt out."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+def fitted_in_task(sample: DataFrame, function: Callable[[pa.Table], object]) -> object:
+    """What a function makes of a bounded, sorted sample: it runs in one task, and its small result comes back."""
+    schema = sample.schema
+
+    def fit(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(function(pa.Table.from_batches(list(batches), to_arrow_schema(schema))))], pa.binary())], ["model"])
+    rows = sample.coalesce(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(rows[0].model)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm.common import flat, fold, slices
+from logtide.llm.common import fitted_in_task, flat, fold, slices
 from logtide.llm.words import LOWER, bounds, spans, sums
 
 BUCKETS, DIMENSION = 1 << 17, 16
@@ -173,8 +173,8 @@ def learn(docs: DataFrame) -> Model | None:
     for row in counts:  # picked by a hash of the id
         part = min(1.0, LEARNED_ROWS / len(counts) / row["count"])
         share = F.when(F.col("lang") == row["lang"], F.lit(int(part * (1 << 30)))).otherwise(share)
-    picked = rows.where(slot < share).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * LEARNED_ROWS).toArrow()
-    return trained(picked.column("text").to_pylist(), picked.column("lang").to_pylist())
+    picked = rows.where(slot < share).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * LEARNED_ROWS)
+    return fitted_in_task(picked, lambda found: trained(found.column("text").to_pylist(), found.column("lang").to_pylist()))
 
 
 def has_letter(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm.common import flat, slices
+from logtide.llm.common import fitted_in_task, flat, slices
 from logtide.llm.structure import STATISTICS, Texts, labelled, statistics
 from logtide.llm.toxicity import logistic, parts
 from logtide.llm.words import mixed
@@ -131,8 +131,9 @@ def trained(texts: pa.Array, label: np.ndarray, weight: np.ndarray, seed: int =
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARNED_ROWS) -> Model:
     """From rows whose id's fold of three is not 1."""
-    found = labelled(docs, labels, "quality", FOLDS, LEFT_OUT, rows)
-    return trained(found.column("text").combine_chunks(), found.column("label").to_numpy(), found.column("weight").to_numpy())
+    def fit(found: pa.Table) -> Model:
+        return trained(found.column("text").combine_chunks(), found.column("label").to_numpy(), found.column("weight").to_numpy())
+    return fitted_in_task(labelled(docs, labels, "quality", FOLDS, LEFT_OUT, rows), fit)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

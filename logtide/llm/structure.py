@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +89,7 @@ def statistics(x: Texts) -> np.ndarray:
         x.per_words(ends_in_symbol, x.first_token) / tokens], axis=1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int) -> pa.Table:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int) -> DataFrame:
     """About `most` rows (doc_id, text, label, weight) of either label, picked by a hash of the id; weight: rows that one stands for.
 
     Rows in the fold `left_out`, without a label, with contradicting ones, or with texts over LEARNED_BYTES are left out.
@@ -105,4 +104,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_ou
     picked = sure.where(slot < share).withColumn("weight", weight).orderBy("doc_id").limit(4 * most)
     texts = docs.where(F.octet_length("text") <= LEARNED_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most 4 * most ids: bounded
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("label").cast("int"), "weight").orderBy("doc_id", "text").limit(4 * most).toArrow()
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("label").cast("int"), "weight").orderBy("doc_id", "text").limit(4 * most)

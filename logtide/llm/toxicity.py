@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm.common import flat, slices
+from logtide.llm.common import fitted_in_task, flat, slices
 from logtide.llm.structure import STATISTICS, Texts, labelled, statistics
 from logtide.llm.words import LETTERS, mixed, runs, spans, sums
 
@@ -34,6 +34,9 @@ PREFIXES = range(3, 9)
 #: Of the lexicon: the most entries, the fewest toxic texts of an entry, how much more frequent it is in toxic texts, and
 #: how far its log-likelihood ratio may be from that of the one unit of all tested that chance favours most.
 ENTRIES, LEAST_TEXTS, LEAST_RATIO, SURPRISE = 4096, 3, 8.0, -3.0
+#: The share of other texts that an entry may be in; log-odds from which one stands for itself; of others, the share of
+#: toxic texts that hold none of those.
+MOST_CLEAN, SURE, LEAST_UNEXPLAINED = 0.006, 4.6, 0.03
 TREES, DEPTH, BINS, RATE, PENALTY = 80, 4, 64, 0.15, 1.0
 #: Words of the second person, a fixed list.
 SECOND_PERSON = "you your yours yourself u ur tu te toi vous votre vos ton du dich dir dein deine ihr euch sie usted ustedes tus vosotros"
@@ -117,8 +120,15 @@ def lexicon(texts: pa.Array, toxic: np.ndarray) -> Lexicon:
     share = (toxic_texts + 0.5) / (toxic_texts + other_texts + 1)
     surprise = toxic_texts * np.log(share / usual) + other_texts * np.log((1 - share) / (1 - usual + 1e-9))
     ratio = (toxic_texts / len(bad)) / ((other_texts + 0.5) / (clean + 1))
-    take = (surprise >= np.log(tests) + SURPRISE) & (ratio >= LEAST_RATIO)
-    hashes, odds = hashes[take], np.log(ratio[take])
+    take = (surprise >= np.log(tests) + SURPRISE) & (ratio >= LEAST_RATIO) & (other_texts <= MOST_CLEAN * clean)
+    hashes, odds, toxic_texts = hashes[take], np.log(ratio[take]), toxic_texts[take]
+    # the beginning of a toxic word may be that of other words, too: a weak entry is in toxic texts without sure ones
+    explained = np.zeros(len(hashes), np.int64)
+    for h in bad:
+        own = np.isin(hashes, h, assume_unique=True)
+        explained += own & (own & (odds >= SURE)).any()
+    keep = (odds >= SURE) | (toxic_texts - explained >= np.maximum(LEAST_UNEXPLAINED * toxic_texts, 1))
+    hashes, odds = hashes[keep], odds[keep]
     strongest = np.argsort(-odds, kind="stable")[:ENTRIES]
     hashes, odds = hashes[strongest], odds[strongest]
     order = np.argsort(hashes)
@@ -273,8 +283,9 @@ def trained(texts: pa.Array, label: np.ndarray, weight: np.ndarray) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARNED_ROWS) -> Model:
     """From rows whose id's fold of four is not 2."""
-    found = labelled(docs, labels, "toxic", FOLDS, LEFT_OUT, rows)
-    return trained(found.column("text").combine_chunks(), found.column("label").to_numpy(), found.column("weight").to_numpy())
+    def fit(found: pa.Table) -> Model:
+        return trained(found.column("text").combine_chunks(), found.column("label").to_numpy(), found.column("weight").to_numpy())
+    return fitted_in_task(labelled(docs, labels, "toxic", FOLDS, LEFT_OUT, rows), fit)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
