@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,19 +26,20 @@ def log(spark, *pieces):
 
 
 def test_deletes_older_rows_across_gaps(spark):
-    block = spark.range(3000).select((1 + 3 * F.col("id")).alias("rowid"), (CUTOFF - 2_000_000 + 1000 * F.col("id")).alias("time"))
-    chat = spark.createDataFrame([(10, CUTOFF), (11, CUTOFF + 5)], "rowid bigint, time bigint")
-    left = purge_expired(block, "rowid", "time", CUTOFF)
-    assert removed_rows(block, "rowid", "time", CUTOFF).count() == 2000
-    assert left.count() == 1000 and left.filter(F.col("time") < CUTOFF).isEmpty()
-    assert purge_expired(chat, "rowid", "time", CUTOFF).count() == 2
+    log_rows = spark.range(700).select((F.col("id") * F.col("id")).alias("rowid"), (CUTOFF + 60 * (F.col("id") - 400)).alias("time"))
+    assert removed_rows(log_rows, "rowid", "time", CUTOFF).count() == 400
+    left = purge_expired(log_rows, "rowid", "time", CUTOFF)
+    assert left.count() == 300 and left.agg(F.min("rowid")).first()[0] == 400 * 400
+    assert purge_expired(left, "rowid", "time", CUTOFF).count() == 300
 
 
 @pytest.mark.parametrize("newest", [False, True])
 def test_keeps_rows_around_the_cutoff(spark, ids, newest):
-    rows = [(i + 1, CUTOFF + (i * 7919) % 61 - 30) for i in range(4000)]
+    times = [CUTOFF + step for step in (-2, -1, 0, 1, 2)] * 300
+    random.Random(11).shuffle(times)
+    rows = list(enumerate([*times, CUTOFF - 1]))
     df = spark.createDataFrame(rows, "rowid bigint, time bigint")
-    want = [i for i, t in rows if t >= CUTOFF or (newest and i == 4000)]
+    want = [i for i, t in rows if t >= CUTOFF or (newest and i == len(times))]
     assert ids(purge_expired(df, "rowid", "time", CUTOFF, newest)) == want
 
 
@@ -51,32 +54,36 @@ def test_negative_and_missing_times_stay(spark, ids):
     assert ids(purge_expired(df, "rowid", "time", CUTOFF)) == [1, 4, 5]
 
 
+def stretches(spark, *runs):
+    """A log of runs of rows, each (rows, days from the cutoff)."""
+    spans, first = [], 0
+    for rows, days in runs:
+        spans.append((first, first + rows - 1, CUTOFF + days * DAY))
+        first += rows
+    return log(spark, *spans)
+
+
 def test_walk_finishes_past_the_cutoff(spark):
-    df = log(spark, (1, 100, CUTOFF - 10 * DAY), (101, 20_100, CUTOFF + 2 * DAY), (20_101, 20_110, CUTOFF - DAY),
-             (20_111, 20_111, CUTOFF + 3 * DAY))
-    left = purge_walked(df, "rowid", "time", CUTOFF, NOW, 500)
-    assert left.count() == df.count() - 100
-    assert left.filter(F.col("rowid").between(20_101, 20_110)).count() == 10
-    plan = purge_range_plan(df, "rowid", "time", CUTOFF, NOW, 500).orderBy("range").collect()
-    assert [p["step"] for p in plan[:3]] == ["purge", "finish", "leave"]
-    assert sum(p["removed"] for p in plan) == 100
+    df = stretches(spark, (240, -7), (9_000, 3), (30, -2), (5, 4))
+    left = purge_walked(df, "rowid", "time", CUTOFF, NOW, 300)
+    assert df.count() - left.count() == 240 and left.filter(F.col("time") < CUTOFF).count() == 30, "what lies past the finish stays"
+    steps = purge_range_plan(df, "rowid", "time", CUTOFF, NOW, 300).orderBy("range").collect()
+    assert [p["step"] for p in steps[:2]] == ["purge", "finish"] and {p["step"] for p in steps[2:]} == {"leave"}
+    assert [p["removed"] for p in steps if p["removed"]] == [240]
 
 
 def test_walk_goes_past_future_rows_run_after_run(spark):
-    df = log(spark, (1, 1_000, CUTOFF - 40 * DAY), (1_001, 21_000, CUTOFF - 39 * DAY + 365 * DAY),
-             (21_001, 60_000, CUTOFF - 20 * DAY), (60_001, 60_001, CUTOFF + 10 * DAY))
-    for run in range(3):
-        df = purge_walked(df, "rowid", "time", CUTOFF + run * DAY, NOW, 1_000)
-    assert df.filter(F.col("time") < CUTOFF + 2 * DAY).isEmpty()
-    assert df.filter(F.col("time") > CUTOFF + 300 * DAY).count() == 20_000
+    df = stretches(spark, (700, -30), (3_000, 400), (2_500, -12), (1, 9))
+    for day in (0, 1, 2):
+        df = purge_walked(df, "rowid", "time", CUTOFF + day * DAY, NOW, 450)
+    assert sorted((r["time"] - CUTOFF) // DAY for r in df.select("time").distinct().collect()) == [9, 400]
+    assert df.count() == 3_001
 
 
 def test_walk_finishes_after_future_rows(spark):
-    df = log(spark, (1, 100, CUTOFF - 10 * DAY), (101, 10_100, CUTOFF + 365 * DAY), (10_101, 40_100, CUTOFF + 2 * DAY),
-             (40_101, 40_110, CUTOFF - DAY), (40_111, 40_111, CUTOFF + 3 * DAY))
-    left = purge_walked(df, "rowid", "time", CUTOFF, NOW, 1_000)
-    assert left.count() == df.count() - 100
-    assert left.filter(F.col("time") < CUTOFF).count() == 10
+    df = stretches(spark, (60, -9), (2_000, 400), (4_000, 2), (25, -3), (1, 3))
+    left = purge_walked(df, "rowid", "time", CUTOFF, NOW, 200)
+    assert df.count() - left.count() == 60 and left.filter(F.col("time") < CUTOFF).count() == 25
 
 
 RETENTIONS = {
@@ -112,59 +119,64 @@ def test_policies(spark, ids):
     assert ids(purge_by_policy(df, "table", "time", policies, NOW)) == [2, 3, 4, 5, 6]
 
 
+#: Whether a row is past its time, and what a link can lead to: nothing, a row that stays, one that expires, none that ever was.
+TIMES, LINKS = (CUTOFF - DAY, CUTOFF, CUTOFF + DAY), (None, 2, 1, 99)
+HUB = [(n, *row) for n, row in enumerate(itertools.product(TIMES, LINKS, LINKS, (0, 1)), 1)]
+USED = [n for n in range(1, len(HUB) + 1) if n % 5 == 0]
+
+
 def seed(spark):
-    old, recent = CUTOFF - DAY, CUTOFF + DAY
-    make = spark.createDataFrame
-    return {
-        "block": make([(1, old), (2, recent)], "rowid bigint, time bigint"),
-        "entity": make([(1, old), (2, recent), (3, recent)], "rowid bigint, time bigint"),
-        "entity_spawn": make(
-            [(1, old, None, 1, "a", 0), (2, old, 2, 2, "b", 1), (3, old, 1, None, "c", 1), (4, old, None, None, "d", 1),
-             (5, old, None, None, "e", 1), (6, CUTOFF, None, None, "f", 1), (7, recent, None, None, "g", 0)],
-            "rowid bigint, time bigint, block_rowid bigint, kill_rowid bigint, uuid string, removed int"),
-        "entity_interaction": make([(1, old, 4), (2, old, 99), (3, CUTOFF, 98), (4, recent, 4)],
-                                   "rowid bigint, time bigint, entity_spawn_rowid bigint"),
-        "entity_container": make([(1, old, 97), (2, recent, 2)], "rowid bigint, time bigint, entity_spawn_rowid bigint"),
-    }
+    both = spark.createDataFrame([(1, TIMES[0]), (2, TIMES[2])], "rowid bigint, time bigint")
+    hub = spark.createDataFrame([(n, t, b, k, f"u{n}", r) for n, t, b, k, r in HUB],
+                                "rowid bigint, time bigint, block_rowid bigint, kill_rowid bigint, uuid string, removed int")
 
+    def children(links):
+        rows = [(n, t, link) for n, (t, link) in enumerate(itertools.product(TIMES, links), 1)]
+        return spark.createDataFrame(rows, "rowid bigint, time bigint, entity_spawn_rowid bigint")
+    return {"block": both, "entity": both, "entity_spawn": hub, "entity_interaction": children([*USED, 5_000]), "entity_container": children([7_000, None])}
 
-def state(purge, ids):
-    spawn = {r["rowid"]: (r["kill_rowid"], r["block_rowid"]) for r in purge.tables["entity_spawn"].collect()}
-    return spawn, {name: ids(purge.tables[name]) for name in ("block", "entity", "entity_interaction", "entity_container")}
 
+def expected(newest=False, expire=True):
+    """Rows left, worked out row by row: (hub's links by id, ids of the children)."""
+    alive = {2} if expire else {1, 2}
+    links = {n: (k if k in alive else None, b if b in alive else None) for n, _, b, k, _ in HUB}
+    gone = {n for n, t, _, _, r in HUB if t < CUTOFF and r and links[n] == (None, None) and n not in USED and not (newest and n == len(HUB))}
+    children = {name: [n for n, (t, link) in enumerate(itertools.product(TIMES, found), 1) if t >= CUTOFF or link in links]
+                for name, found in (("entity_interaction", [*USED, 5_000]), ("entity_container", [7_000, None]))}
+    return {n: x for n, x in links.items() if n not in gone}, children
 
-SPAWNS = {1: (None, None), 2: (2, 2), 4: (None, None), 6: (None, None), 7: (None, None)}
+
+def state(purge, ids):
+    hub = {r["rowid"]: (r["kill_rowid"], r["block_rowid"]) for r in purge.tables["entity_spawn"].collect()}
+    return hub, {name: ids(purge.tables[name]) for name in ("entity_interaction", "entity_container")}
 
 
 @pytest.mark.parametrize("newest", [False, True])
 def test_cascade(spark, ids, newest):
-    purge = purge_cascade(seed(spark), ["entity", "block"], LinkGraph(), CUTOFF, keep_newest=newest)
-    spawn, rest = state(purge, ids)
-    assert spawn == SPAWNS
-    assert rest == {"block": [2], "entity": [2, 3], "entity_interaction": [1, 3, 4], "entity_container": [2]}
-    report = purge.report().collect()
-    assert sum(r["removed"] for r in report) == 6
-    assert sum(r["orphans_changed"] for r in report) == 6 and purge.cleaned
+    tables = seed(spark)
+    purge = purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF, keep_newest=newest)
+    assert state(purge, ids) == expected(newest)
+    assert ids(purge.tables["block"]) == ids(purge.tables["entity"]) == [2]
+    lost = sum(tables[name].count() - purge.tables[name].count() for name in tables)
+    assert sum(r["removed"] for r in purge.report().collect()) == lost > 4 and purge.cleaned
 
 
 def test_cascade_waits_for_something_to_clean(spark, ids):
-    tables = seed(spark)
-    for name in ("block", "entity"):
-        tables[name] = tables[name].filter("rowid <> 1")
+    tables = {name: df.filter("rowid <> 1") if name in ("block", "entity") else df for name, df in seed(spark).items()}
     idle = purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF)
     assert sum(r["removed"] for r in idle.report().collect()) == 0 and len(idle.audits) == 2
-    purge = purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF, orphans_pending=True)
-    assert state(purge, ids)[0] == SPAWNS
-    assert sum(r["removed"] for r in purge.report().collect()) == 4
+    pending = purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF, orphans_pending=True)
+    assert state(pending, ids) == expected()
     untracked = purge_cascade(seed(spark), ["entity", "block"], LinkGraph(), CUTOFF, orphans_pending=True, tracked=False)
-    assert not untracked.cleaned and ids(untracked.tables["entity_spawn"]) == list(range(1, 8))
+    assert not untracked.cleaned and ids(untracked.tables["entity_spawn"]) == [n for n, *_ in HUB]
 
 
 def test_cascade_keeps_the_newest_hub_row(spark, ids):
     tables = seed(spark)
-    tables["entity_spawn"] = tables["entity_spawn"].filter("rowid <= 5")
-    assert 5 in ids(purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF, True).tables["entity_spawn"])
-    assert 5 not in ids(purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF).tables["entity_spawn"])
+    last = max(n for n, t, _, _, r in HUB if t < CUTOFF and r and n not in USED and n not in expected()[0])
+    tables["entity_spawn"] = tables["entity_spawn"].filter(F.col("rowid") <= last)
+    for newest in (True, False):
+        assert (last in ids(purge_cascade(tables, ["entity", "block"], LinkGraph(), CUTOFF, newest).tables["entity_spawn"])) == newest
 
 
 def test_latest_state(spark):
@@ -220,5 +232,6 @@ def test_settled_cascade_is_the_same(spark, ids):
         return written(df)
 
     purge = purge_cascade(seed(spark), ["entity", "block"], LinkGraph(), CUTOFF, settle=settle)
-    assert state(purge, ids)[0] == SPAWNS and sum(r["removed"] for r in purge.report().collect()) == 6
+    lost = sum(df.count() - purge.tables[name].count() for name, df in seed(spark).items())
+    assert state(purge, ids) == expected() and sum(r["removed"] for r in purge.report().collect()) == lost
     assert steps == ["entity", "block", "entity_spawn", "entity_interaction", "entity_container", "entity_spawn"]
