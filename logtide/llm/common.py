@@ -74,4 +74,4 @@ def fitted_in_task(sample: DataFrame, function: Callable[[pa.Table], object]) ->
     def fit(batches):
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(function(pa.Table.from_batches(list(batches), to_arrow_schema(schema))))], pa.binary())], ["model"])
     rows = sample.coalesce(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(rows[0].model)
+    return pickle.loads(rows[0].model) if rows else function(to_arrow_schema(schema).empty_table())  # no row, no task
