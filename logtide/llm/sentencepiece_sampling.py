@@ -31,7 +31,7 @@ from logtide.llm.words import mixed, spans, sums
 
 OFFSET = 2.7
 #: Bytes of text whose lattices are built at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 NORMAL, BYTE, UNIGRAM = (1, 4), 6, 1
 BEGUN_BITS = 22
 #: Random numbers for a chunk that is drawn anew; longer ones use them in turn.
