@@ -3,15 +3,16 @@
 A page's tokens are its elements, each named by its path of tags with ids and classes, and its text blocks, named by path
 and text. The tokens of a host that occur equally often in the same pages (one occurrence vector) are an equivalence
 class; vectors are compared by sums of hashes over pages, so no host's pages are brought together. A class is valid with
-support by enough pages and at least two element tokens. Valid classes nest by their paths into the host's template: elements of the template
-bound slots; texts in a class with elements are the template's own words. What is left in slots is extracted.
+support by enough pages and at least two element tokens. Elements of valid classes nest by their paths into the host's template:
+each bounds a slot, which holds the texts that lie in it and in no template element further in. Texts in a valid class are the
+template's own words. A slot with no other texts on any page is fixed and left out; of the others, all but the template's words is extracted.
 
 Slots in elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag, role, id or
-class are left out, with all they hold. Where a page has an article or main element, slots outside of those are left
-out; elsewhere, blocks that are all links. The template's words are left out unless they are most of a page's text: a
-host that repeats one article has no template but the article.
+class are left out, with all they hold. Where a page has an article or main element, that is its slot: all in it is extracted, words that
+other pages have too included, and nothing outside of it; elsewhere, blocks that are all links are left out. A host whose slots hold next to no texts but
+the template's repeats one article, and has no template; that is decided for the host, not for a page.
 
-A template is a list of hashes of at most the tokens of some pages; pages of a hot host are dealt over salted parts of
+A template is some lists of hashes of at most the tokens of some pages; pages of a hot host are dealt over salted parts of
 it. A null or empty page, and one without main text, has an empty text; a null address has no host and no template.
 Rows are handled one by one, repeated ones too; extra columns are ignored.
 """
@@ -31,8 +32,10 @@ from logtide.llm.common import kept, slices
 
 #: Pages that support a class, and the share of the host's pages; pages of a host for one part of its salted template.
 LEAST_PAGES, LEAST_SHARE, PAGES_A_PART = 4, 0.3, 500
-#: The template's words may be this share of a page's text at most.
-MOST_TEMPLATE = 0.3
+#: A host whose own texts are less than this share of the text in its slots repeats one article.
+LEAST_OWN = 0.1
+#: A template's lists, in the order `extracted` takes them.
+LISTS = ("words", "elements", "fixed")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -67,10 +70,11 @@ class Element:
 
 @dataclass
 class Page:
-    """Elements' path hashes in page order; blocks as (path, text, in the main part, all links, left out)."""
+    """Elements' path hashes in page order; blocks as (path, text, in the main part, all links, left out); the path above each path."""
 
     elements: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
+    above: dict = field(default_factory=dict)
 
 
 def named(value: str) -> set[str]:
@@ -186,6 +190,7 @@ def parsed(html: str) -> Page:
             out = True
         path = below(parent.path, key)
         page.elements.append(path)
+        page.above[path] = parent.path
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
@@ -207,60 +212,112 @@ def text_token(path: int, words: str) -> int:
     return stable(f"{path}|{words}")
 
 
+def candidates(page: Page) -> list:
+    """Blocks that the tag rules leave: those of article or main elements, else those that are not all links."""
+    inside = [b for b in page.blocks if not b[4]]
+    return [b for b in inside if b[2]] or [b for b in inside if not b[3]]
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, element: whether it is one, pages, low, high: sums of hashes of page and count)."""
+    """(host, token, element: whether it is one, above: the path it is in, pages, low, high: sums of hashes of page and count, chars).
+
+    `chars` counts candidates outside of articles: in an element with all it holds, of a text itself, in token 0 of the page.
+    """
     def function(batches):
         for batch in batches:
-            total: dict[tuple[str, int, bool], list[int]] = {}
+            total: dict[tuple[str, int, bool, int], list[int]] = {}
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html")):
                 html, host = html.as_py() or "", host_of(url)
                 if not host:
                     continue
-                page, counts = parsed(html), {(0, True): 1}
+                page, counts, chars = parsed(html), {(0, True, 0): 1}, {}
                 for path in page.elements:
-                    counts[path, True] = counts.get((path, True), 0) + 1
+                    name = path, True, page.above[path]
+                    counts[name] = counts.get(name, 0) + 1
                 for path, words, *_ in page.blocks:
-                    name = text_token(path, words), False
+                    name = text_token(path, words), False, path
                     counts[name] = counts.get(name, 0) + 1
+                for path, words, main, *_ in candidates(page):
+                    if main:
+                        break
+                    names, at = [(text_token(path, words), False, path), (0, True, 0)], path
+                    while at in page.above:
+                        names.append((at, True, page.above[at]))
+                        at = page.above[at]
+                    for name in names:
+                        chars[name] = chars.get(name, 0) + len(words)
                 own = stable(html)
-                for (token, element), n in counts.items():
+                for name, n in counts.items():
                     mark = hash((own, n)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
                     mark ^= mark >> 29
-                    entry = total.setdefault((host, token, element), [0, 0, 0])
+                    entry = total.setdefault((host, *name), [0, 0, 0, 0])
                     entry[0] += 1
                     entry[1] += mark & 0x7FFFFFFF
                     entry[2] += mark >> 33
+                    entry[3] += chars.get(name, 0)
             if total:
-                host, token, element = zip(*total)
-                n, low, high = zip(*total.values())
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.int64()), pa.array(element, pa.bool_()), pa.array(n, pa.int64()),
-                                                  pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["host", "token", "element", "pages", "low", "high"])
-    found = pages.select("url", "html").mapInArrow(function, "host string, token long, element boolean, pages long, low long, high long")
-    return found.groupBy("host", "token", "element").agg(F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+                host, token, element, above = zip(*total)
+                columns = [pa.array(host, pa.string()), pa.array(token, pa.int64()), pa.array(element, pa.bool_()), pa.array(above, pa.int64()),
+                           *(pa.array(numbers, pa.int64()) for numbers in zip(*total.values()))]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "token", "element", "above", "pages", "low", "high", "chars"])
+    found = pages.select("url", "html").mapInArrow(function, "host string, token long, element boolean, above long, pages long, low long, high long, chars long")
+    return found.groupBy("host", "token", "element", "above").agg(*[F.sum(c).alias(c) for c in ("pages", "low", "high", "chars")])
+
+
+def slot_of(path: int, above: dict, elements) -> int:
+    """The innermost element of the template that holds a path, itself included; 0 where there is none."""
+    while path not in elements:
+        if path not in above:
+            return 0
+        path = above[path]
+    return path
+
+
+def nested(rows: list[dict]) -> tuple[list, list, list]:
+    """A host's template, of its tokens with support: elements, fixed slots, words. Without elements where it repeats one article."""
+    classes: dict[tuple, list[dict]] = {}
+    for row in rows:
+        if row["token"]:
+            classes.setdefault((row["pages"], row["low"], row["high"]), []).append(row)
+    valid = [row for own in classes.values() if sum(r["element"] for r in own) >= 2 for row in own]
+    elements = {r["token"] for r in valid if r["element"]}
+    words = [r for r in valid if not r["element"]]
+    # what holds a token stands on all of the token's pages, so paths have no gaps
+    above = {r["token"]: r["above"] for r in rows if r["element"] and r["token"]}
+    every = next(r["chars"] for r in rows if not r["token"])
+    held = {r["token"]: r["chars"] for r in valid if r["element"]}
+    inner = dict.fromkeys([*held, 0], 0)  # in template elements further in
+    for element, chars in held.items():
+        inner[slot_of(above[element], above, elements)] += chars
+    own = {element: chars - inner[element] for element, chars in held.items()} | {0: every - inner[0]}
+    filled = dict.fromkeys(own, 0)
+    for row in words:
+        filled[slot_of(row["above"], above, elements)] += row["chars"]
+    if sum(own[slot] - filled[slot] for slot in own) < LEAST_OWN * every:
+        return [], [], []
+    fixed = [slot for slot in held if own[slot] and own[slot] == filled[slot]]
+    return sorted(elements), sorted(fixed), sorted(r["token"] for r in words if r["chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, words: text tokens that belong to the template)."""
+    """(host, pages, elements: paths of the template, fixed: those that bound fixed slots, words: its text tokens)."""
     every = tokens(pages).where(F.col("pages") >= LEAST_PAGES)
     every = kept(every)  # what occurs in some pages at least: small
     size = every.where("element and token = 0").select("host", F.col("pages").alias("all_pages"))
-    valid = every.join(size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages")).groupBy("host", "all_pages", "pages", "low", "high").agg(
-        F.count_if(F.col("element") & (F.col("token") != 0)).alias("elements"),
-        F.collect_list(F.when(~F.col("element"), F.col("token"))).alias("words"))  # no more than one page's tokens
-    valid = valid.where("elements >= 2")
-    return valid.groupBy("host", F.col("all_pages").alias("pages")).agg(F.flatten(F.collect_list("words")).alias("words"))
+    supported = every.join(size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))  # of a host, no more than the tokens of some pages
 
+    def function(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        elements, fixed, words = nested(rows)
+        return pa.table({"host": [rows[0]["host"]], "pages": [rows[0]["all_pages"]], **{name: pa.array([found], pa.list_(pa.int64()))
+                                                                                      for name, found in (("elements", elements), ("fixed", fixed), ("words", words))}})
+    return supported.groupBy("host").applyInArrow(function, "host string, pages long, elements array<long>, fixed array<long>, words array<long>")
 
-def extracted(page: Page, words: set) -> str:
-    """The main part's slots: all blocks of article or main elements, else those that are not all links."""
-    inside = [b for b in page.blocks if not b[4]]
-    main = [b for b in inside if b[2]]
-    chosen = main or [b for b in inside if not b[3]]
-    if words:
-        left = [b for b in chosen if text_token(b[0], b[1]) not in words]
-        if sum(len(b[1]) for b in left) >= (1 - MOST_TEMPLATE) * sum(len(b[1]) for b in chosen):
-            chosen = left
-    return "\n".join(b[1] for b in chosen)
+
+def extracted(page: Page, words: set, elements: set = frozenset(), fixed: set = frozenset()) -> str:
+    """All of article or main elements, else what slots hold beside the template's words."""
+    return "\n".join(b[1] for b in candidates(page)
+                     if b[2] or not words or (slot_of(b[0], page.above, elements) not in fixed and text_token(b[0], b[1]) not in words))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -268,20 +325,20 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def function(batches):
         for batch in batches:
             for part in slices(batch, "html"):
-                out = [extracted(parsed(html.as_py()), set(words or ())) if html.is_valid else ""
-                       for html, words in zip(part.column("html"), part.column("words").to_pylist())]
+                out = [extracted(parsed(html.as_py()), *(set(lists or ()) for lists in own)) if html.is_valid else ""
+                       for html, *own in zip(part.column("html"), *(part.column(name).to_pylist() for name in LISTS))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
                                                  ["page_id", "url", "text", "n_chars"])
     hosts = templates(pages).where(F.size("words") > 0).withColumn("parts", F.ceil(F.col("pages") / PAGES_A_PART).cast("int"))
     hosts = kept(hosts)
     if hosts.isEmpty():
-        rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.lit(None).cast("array<long>").alias("words"))
+        rows = pages.select(F.col("page_id").cast("long"), "url", "html", *[F.lit(None).cast("array<long>").alias(name) for name in LISTS])
     else:
-        parts = hosts.select("host", "words", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        parts = hosts.select("host", *LISTS, "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         # a host's pages are dealt by page over the parts; a page of a host with fewer parts goes to part modulo their number
         host = F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
         rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.coalesce(host, F.lit("")).alias("host"))
         rows = rows.join(hosts.select("host", "parts"), "host", "left")
         rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts").cast("long")).cast("int"), F.lit(-1)))
-        rows = rows.join(parts.select("host", "part", "words"), ["host", "part"], "left").select("page_id", "url", "html", "words")
+        rows = rows.join(parts.select("host", "part", *LISTS), ["host", "part"], "left").select("page_id", "url", "html", *LISTS)
     return rows.mapInArrow(function, "page_id long, url string, text string, n_chars long")

@@ -169,6 +169,23 @@ def test_templates_of_hosts(spark):
     assert html_extract.main_texts(df.limit(0)).collect() == []
 
 
+def test_templates_nest_and_bound_slots(spark):
+    page = "<body><div class=top><p>Menu of this site with many words</p></div><div class=page><p>{}</p></div><div class=end>Note</div></body>"
+    rows = [(i, "http://plain.example/", page.format(f"Text {i} " + "and more " * (40 * (i > 0)))) for i in range(8)]
+    rows += [(100 + i, "http://news.example/", f"<body><article><h1>Title {i} {'of a story ' * 20}</h1><p>Read by all.</p></article></body>") for i in range(8)]
+    stamped = "<body><div class=story><p>One story {}</p></div><div class=when>{}</div></body>"
+    rows += [(200 + i, "http://again.example/", stamped.format("told on every page " * 9, i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+    assert got[0] == "Text 0" and got[1].startswith("Text 1 and more"), "a short page loses the menu as a long one does"
+    assert all(got[100 + i].startswith(f"Title {i} ") and got[100 + i].endswith("\nRead by all.") for i in range(8)), "an article keeps what others have too"
+    assert all(got[200 + i].startswith("One story told") and got[200 + i].endswith(f"\n{i}") for i in range(8)), "one repeated article is no template"
+    found = {r.host: r for r in html_extract.templates(df).collect()}
+    paths = {b[1].split()[0]: b[0] for b in html_extract.parsed(rows[0][2]).blocks}
+    assert set(found["plain.example"].fixed) == {paths["Menu"], paths["Note"]} < set(found["plain.example"].elements)
+    assert not found["again.example"].elements and not found["news.example"].words
+
+
 def test_hot_hosts_are_dealt_over_parts(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "PAGES_A_PART", 3)
     rows = [(i, "http://h.example/", f"<body><div>menu of the site</div><div class=x><p>{'text %d ' % i * 30}</p></div></body>") for i in range(20)]
