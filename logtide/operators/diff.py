@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions.values import comparable, describe, same
 from logtide.operators.digest import block_digests
@@ -33,48 +33,72 @@ def _sides(left: DataFrame, right: DataFrame, id: str):
     return source, target, typed
 
 
-def _once(side: DataFrame, copies: str) -> DataFrame:
-    """One row of each id, with how many there are. The join needs the ids together and sorted anyway."""
-    own = Window.partitionBy("id")
-    first = F.row_number().over(own.orderBy(F.xxhash64(*[c for c in side.columns if c != "id"])))
-    numbered = side.withColumn(copies, F.count("*").over(own)).withColumn("nth", first)
-    return numbered.filter("nth = 1").drop("nth")
+def _line(typed: list, prefix: str, which: int) -> Column:
+    """A row's id and compared columns in their comparable forms."""
+    return F.concat_ws("|", F.col("id").cast("string"), *[comparable(F.col(f"{prefix}{i}"), t[which]) for i, t in enumerate(typed)])
+
+
+def _finding(kind: str, column, a: Column, b: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(column).cast("string").alias("column"), a.alias("source"), b.alias("target"))
+
+
+def _alone(kind: str) -> Column:
+    return _finding(kind, None, F.lit(None).cast("string"), F.lit(None).cast("string"))
+
+
+def _without_id(source: DataFrame, target: DataFrame) -> DataFrame:
+    """A finding for each row without an id: it has no counterpart."""
+    found = [side.filter("id IS NULL").select("id", _alone(kind).alias("f")) for side, kind in ((source, "missing"), (target, "extra"))]
+    return found[0].unionByName(found[1]).select("id", "f.*")
 
 
 def _compare(source: DataFrame, target: DataFrame, typed: list) -> DataFrame:
-    """Rows of one id are compared by one of them on each side; unequal numbers of them are a finding."""
-    joined = (_once(source, "s_copies").withColumn("in_source", F.lit(True))
-              .join(_once(target, "t_copies").withColumn("in_target", F.lit(True)), "id", "full_outer"))
-
-    def finding(kind: str, column, a: Column, b: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(column).cast("string").alias("column"),
-                        a.alias("source"), b.alias("target"))
-
-    nothing = F.lit(None).cast("string")
-    both = F.col("in_source").isNotNull() & F.col("in_target").isNotNull()
-    found = [F.when(F.col("in_target").isNull(), finding("missing", None, nothing, nothing)),
-             F.when(F.col("in_source").isNull(), finding("extra", None, nothing, nothing))]
-    repeated = F.col("s_copies") != F.col("t_copies")
-    found.append(F.when(both & repeated, finding("repeated", None, F.col("s_copies").cast("string"), F.col("t_copies").cast("string"))))
-    differs = F.coalesce(repeated, F.lit(False))
+    """Equal rows of one id are counted on both sides, and as many as both have drop out; an id's other rows are findings.
+
+    The first shuffle is by id and content, the second by id with the contents of what is left: rows of a hot id are spread, then summed.
+    """
+    def side(df: DataFrame, prefix: str, which: int) -> DataFrame:
+        values = F.struct(F.lit(True).alias("present"), *[F.col(f"{prefix}{i}") for i in range(len(typed))])
+        return df.filter("id IS NOT NULL").select("id", F.unhex(F.sha2(_line(typed, prefix, which), 256)).alias("row"),
+                                                  F.lit(1 if which == 1 else 0).cast("bigint").alias("s"), F.lit(1 if which == 2 else 0).cast("bigint").alias("t"),
+                                                  values.alias(f"{prefix}_values"))
+
+    both_sides = side(source, "s", 1).unionByName(side(target, "t", 2), allowMissingColumns=True)
+    counted = both_sides.groupBy("id", "row").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.any_value("s_values", F.lit(True)).alias("s_values"),
+                                                  F.any_value("t_values", F.lit(True)).alias("t_values"))
+    s, t = F.col("s"), F.col("t")
+
+    def left(n: Column, other: Column, prefix: str) -> list[Column]:
+        return [F.sum(n).alias(f"{prefix}_rows"), F.sum(F.greatest(n - other, F.lit(0))).alias(f"{prefix}_left"),
+                F.sum(F.when(other == 0, n).otherwise(0)).alias(f"{prefix}_only"), F.count_if(n > other).alias(f"{prefix}_groups"),
+                F.any_value(F.when(n > other, F.col(f"{prefix}_values")), F.lit(True)).alias(f"{prefix}_values")]
+
+    ids = counted.groupBy("id").agg(*left(s, t, "s"), *left(t, s, "t")).filter("s_groups + t_groups > 0")
+    single = (F.col("s_groups") == 1) & (F.col("t_groups") == 1)
+    copies = (F.col("s_groups") == 0) | (F.col("t_groups") == 0)  # a row that both sides have is repeated, not missing or extra
+    repeated = (F.col("s_rows") > 0) & (F.col("t_rows") > 0) & (F.col("s_rows") != F.col("t_rows"))
+    found = [F.when(repeated, _finding("repeated", None, F.col("s_rows").cast("string"), F.col("t_rows").cast("string")))]
     for i, (name, a_type, b_type) in enumerate(typed):
-        a, b = F.col(f"s{i}"), F.col(f"t{i}")
-        other = ~same(a, b, a_type, b_type)
-        differs = differs | other
-        found.append(F.when(both & other, finding("differs", name, describe(a, a_type), describe(b, b_type))))
-    # Drop equal rows before any finding is built
-    return (joined.filter(~both | differs)
-            .select("id", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f"))
-            .select("id", "f.kind", "f.column", "f.source", "f.target"))
+        a, b = F.col(f"s_values.s{i}"), F.col(f"t_values.t{i}")
+        found.append(F.when(single & ~same(a, b, a_type, b_type), _finding("differs", name, describe(a, a_type), describe(b, b_type))))
+
+    def rows(kind: str, prefix: str) -> Column:
+        n = F.when(single, 0).when(copies, F.col(f"{prefix}_only")).otherwise(F.col(f"{prefix}_left"))
+        return F.array_repeat(_alone(kind), n.cast("int"))
+
+    every = F.concat(F.filter(F.array(*found), lambda f: f.isNotNull()), rows("missing", "s"), rows("extra", "t"))
+    return ids.select("id", F.explode(every).alias("f")).select("id", "f.*")
 
 
 def diff_full(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
     """Every difference between a source and its copy: missing and extra rows, each differing column, and ids that
     the sides have different numbers of (`repeated`, with the two numbers).
 
-    Both sides are shuffled by id once. Ids are all but unique, so the shuffle is even.
+    Rows of a repeated id are compared as a bag: what is left of equal rows is named by column where it is one row on each side, else each
+    row is missing or extra. So is each row without an id.
     """
-    return _compare(*_sides(left, right, id))
+    source, target, typed = _sides(left, right, id)
+    return _compare(source, target, typed).unionByName(_without_id(source, target))
 
 
 def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
@@ -85,9 +109,7 @@ def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
     source, target, typed = _sides(left, right, id)
 
     def digests(side: DataFrame, prefix: str, which: int) -> DataFrame:
-        cells = [comparable(F.col(f"{prefix}{i}"), t[which]) for i, t in enumerate(typed)]
-        line = F.concat_ws("|", F.col("id").cast("string"), *cells)
-        return block_digests(side, "id", line, PRUNE_BITS).select("block", F.col("hash").alias(f"{prefix}_hash"))
+        return block_digests(side.filter("id IS NOT NULL"), "id", _line(typed, prefix, which), PRUNE_BITS).select("block", F.col("hash").alias(f"{prefix}_hash"))
 
     unequal = (digests(source, "s", 1).join(digests(target, "t", 2), "block", "full_outer")
                .filter(~F.col("s_hash").eqNullSafe(F.col("t_hash"))).select("block"))
@@ -97,7 +119,7 @@ def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
         return (side.withColumn("block", F.shiftright("id", PRUNE_BITS))
                 .join(unequal, "block", "left_semi").drop("block"))
 
-    return _compare(pruned(source), pruned(target), typed)
+    return _compare(pruned(source), pruned(target), typed).unionByName(_without_id(source, target))
 
 
 def diff_sample(left: DataFrame, right: DataFrame, id: str, ranges: DataFrame) -> DataFrame:

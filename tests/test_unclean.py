@@ -93,6 +93,26 @@ def test_repeated_rows_are_a_difference(spark, diff):
     assert diff(once, once, "rowid").collect() == []
 
 
+@pytest.mark.parametrize("diff", [diff_full, diff_pruned])
+def test_repeated_ids_are_compared_by_all_their_rows(spark, diff):
+    def found(source, target, kind="string"):
+        left, right = spark.createDataFrame(source, "rowid bigint, v string"), spark.createDataFrame(target, "rowid bigint, v string")
+        right = right.withColumn("v", F.col("v").cast(kind))
+        return sorted(((r.id, r.kind, r.source) for r in diff(left, right, "rowid").collect()), key=str)
+    texts = [chr(c) for c in range(ord("a"), ord("k"))]
+    for a in texts:  # whichever hash is least
+        for b, c in zip(texts, texts[1:]):
+            if a not in (b, c):
+                pairs = [(1, a), (1, b)], [(1, a), (1, c)]
+                break
+        assert found(*pairs) == [(1, "differs", f"'{b}'")]
+    assert found([(1, v) for v in texts], [(1, v) for v in texts[::-1]], "binary") == []
+    assert found([(1, "a"), (1, "a"), (1, "b")], [(1, "a"), (1, "b"), (1, "b")]) == [(1, "differs", "'a'")]
+    assert found([(1, "a")], [(1, "a"), (1, "c")]) == [(1, "extra", None), (1, "repeated", "1")]
+    assert found([(1, "a"), (1, "b"), (2, "x"), (2, "x")], [(1, "c"), (1, "d")]) == [(1, k, None) for k in ("extra", "extra", "missing", "missing")] + [(2, "missing", None)] * 2
+    assert found([(None, "a"), (None, "a"), (None, "b"), (3, "c")], [(None, "a"), (3, "c")]) == [(None, "extra", None)] + [(None, "missing", None)] * 3
+
+
 def test_several_policies_keep_what_the_longest_keeps(spark, ids):
     df = spark.createDataFrame([(1, "a", NOW - 50 * 86_400), (2, "a", NOW - 90 * 86_400), (3, "b", NOW - 90 * 86_400), (4, None, 0)], "rowid bigint, t string, time bigint")
     policies = spark.createDataFrame([("a", "40d"), ("a", "70d"), ("b", "40d"), ("b", "nonsense")], "table string, retention string")
