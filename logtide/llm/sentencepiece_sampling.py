@@ -34,7 +34,7 @@ OFFSET = 2.7
 CHUNK_BYTES = 1 << 20
 NORMAL, BYTE, UNIGRAM = (1, 4), 6, 1
 BEGUN_BITS = 22
-#: Random numbers for a chunk that is drawn anew; longer ones use them in turn.
+#: Random numbers that are drawn at once for a chunk that is drawn anew; longer ones draw further blocks of as many.
 STEPS = 24
 
 
@@ -222,8 +222,11 @@ class Lattice:
             edges[begin[which] + step] = edge
         return edges, many, log_p
 
-    def draw_other(self, chunk: int, barred: list[tuple], random: list[float]) -> tuple[list[int], float]:
-        """A segmentation of one chunk that is not barred: each edge's mass less that of the barred ones through it."""
+    def draw_other(self, chunk: int, barred: list[tuple], random: list[float], key: np.ndarray, turn: int) -> tuple[list[int], float]:
+        """A segmentation of one chunk that is not barred: each edge's mass less that of the barred ones through it.
+
+        `random` has the numbers of the first steps by `key` (of one row) and `turn`; those of later steps are drawn when they are reached.
+        """
         state, goal, out, total = int(self.base[chunk]), int(self.last[chunk]), [], 0.0
         while state != goal:
             a, b = int(self.first[state]), int(self.first[state + 1])
@@ -236,7 +239,9 @@ class Lattice:
             left = sum(mass)
             if not left:
                 return [], -np.inf
-            left *= random[len(out) % len(random)]
+            if len(out) == len(random):
+                random = random + uniform(key, np.arange(len(random), len(random) + STEPS), turn).tolist()
+            left *= random[len(out)]
             pick = max(i for i, m in enumerate(mass) if m)
             for i, m in enumerate(mass):
                 left -= m
@@ -335,7 +340,7 @@ def samples(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, known: Piece
         for t, random in zip(going.tolist(), numbers.tolist()):
             old, c = winners[source[t]], int(where[t])
             bars = [old.path(c), *(old.barred.get(t, []) if old.free[t] == c else [])]
-            path, p = lattice.draw_other(int(chunk[c]), bars, random)
+            path, p = lattice.draw_other(int(chunk[c]), bars, random, key[filled[t:t + 1]], (turn << 8) + 4)
             old.bounds[c] = -np.inf
             if not path:
                 values[t] = -np.inf

@@ -327,6 +327,18 @@ def test_samples_follow_the_lattice(known, library, text):
             assert abs(first.get(ids, 0) - math.exp(p)) < 0.03 and abs(inclusion[ids] - 1) < 0.12
 
 
+def test_long_chunks_follow_the_lattice(known):
+    rows = samples_of(known, ["stationer" * 40] * 600, 2)
+    first, second = ([row["samples"][i] for row in rows] for i in (0, 1))
+    assert min(len(s["ids"]) for s in second) > 3 * sampling.STEPS
+    spread = [np.std([s["log_prob"] for s in samples]) for samples in (first, second)]
+    assert abs(spread[1] / spread[0] - 1) < 0.2, "steps that share a random number vary together"
+    assert abs(np.mean([s["log_prob"] for s in first]) - np.mean([s["log_prob"] for s in second])) < 0.3 * spread[0]
+    a, b = sampling.samples(*flat(pa.array(["stationer" * 40])), np.array([7], np.uint64), known, 2), sampling.samples(*flat(pa.array(["stationer" * 40] * 2)), np.array([3, 7], np.uint64), known, 2)
+    ids = a[0][1][2], b[0][1][2][b[0][1][1][1]:]
+    assert np.array_equal(*ids), "numbers depend on the row's key alone"
+
+
 def test_samples_decode_to_their_texts(known, library):
     texts = ["hello world", None, "", " two  blanks ", "家 and \U0001F600\n\ttabs", "mark ▁ itself", "x" * 300, "a" * 5 + "é" * 40]
     rows = samples_of(known, texts, 4)
