@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -104,10 +104,10 @@ def copied(df: DataFrame, plan: TablePlan, codecs: dict[str, Codec] | None = Non
 
 def copy_tables(sources: dict[str, DataFrame], store, plans: list[TablePlan],
                 codecs: dict[str, dict[str, Codec]] | None = None, policy: str = "keep", replace: bool = False,
-                arrived: Callable[[TablePlan], None] | None = None) -> CopyResult:
+                arrived: Callable[[TablePlan, DataFrame | None], None] | None = None) -> CopyResult:
     """Write every planned table to a store, several at a time, and check the rows written.
 
-    `replace` writes over what a copy that was stopped left; `arrived` is called for each table that is there and counted.
+    `replace` writes over what a copy that was stopped left; `arrived` is called with each table that is there and counted, and its rejects.
     """
     result = CopyResult(plans)
 
@@ -122,7 +122,7 @@ def copy_tables(sources: dict[str, DataFrame], store, plans: list[TablePlan],
             raise MigrationRefused(f"copied {written_rows} rows of table {plan.name}, which had {plan.rows}: "
                                    "something else changed the source")
         if arrived:
-            arrived(plan)
+            arrived(plan, rejects)
 
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
         list(pool.map(one, plans))
@@ -135,10 +135,11 @@ def migrate(spark: SparkSession, sources: dict[str, DataFrame], ids: dict[str, s
     """Copy all tables to a new version of a parquet store, prove the copy, and only then publish it.
 
     A version that is complete, or a folder that is not a version, is refused as occupied. One that is incomplete is gone
-    on with: its ledger names the tables that arrived, with the counts and ids they had in the source; others are written
-    again. Then the source's statistics must be as they were planned, the target's equal to them with no further table, the
-    high-water marks carried, and no compared row may differ. Returns the verdicts, one row a table; the manifest
-    holds counts, ids, marks and the number of rejected values.
+    on with: its ledger names the tables that arrived, with the counts and ids they had in the source and how many values were rejected; others are
+    written again, and so are those of an earlier run that no longer are what the source would be copied to. Then the source's statistics must be
+    as they were planned, the target's equal to them with no further table, the high-water marks carried, and no compared row may differ from the
+    source's, encoded where the table has codecs; tables of an earlier run are compared in full. Returns the verdicts, one row a table; the
+    manifest holds counts, ids, marks and the number of rejected values.
     """
     folder = f"{root}/{version}"
     if exists(spark, folder):
@@ -150,9 +151,25 @@ def migrate(spark: SparkSession, sources: dict[str, DataFrame], ids: dict[str, s
     plans = plan_copy(sources, ids, sample=sample, core=core)
     store, planned = ParquetStore(folder), {p.name: {"rows": p.rows, "max_id": p.max_id} for p in plans}
     ledger = {name: read_json(spark, f"{folder}/{LEDGER}/{name}.json") for name in planned}
-    pending = [p for p in plans if ledger[p.name] != planned[p.name]]
-    result = copy_tables(sources, store, pending, codecs, policy, replace=True,
-                         arrived=lambda p: write_json(spark, f"{folder}/{LEDGER}/{p.name}.json", planned[p.name]))
+    pending = [p for p in plans if ledger[p.name] != {**planned[p.name], "rejects": (ledger[p.name] or {}).get("rejects")} or not store.has(spark, p.name)]
+    rejects = {name: entry["rejects"] for name, entry in ledger.items() if entry and "rejects" in entry}
+
+    def arrived(plan: TablePlan, rejected: DataFrame | None) -> None:
+        rejects[plan.name] = 0 if rejected is None else rejected.count()
+        write_json(spark, f"{folder}/{LEDGER}/{plan.name}.json", {**planned[plan.name], "rejects": rejects[plan.name]})
+
+    def differs(plan: TablePlan) -> bool:
+        if {b for _, b in plan.columns} != set(store.read(spark, plan.name).columns):
+            return True
+        return not validate(sources[plan.name], store.read(spark, plan.name), plan, codecs=(codecs or {}).get(plan.name), policy=policy).isEmpty()
+
+    earlier = [replace(p, sampled=False) for p in plans if p not in pending]
+    stale = {p.name for p in earlier if differs(p)}
+    pending += [p for p in plans if p.name in stale]
+    for plan in pending:
+        if ledger[plan.name]:
+            write_json(spark, f"{folder}/{LEDGER}/{plan.name}.json", {})
+    copy_tables(sources, store, pending, codecs, policy, replace=True, arrived=arrived)
 
     tables = {p.name: (sources[p.name], p.id) for p in plans}
     target = {name: (store.read(spark, name), tables[name][1]) for name in store.tables(spark) if name in tables}
@@ -164,21 +181,20 @@ def migrate(spark: SparkSession, sources: dict[str, DataFrame], ids: dict[str, s
         raise MigrationRefused(f"the source changed while it was copied: {', '.join(changed)}")
     verdicts = stats_verdict(now, now, there)
     wrong = [r["table"] for r in verdicts.filter("verdict <> 'ok'").collect()]
-    differing = [p.name for p in plans if p.name not in wrong and not (codecs or {}).get(p.name)
-                 and not validate(sources[p.name], target[p.name][0], p).isEmpty()]
+    compared = [p for p in plans if p in pending] + [p for p in earlier if p.name not in stale]
+    differing = [p.name for p in compared if p.name not in wrong and differs(p)]
     if wrong or differing:
         raise MigrationRefused(f"the copy is not the source: {', '.join(wrong + differing)}")
     marks = {r["table"]: r["high_water"] for r in high_water(now, allocated).collect()}
-    rejects = {name: df.count() for name, df in result.rejects.items()}
     complete_version(spark, root, version, {r["table"]: {"rows": r["rows"], "min_id": r["min_id"], "max_id": r["max_id"], "high_water": marks[r["table"]],
-                                                         "rejects": rejects.get(r["table"], 0)} for r in there.collect()})
+                                                         "rejects": rejects[r["table"]]} for r in there.collect()})
     return verdicts
 
 
-def validate(source: DataFrame, target: DataFrame, plan: TablePlan, seed: int = 0) -> DataFrame:
-    """Differences of one copied table: all rows, or about 1% where the plan asks for a sample."""
+def validate(source: DataFrame, target: DataFrame, plan: TablePlan, seed: int = 0, codecs: dict[str, Codec] | None = None, policy: str = "keep") -> DataFrame:
+    """Differences of one copied table to its source as `copied` encodes it: all rows, or about 1% where the plan asks for a sample."""
     target_id = next(b for a, b in plan.columns if a == plan.id)
-    left = source.select(*[F.col(f"`{a}`").alias(b) for a, b in plan.columns])
+    left, _ = copied(source, plan, codecs, policy)
     if not plan.sampled:
         # A copy is expected to be right almost everywhere: shuffle only what its digests cannot clear
         return diff_pruned(left, target, target_id)

@@ -208,3 +208,40 @@ def test_a_migration_with_foreign_or_wrong_rows_is_not_published(spark, tmp_path
     spark.range(1).write.parquet(f"{folder}/stray")
     with pytest.raises(MigrationRefused, match="stray"):
         migration.migrate(spark, tables, {}, root, "v1")
+
+
+CHAT = {"chat": {"message": Codec(lambda c: F.concat(F.lit("<"), c), lambda c: F.when(c == "''", "odd"))}}
+
+
+def test_encoded_tables_are_compared(spark, tmp_path, monkeypatch):
+    from logtide.plans import migration
+    from logtide.plans.writes import NotPublished, open_published
+    write = ParquetStore.write
+
+    def damaging(self, df, name, *a):
+        write(self, df.withColumn("message", F.when(F.col("rowid") != 1, F.col("message"))) if name == "chat" else df, name, *a)
+    with monkeypatch.context() as patched:
+        patched.setattr(ParquetStore, "write", damaging)
+        with pytest.raises(MigrationRefused, match="chat"):
+            migration.migrate(spark, source(spark), {}, str(tmp_path), "v1", codecs=CHAT)
+    with pytest.raises(NotPublished):
+        open_published(spark, str(tmp_path), "chat")
+
+
+@pytest.mark.parametrize("sample", [False, True])
+def test_a_resumed_migration_carries_rejects_and_no_stale_rows(spark, tmp_path, sample):
+    from pyspark.errors import PySparkException
+
+    from logtide.plans import migration
+    from logtide.plans.writes import manifest, open_published
+    tables, root = source(spark), str(tmp_path)
+    tables["entity"] = spark.range(3).select(F.col("id").alias("rowid"), F.raise_error(F.lit("gone")).cast("string").alias("v"))
+    with pytest.raises(PySparkException):
+        migration.migrate(spark, tables, {}, root, "v1", sample, codecs=CHAT)
+    tables["entity"] = spark.range(3).select(F.col("id").alias("rowid"), F.lit("v").alias("v"))
+    tables["block"] = tables["block"].withColumn("Data", F.col("Data") + 1)
+    migration.migrate(spark, tables, {}, root, "v1", sample, codecs=CHAT)
+    found = manifest(spark, root, "v1")["tables"]
+    assert found["chat"]["rejects"] == 1 and found["block"]["rejects"] == 0
+    assert {r["rowid"]: r["message"] for r in open_published(spark, root, "chat").collect()} == {1: "<tab\there", 2: "''", 3: "<", 4: None, 5: "<名前🙂"}
+    assert sorted(r["Data"] for r in open_published(spark, root, "block").collect()) == [1 - 2**31, 6, 8]
