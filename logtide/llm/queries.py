@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from logtide.llm import language_id, quality_fm, toxicity
 from logtide.llm.chat_format import LOG_ORDER, digests, formatted, logged
+from logtide.llm.collocations import collocations
 from logtide.llm.common import fold, table
+from logtide.llm.conversation_trie import prefix_trie
 from logtide.llm.decontaminate import marked
 from logtide.llm.html_extract import main_texts
 from logtide.llm.jaccard_join import near_copies
 from logtide.llm.sentencepiece_sampling import sampled_segmentations
+from logtide.llm.simhash_join import near_duplicates
 from logtide.llm.token_counts import token_counts
 from logtide.llm.topk_search import top_k
 
@@ -76,7 +79,19 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id}
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, folder, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(spark, table(spark, folder, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(spark, table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_topk_search": op1_topk_search, "op2_toxicity": op2_toxicity, "op3_html_extract": op3_html_extract, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_quality_fm": op8_quality_fm, "op9_decontaminate": op9_decontaminate, "op10_language_id": op10_language_id, "op11_simhash": op11_simhash, "op12_prefix_trie": op12_prefix_trie, "op13_collocations": op13_collocations}
 
 #: The escapes of chat formatting: backslashes first, then one after the first character of each control string.
 _ESCAPED = """replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]')"""
@@ -123,4 +138,40 @@ ORACLES: dict[str, str] = {
                sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role)) AS loss_sha256,
                CAST(sum(11 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
         FROM r GROUP BY conv_id""",
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, coalesce(text, '') AS text, coalesce(role, '') AS role, turn,
+                          md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL),
+             o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, x) AS k FROM t),
+             c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, list(x ORDER BY k) AS own FROM o GROUP BY conv_id),
+             h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(unicode(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+                          lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h FROM c),
+             r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h], h.own[h + 1:]) AS s FROM h LEFT JOIN c b ON b.conv_id = h.base),
+             m AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM r)),
+             w AS (SELECT x, any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words FROM t GROUP BY x),
+             g AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY p, d),
+             k AS (SELECT p[1:d - 1] AS parent, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+             v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(words, 0) AS saved FROM g LEFT JOIN k ON k.parent = g.p LEFT JOIN w ON w.x = g.p[d]),
+             a AS (SELECT p[1:e] AS top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+                   FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1)
+        SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM v JOIN a ON a.top = v.p LEFT JOIN v u ON v.d > 0 AND u.p = v.p[1:v.d - 1]""",
+    "op13_collocations": rf"""
+        WITH q AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS q FROM documents),
+             w AS (SELECT lang, regexp_extract_all(q, '[^\x20\x09]+') AS w FROM q),
+             n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+             o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+             f AS (SELECT lang, k, array_to_string(p, ' ') AS phrase, any_value(p) AS p, count(*) AS a FROM o GROUP BY lang, k, phrase HAVING count(*) >= 30),
+             c AS (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+             s AS (SELECT c.lang, c.phrase, c.k, c.a, x.a AS l, y.a AS r, cut, CAST((CAST(c.a AS HUGEINT) * 2000000) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+                   FROM c JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(c.p[1:cut], ' ')
+                          JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(c.p[cut + 1:c.k], ' ')),
+             b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
+             i AS (SELECT DISTINCT lang, a, z, array_to_string(p[st:st + z - 1], ' ') AS phrase
+                   FROM (SELECT *, unnest(range(1, k - z + 2)) AS st FROM (SELECT *, unnest(range(2, k)) AS z FROM f WHERE k > 2))),
+             d AS (SELECT lang, z AS k, phrase, max(a) AS longer FROM i GROUP BY lang, z, phrase),
+             e AS (SELECT b.* FROM b LEFT JOIN d USING (lang, k, phrase) WHERE best = 1 AND NOT coalesce(100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT), false)),
+             t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
 }
