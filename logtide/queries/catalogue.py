@@ -62,7 +62,7 @@ RULES = RewriteRules(
     "Acme", "Nova", dropped=("SRC3", "SRC4"), self_naming=("SRC5",), fixed={"SRC6": "Nova is a build of Acme."},
     links={"SRC8": ("Website", "https://nova.example")},
     relinked={"SRC9": ("https://acme.example/get", "Download", "https://nova.example/releases")},
-    contexts=((r"\[", r"\]"), ("----- ", ""), ("", " - "), ("", r" \| ")))
+    contexts=(("<", ">"), ("about ", " now"), ("", " says: "), ("", r" \^ ")))
 
 
 @query("text_rewrite", """
@@ -70,14 +70,14 @@ RULES = RewriteRules(
         WHEN 'SRC9' THEN CASE WHEN lang = 'en' THEN 'Download: https://nova.example/releases' ELSE replace(raw, 'https://acme.example/get', 'https://nova.example/releases') END
         WHEN 'SRC5' THEN replace(raw, 'Acme', 'Nova') ELSE shown END AS text
     FROM (SELECT doc_id, lang, upper(source) AS name,
-        CASE lang WHEN 'en' THEN '[Acme] ' WHEN 'de' THEN '----- Acme ----- ' WHEN 'es' THEN 'Acme - ' ELSE 'Acme | ' END
+        CASE lang WHEN 'en' THEN '<Acme> ' WHEN 'de' THEN 'about Acme now ' WHEN 'es' THEN 'Acme says: ' ELSE 'Acme ^ ' END
             || text || CASE WHEN lang = 'en' THEN ' Acme' ELSE ' https://acme.example/get Acme' END AS raw,
-        CASE lang WHEN 'en' THEN '[Nova] ' WHEN 'de' THEN '----- Nova ----- ' WHEN 'es' THEN 'Nova - ' ELSE 'Nova | ' END
+        CASE lang WHEN 'en' THEN '<Nova> ' WHEN 'de' THEN 'about Nova now ' WHEN 'es' THEN 'Nova says: ' ELSE 'Nova ^ ' END
             || text || CASE WHEN lang = 'en' THEN ' Acme' ELSE ' https://acme.example/get Acme' END AS shown FROM documents)
     WHERE name NOT IN ('SRC3', 'SRC4')""")
 def _(spark, folder):
     lang = F.col("lang")
-    front = F.when(lang == "en", "[Acme] ").when(lang == "de", "----- Acme ----- ").when(lang == "es", "Acme - ").otherwise("Acme | ")
+    front = F.when(lang == "en", "<Acme> ").when(lang == "de", "about Acme now ").when(lang == "es", "Acme says: ").otherwise("Acme ^ ")
     back = F.when(lang == "en", " Acme").otherwise(" https://acme.example/get Acme")
     phrases = table(spark, folder, "documents").select("doc_id", F.upper("source").alias("name"), F.concat(front, "text", back).alias("text"))
     return rewrite_text(phrases, "name", "text", RULES)

@@ -59,12 +59,13 @@ def _(spark, folder):
     return stats_verdict(stats, table_stats(now), table_stats(target), ["labels"], marks, behind)
 
 
-@query("occupancy_report", """SELECT DISTINCT 'orders' AS "table" FROM orders UNION ALL SELECT DISTINCT 'events' FROM events
-    UNION ALL SELECT DISTINCT 'pages' FROM pages""")
+FIXTURES = "nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("occupancy_report", " UNION ALL ".join(f"""SELECT DISTINCT '{name}' AS "table" FROM {name}""" for name in FIXTURES))
 def _(spark, folder):
-    t = {name: df for name, (df, _) in all_tables(spark, folder).items()}
-    return occupancy_report({"orders": t["orders"], "events": t["events"], "pages": t["pages"],
-                             "documents": t["documents"].filter(F.col("n_chars") < 0), "database_lock": t["region"]})
+    whole = {name: table(spark, folder, name) for name in FIXTURES}
+    return occupancy_report({**whole, "drafts": whole["documents"].filter(F.col("n_chars") < 0), "database_lock": table(spark, folder, "region")})
 
 
 @query("row_size_stats", """
@@ -295,10 +296,9 @@ def _(spark, folder):
     return diff_sample(left, right, "o_orderkey", written(order_ranges(spark, left)))
 
 
-@query("row_positions", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events WHERE event_type <> 'view'")
+@query("row_positions", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events")
 def _(spark, folder):
-    events = table(spark, folder, "events").filter(F.col("event_type") != "view")
-    return with_position(events.select("event_id", "user_id"), "event_id")
+    return with_position(table(spark, folder, "events").select("event_id", "user_id"), "event_id")
 
 
 def pages_sql(source: str, id: str, n: int) -> str:

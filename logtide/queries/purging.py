@@ -11,7 +11,8 @@ from logtide.operators.retention import (partition_retention, purge_by_policy, p
                                          purge_range_plan, purge_walked, removed_rows)
 from logtide.operators.stats import high_water, table_stats
 from logtide.plans.purge import EXPIRED, ORPHANED, LinkGraph, audit_rows, purge_cascade, purge_report
-from logtide.queries.registry import query, table
+from logtide.plans.resumable import resumable_purge
+from logtide.queries.registry import query, table, work_dir
 
 #: 2024-01-16, in the middle of the events
 EVENTS_CUTOFF = 1_705_363_200
@@ -132,10 +133,10 @@ def _(spark, folder):
 @query("purge_unreferenced", f"""
     SELECT o_orderkey, o_orderstatus FROM orders
     WHERE NOT ({ORDERS_OLD} AND o_orderstatus = 'F'
-        AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
+        AND NOT EXISTS (SELECT 1 FROM lineitem WHERE CASE WHEN l_returnflag = 'R' THEN l_orderkey END = o_orderkey)
         AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_orderkey))""")
 def _(spark, folder):
-    items = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R")
+    items = table(spark, folder, "lineitem").select(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).alias("l_orderkey"))
     return purge_unreferenced(
         table(spark, folder, "orders"), "o_orderkey",
         [(items, "l_orderkey"), (table(spark, folder, "events"), "user_id")],
@@ -157,8 +158,8 @@ def cascade_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).alias("block_rowid"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey")).alias("kill_rowid"),
         F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("removed"))
-    items = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R")
-    interactions = items.select(F.col("l_orderkey").alias("entity_spawn_rowid"), "l_partkey", "l_linenumber",
+    items = table(spark, folder, "lineitem")
+    interactions = items.select(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).alias("entity_spawn_rowid"), "l_partkey", "l_linenumber",
                                 seconds_of(items, "l_shipdate").alias("time"))
     parts = table(spark, folder, "part")
     containers = parts.select(
@@ -180,8 +181,8 @@ CASCADE = f"""WITH block0 AS (SELECT c_custkey AS rowid,
         CASE WHEN o_orderstatus = 'P' THEN o_custkey END AS block_rowid,
         CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey END AS kill_rowid,
         CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS removed FROM orders),
-    inter0 AS (SELECT l_orderkey AS spawn, l_partkey, l_linenumber, CAST(epoch(l_shipdate) AS BIGINT) AS time
-        FROM lineitem WHERE l_returnflag = 'R'),
+    inter0 AS (SELECT CASE WHEN l_returnflag = 'R' THEN l_orderkey END AS spawn, l_partkey, l_linenumber,
+        CAST(epoch(l_shipdate) AS BIGINT) AS time FROM lineitem),
     cont0 AS (SELECT p_partkey AS rowid, p_partkey * 9 AS spawn, {ORDERS_CUTOFF} + (p_size - 25) * 1000000 AS time FROM part),
     block1 AS (SELECT * FROM block0 WHERE NOT (time >= 0 AND time < {ORDERS_CUTOFF})),
     entity1 AS (SELECT * FROM entity0 WHERE NOT (time >= 0 AND time < {ORDERS_CUTOFF})),
@@ -220,6 +221,25 @@ def _(spark, folder):
     return cascade(spark, folder).report()
 
 
+@query("purge_resumed", CASCADE + """
+    SELECT 'block' AS "table", 'expired rows' AS kind, (SELECT count(*) FROM block0) - (SELECT count(*) FROM block1) AS rows, (SELECT count(*) FROM block1) AS "left"
+    UNION ALL SELECT 'entity', 'expired rows', (SELECT count(*) FROM entity0) - (SELECT count(*) FROM entity1), (SELECT count(*) FROM entity1)
+    UNION ALL SELECT 'entity_interaction', 'orphaned rows', count(*) FILTER (WHERE orphan), count(*) FILTER (WHERE NOT orphan) FROM inter1
+    UNION ALL SELECT 'entity_container', 'orphaned rows', count(*) FILTER (WHERE orphan), count(*) FILTER (WHERE NOT orphan) FROM cont1
+    UNION ALL SELECT 'entity_spawn', 'links', (SELECT count(*) FILTER (WHERE kill_gone) + count(*) FILTER (WHERE block_gone) FROM spawn1),
+        (SELECT count(*) FROM spawn3 WHERE NOT orphan)
+    UNION ALL SELECT 'entity_spawn', 'orphaned rows', count(*) FILTER (WHERE orphan), count(*) FILTER (WHERE NOT orphan) FROM spawn3""")
+def _(spark, folder):
+    """A purge of stored tables that is stopped between two steps and goes on from its journal."""
+    root, sources = work_dir(spark), {}
+    for name, df in cascade_tables(spark, folder).items():
+        sources[name] = f"{root}/source/{name}"
+        df.write.parquet(sources[name])
+    purge = lambda stop: resumable_purge(spark, f"{root}/purge", sources, ["block", "entity"], LinkGraph(), ORDERS_CUTOFF, stop=stop)
+    purge(lambda step: step == "orphans entity_container")
+    return purge(lambda step: False).report(spark)
+
+
 @query("purge_flagship", f"""
     WITH kept_orders AS (SELECT * FROM orders WHERE NOT ({ORDERS_OLD})),
     lost AS (SELECT count(*) AS n FROM lineitem WHERE {ITEMS_OLD}

@@ -27,6 +27,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(name for name in found if not name.startswith((".", "_")))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder with all it holds; one that is not there is left alone."""
+    fs, where = _open(spark, path)
+    fs.delete(where, True)
+
+
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """Replace a small JSON file; readers see the old or the new one, never half of it."""
     fs, where = _open(spark, path)

@@ -1,43 +1,20 @@
-"""What the library knows about log tables: names, order, columns and links."""
+"""What the library knows about log tables: names and order."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 # Table names, their copy order and their special columns.
 CORE_TABLES = ["version", "user", "world", "block"]
 NEVER_COPIED = "database_lock"
-VERSION_TABLE = "version"
 COPY_ORDER = [
     "world", "user", "material_map", "blockdata_map", "art_map", "entity_map", "version",
     "username_log", "skull", "entity", "entity_spawn", "block", "container", "item", "sign", "chat", "command",
     "session", "entity_container", "entity_interaction",
 ]
 REFERENCED_TABLES = {"block", "entity", "skull", "entity_spawn"}
-IDENTIFIER_MAPS = ["art_map", "entity_map", "material_map", "blockdata_map", "world"]
-SHOWN_WITH = {
-    "block": "action", "container": "action", "entity_container": "action", "entity_interaction": "action",
-    "item": "action", "sign": "action", "entity_spawn": "origin_x",
-}
-BINARY_COLUMNS = {
-    "block": ["meta", "blockdata"], "container": ["metadata"], "entity_container": ["metadata"],
-    "entity_interaction": ["metadata"], "item": ["data"], "entity": ["data"], "entity_spawn": ["data"],
-}
 NULLABLE_LOCATION = {"wid", "x", "z"}
 LOOKUP_KEY_PREFIX = "_key_"
 
 
-@dataclass(frozen=True)
-class TableSpec:
-    name: str
-    id: str = "rowid"
-    time: str | None = "time"
-
-    @property
-    def reference(self) -> bool:
-        return is_reference(self.name)
-
-
 def is_reference(table: str) -> bool:
     return table.endswith("_map") or table in {"user", "world", "version"}
 
