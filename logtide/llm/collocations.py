@@ -8,19 +8,23 @@ different lengths are counted in one step, and the scan ends when a cycle activa
 - What is active is told by bits of a table of fixed size (`FILTER_BITS`), broadcast: the bits of all phrases that reached
   the threshold before a step, and those of a cycle earlier, whose phrases are finished. A phrase that shares its bits
   with others is counted too early at most, over a whole cycle all the same: no count is ever wrong.
-- A step's occurrences are added up in the task, then by phrase together with the phrases that are still open. Phrases
-  whose cycle is over leave for good, with their count if it reaches the threshold.
-- Words and phrases are 64-bit hashes of language and words until `described` reads the frequent ones' words from the texts.
+- A step's occurrences are added up in each task and written. A phrase that a task alone counts often enough has its bits
+  from the next step on. At the end of a cycle all that was written is added up by phrase, once; what began within the cycle goes on
+  into the next one, the others leave for good, with their count if it reaches the threshold.
+- Words and phrases are 64-bit hashes of language and words until `described` reads the frequent ones' words from the texts:
+  from a part of them, and from the others only what that part has not.
 - Cuts, scores and the longer phrases that take a phrase's place are joins on those tables; a language's first rows are
   kept in each task before they are ranked.
 
-Text null: empty; lang null: `und`. Documents without an id count like any other, repeated rows each time. A text is cut
-at once in pieces of `CHUNK_BYTES`; a longer one is a piece of its own, about 60 bytes of memory a byte of text. An empty table has no rows. Extra columns are ignored.
+Text null: empty; lang null: `und`. Documents without an id count like any other, repeated rows each time. Texts are cut
+to words in pieces of `CUT_BYTES`; a longer text is a piece of its own, about 60 bytes of memory a byte of text. An empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import dropped, flat, kept, kept_by, slices
-from logtide.llm.words import LOWER, bounds, mixed, runs, spans, sums
+from logtide.llm.common import dropped, empty_table, flat, has, kept, kept_by, slices, with_bits
+from logtide.llm.words import LOWER, bounds, mixed, runs, runs_at, spans, sums
 
-SHARDS = 3
+#: Shards of a cycle, and parts of a shard: the first part of all is described first.
+SHARDS, PARTS = 3, 2
+#: Bytes of texts that are cut to words at once.
+CUT_BYTES = 1 << 20
 LEAST, LONGEST = 30, 4
 #: Bits of the table that tells which phrases reached the threshold: fixed, 8 MB.
 FILTER_BITS = 26
-#: Bits of one of its blocks, as Spark's bitmap functions have them.
-BLOCK_BITS = 32768
 #: Occurrences that a task holds before it adds them up, and the rows of a batch that leaves it.
 HELD, OUT = 1 << 20, 1 << 16
 #: Phrases that a task remembers to have described; more are described again, and leave in the join.
@@ -67,138 +72,137 @@ class Tokens:
         breaks = np.cumsum(ENDS[self.low], dtype=np.int64)
         self.piece = breaks[self.start] + self.owner if len(self.start) else np.zeros(0, np.int64)
 
-    def ids(self, k: int) -> np.ndarray:
-        return self.hash if k == 1 else runs(self.hash, k)
-
-    def within(self, k: int) -> np.ndarray:
-        """Whether k words from here lie in one piece."""
-        return self.piece[:len(self.piece) - k + 1] == self.piece[k - 1:]
-
     def words(self, at: int, k: int) -> str:
         return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.start[at:at + k], self.end[at:at + k])).decode()
 
 
-def used(table: np.ndarray) -> int:
-    """Bits of an id that tell its place in the table."""
-    return (8 * len(table)).bit_length() - 1
-
-
-def has(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bit = ids >> np.uint64(64 - used(table))
-    return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def active(tokens: Tokens, table: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length above one: where phrases begin whose subphrases both have their bits."""
+def active(tokens: Tokens, table: np.ndarray, longest: int, finished: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length above one: where phrases begin whose subphrases both have their bits, and the phrases' ids;
+    without those whose subphrases both had them in `finished`."""
+    at, ids = np.arange(len(tokens.hash)), tokens.hash
     for k in range(2, longest + 1):
-        if len(tokens.hash) < k:
-            return
-        shorter = has(table, tokens.ids(k - 1))
-        yield k, tokens.within(k) & shorter[:-1] & shorter[1:]
+        often = has(table, ids)
+        at, ids = at[often], ids[often]
+        pair = np.flatnonzero(at[1:] == at[:-1] + 1)  # both subphrases: the one from here, and the one from the next word
+        pair = pair[tokens.piece[at[pair]] == tokens.piece[at[pair] + k - 1]]
+        over = has(finished, ids) if finished is not None else None
+        at = at[pair]
+        ids = runs_at(tokens.hash, at, k)
+        if over is None:
+            yield k, at, ids
+        else:
+            new = ~(over[pair] & over[pair + 1])
+            yield k, at[new], ids[new]
 
 
 def occurrences(docs: DataFrame, now, before, words_too: bool, longest: int) -> DataFrame:
-    """(id, n): how often the words and phrases that this step counts occur in a shard."""
+    """(id, n): how often the words and phrases that this step counts occur in what a task reads of a shard; with words, also (lang, n): all of a language."""
     most = HELD
 
     def function(batches):
-        held, many = [], 0
+        held, many, total = [], 0, Counter()
         table, finished = now.value, before.value if before else None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=CUT_BYTES):
                 tokens = Tokens(part)
                 if words_too:
                     held.append(tokens.hash)
+                    for lang, n in zip(tokens.lang_names, np.bincount(tokens.lang[tokens.owner], minlength=len(tokens.lang_names)).tolist()):
+                        total[lang] += n
                     many += len(tokens.hash)
-                over = dict(active(tokens, finished, longest)) if finished is not None else {}
-                for k, here in active(tokens, table, longest):
-                    if k in over:
-                        here = here & ~over[k]
-                    held.append(tokens.ids(k)[here])
-                    many += len(held[-1])
+                for _, _, ids in active(tokens, table, longest, finished):
+                    held.append(ids)
+                    many += len(ids)
                 if many >= most:
                     yield from counted(held)
                     held, many = [], 0
         yield from counted(held)
-    return docs.mapInArrow(function, "id long, n long")
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.array(total.values(), pa.int64()), pa.array(total, pa.string())], ["id", "n", "lang"])
+    return docs.select("text", "lang").mapInArrow(function, "id long, n long, lang string")
 
 
 def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     ids, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
     for start in range(0, len(ids), OUT):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[start:start + OUT].view(np.int64)), pa.array(n[start:start + OUT])], ["id", "n"])
+        part = ids[start:start + OUT].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[start:start + OUT]), pa.nulls(len(part), pa.string())], ["id", "n", "lang"])
 
 
-def with_bits(table: np.ndarray, frequent: DataFrame) -> np.ndarray:
-    """The table with the bits of more phrases: they are set block by block on the executors."""
-    bit = F.shiftrightunsigned("id", 64 - used(table))
-    placed = frequent.select(bit.alias("bit")).select(F.expr(f"bit div {BLOCK_BITS}").alias("block"), (F.col("bit") % BLOCK_BITS).alias("place"))
-    out = table.copy()
-    size = BLOCK_BITS // 8
-    for row in placed.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits")).toLocalIterator():
-        out[row.block * size:(row.block + 1) * size] |= np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def frequent_counts(spark: SparkSession, docs: DataFrame, least: int, longest: int, shards: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n) of every phrase of `longest` words at most that occurs `least` times or more, and the table of their bits."""
-    tables, step, open_, done = [np.zeros(1 << FILTER_BITS - 3, np.uint8)], 0, None, []
-    sent: list = []
+def frequent_counts(spark: SparkSession, docs: DataFrame, least: int, longest: int, shards: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(id, n) of every phrase of `longest` words at most that occurs `least` times or more, (lang, n) of all words, and the table of the phrases' bits."""
+    tables, step, cycle, open_, done, sent, totals = [empty_table(FILTER_BITS)], 0, [], None, [], [], []
+    often = F.col("n") >= least
     while step < shards or not np.array_equal(tables[step], tables[step - shards]):
         sent.append(spark.sparkContext.broadcast(tables[step]))
         before = sent[step - shards] if step >= shards else None
-        here = occurrences(docs.where(F.col("shard") == step % shards), sent[step], before, step < shards, longest).withColumn("since", F.lit(step))
-        rows = here if open_ is None else here.union(open_.where(F.col("since") > step - shards))
-        total = kept(rows.groupBy("id").agg(F.sum("n").alias("n"), F.min("since").alias("since")))
-        finished = (F.col("since") <= step - shards + 1) & (F.col("n") >= least)
-        done.append(kept(total.where(finished).select("id", "n")))
-        tables.append(with_bits(tables[step], total.where(F.col("n") >= least)))
-        if open_ is not None:
-            dropped(open_)
+        here = kept(occurrences(docs.where(F.col("part") % shards == step % shards), sent[step], before, step < shards, longest))
+        if step < shards:
+            totals.append(kept(here.where("id is null").groupBy("lang").agg(F.sum("n").alias("n"))))
+        cycle.append(here.where("id is not null").select("id", "n").withColumn("since", F.lit(step)))
+        first = step - step % shards
+        if (step + 1) % shards:
+            tables.append(with_bits(tables[step], cycle[-1].where(often)))
+        else:
+            rows = reduce(DataFrame.union, cycle if open_ is None else [*cycle, open_])
+            total = kept(rows.groupBy("id").agg(F.sum("n").alias("n"), F.min("since").alias("since")))
+            tables.append(with_bits(tables[step], total.where(often)))
+            done.append(kept(total.where(often & (F.col("since") <= first)).select("id", "n")))
+            open_ = kept(total.where(F.col("since") > first))
+            for table in [*cycle, total]:
+                dropped(table)
+            cycle = []
         if before:
             before.destroy()
-        open_ = total
         step += 1
-    last = kept(open_.where((F.col("since") > step - shards) & (F.col("n") >= least)).select("id", "n"))
-    dropped(open_)
-    found = last
-    for some in done:
-        found = found.union(some)
-    for each in sent[max(len(sent) - shards, 0):]:
+    if cycle or open_ is not None:  # all of these are counted over a whole cycle
+        rest = reduce(DataFrame.union, [*cycle, *([] if open_ is None else [open_])])
+        done.append(kept(rest.groupBy("id").agg(F.sum("n").alias("n")).where(often)))
+    for each in sent[-shards:]:
         each.destroy()
-    return kept(found.groupBy("id").agg(F.sum("n").alias("n"))), tables[-1]
+    words = reduce(DataFrame.union, totals).groupBy("lang").agg(F.sum("n").alias("n"))
+    return kept(reduce(DataFrame.union, done)), words, tables[-1]
 
 
 def described(docs: DataFrame, table, longest: int) -> DataFrame:
-    """(id, lang, phrase, words): once a task for each phrase with its bits; and each part's number of words of a language, without an id."""
+    """(id, lang, phrase, words): once a task for each phrase of two words or more with its bits."""
     remembered = REMEMBERED
 
     def function(batches):
         seen = np.zeros(0, np.uint64)
-        bits = table.value
+        subs, bits = table.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=CUT_BYTES):
                 tokens = Tokens(part)
-                out = []
-                for lang, n in zip(tokens.lang_names, np.bincount(tokens.lang[tokens.owner], minlength=len(tokens.lang_names)).tolist()):
-                    out.append((None, lang, None, None, n))
-                new = []
-                for k, here in active(tokens, bits, longest):
-                    at = np.flatnonzero(here)
-                    ids = tokens.ids(k)[at]
+                out, new = [], []
+                for k, at, ids in active(tokens, subs, longest):
                     ok = has(bits, ids)
                     ids, first = np.unique(ids[ok], return_index=True)
                     fresh = ~np.isin(ids, seen, assume_unique=True)
                     new.append(ids[fresh])
                     for i, place in zip(ids[fresh].view(np.int64).tolist(), at[ok][first[fresh]].tolist()):
-                        out.append((i, tokens.lang_names[tokens.lang[tokens.owner[place]]], tokens.words(place, k), tokens.hash[place:place + k].view(np.int64).tolist(), None))
+                        out.append((i, tokens.lang_names[tokens.lang[tokens.owner[place]]], tokens.words(place, k), tokens.hash[place:place + k].view(np.int64).tolist()))
                 seen = np.concatenate([seen, *new])
                 if len(seen) > remembered:
                     seen = seen[:0]
-                columns = list(zip(*out)) or [()] * 5
-                types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["id", "lang", "phrase", "words", "n_words"])
-    return docs.mapInArrow(function, "id long, lang string, phrase string, words array<long>, n_words long")
+                if out:
+                    types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["id", "lang", "phrase", "words"])
+    return docs.select("text", "lang").mapInArrow(function, "id long, lang string, phrase string, words array<long>")
+
+
+def phrases_of(spark: SparkSession, docs: DataFrame, counts: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
+    """(id, a, lang, phrase, words) of the frequent phrases of two words or more.
+
+    Most occur in the first part of the texts; of the other parts only phrases that it has not are described.
+    """
+    def of(rows, told):
+        both = spark.sparkContext.broadcast((bits, told))
+        once = described(rows, both, longest).groupBy("id").agg(F.first(F.struct("lang", "phrase", "words")).alias("x"))
+        return kept(once.join(counts.withColumnRenamed("n", "a"), "id").select("id", "a", "x.*"))
+    here = of(docs.where("part = 0"), bits)
+    left = counts.join(here.select("id"), "id", "left_anti")
+    return here.union(of(docs.where("part <> 0"), with_bits(empty_table(FILTER_BITS), left)).join(here.select("id"), "id", "left_anti"))
 
 
 def parts_of(phrases: DataFrame) -> DataFrame:
@@ -231,17 +235,14 @@ def scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = 2000, shards: int = SHARDS) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): each language's first `most` phrases."""
     texts = kept_by(docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
-                                F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards)).cast("int").alias("shard")), "shard")
-    counts, bits = frequent_counts(spark, texts, least, longest, shards)
-    table = spark.sparkContext.broadcast(bits)
-    told = kept(described(texts.select("text", "lang"), table, longest))
-    n = told.where("id is null").groupBy("lang").agg(F.sum("n_words").alias("n"))
-    once = told.where("id is not null").join(counts.withColumnRenamed("n", "a"), "id").groupBy("id", "a").agg(F.first(F.struct("lang", "phrase", "words")).alias("x"))
-    phrases = kept(parts_of(once.select("id", "a", "x.*")))
+                                F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards * PARTS)).cast("int").alias("part")), "part")
+    counts, words, bits = frequent_counts(spark, texts, least, longest, shards)
+    once = phrases_of(spark, texts, counts, bits, longest)
+    phrases = kept(parts_of(once))
     inside = phrases.where(F.size("inside") > 0).select("a", F.explode("inside").alias("id")).groupBy("id").agg(F.max("a").alias("longer"))
     taken = 100 * F.col("longer").cast("decimal(20,0)") >= SHARE * F.col("a").cast("decimal(20,0)")
     rows = phrases.select("id", "lang", "phrase", "a").join(inside, "id", "left").where(~F.coalesce(taken, F.lit(False)))
     rows = rows.join(scored(phrases, counts), "id")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return best.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -51,6 +51,36 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a table that tells which ids may be in a set: fixed, 8 MB. Ids that share a bit are told apart by what follows.
+TABLE_BITS = 26
+#: Bits of one of its blocks, as Spark's bitmap functions have them.
+BLOCK_BITS = 32768
+
+
+def empty_table(bits: int | None = None) -> np.ndarray:
+    return np.zeros(1 << (TABLE_BITS if bits is None else bits) - 3, np.uint8)
+
+
+def used(table: np.ndarray) -> int:
+    """Bits of an id that tell its place in the table."""
+    return (8 * len(table)).bit_length() - 1
+
+
+def has(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bit = ids >> np.uint64(64 - used(table))
+    return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def with_bits(table: np.ndarray, ids: DataFrame) -> np.ndarray:
+    """The table with the bits of more ids (a column `id` of evenly spread longs), set block by block on the executors."""
+    bit = F.shiftrightunsigned("id", 64 - used(table))
+    placed = ids.select(bit.alias("bit")).select(F.expr(f"bit div {BLOCK_BITS}").alias("block"), (F.col("bit") % BLOCK_BITS).alias("place"))
+    out, size = table.copy(), BLOCK_BITS // 8
+    for row in placed.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits")).toLocalIterator():
+        out[row.block * size:(row.block + 1) * size] |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 

@@ -105,6 +105,14 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(total + np.uint64(n))
 
 
+def runs_at(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The same for the runs that begin at some places only."""
+    total = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        total += hashes[at + k] * _FACTORS[k]
+    return mixed(total + np.uint64(n))
+
+
 def shingles(found: Words, n: int) -> list[np.ndarray]:
     """Each text's distinct n-word shingles, ascending; of fewer words, the whole sequence as one; none without words."""
     every, out = runs(found.hash, n), []
