@@ -9,12 +9,15 @@ within their prefixes, so the join is on prefix shingles.
 2. `prefixes`: (shingle, class, size, position), for the prefix alone.
 3. `stars`: the rows of a shingle pass in a stream. Few classes are all paired; of more, each is paired with some of its
    length that lead them, so that pairs grow with the rows, whatever the size of the group. Verified pairs give first components.
-4. `across`: all other pairs of such a shingle that the length, positional and suffix filters admit, without those whose
-   classes have one component already: a link between them would change nothing.
-5. New pairs are verified once each, on the whole sets.
-
-Rows without an id take no part and have no component; a text without words is empty, with links to nothing. Rows
-that share an id are told apart by their text, and carry the id each. Extra columns are ignored.
+4. `suspects`: the rows of the other shingles that the length, positional and suffix filters admit with a row of another
+   component. Pairs do not leave the task, only the rows; a large group is dealt over tasks by cells (`dealt`).
+5. `joined`: these rows with their sets. A pair is verified where it is, at the first shingle that both share, and only if no
+   link has joined its components before; what leaves is a forest of links.
+
+Sets are made from texts in the scan: a table of bits of fixed size lets the few texts that are needed pass, so texts are
+not shuffled. Rows without an id take no part and have no component; a text without words is empty, with links to nothing.
+Rows that share an id are told apart by their sets, and carry the id each. A text of any length is one row: its set takes
+eight bytes a shingle. An empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm.common import flat, kept, slices
+from logtide.llm.common import empty_table, flat, has, kept, slices, with_bits
 from logtide.llm.words import NOT_SPACE, mixed, shingles, words
 
 #: Slots of the shingle counts that give the order: fixed, so their size is bounded (8 MB).
 SLOTS, SLOT_BLOCK = 1 << 21, 1 << 14
-#: Higher counts of a slot are as one for the order.
-MOST_COUNTED = (1 << 32) - 1
+#: Higher counts of a slot, in a task and in all, are as one for the order.
+MOST_IN_TASK, MOST_COUNTED = (1 << 16) - 1, (1 << 32) - 1
 #: Parts that a set is cut to by fixed pivots, for the suffix filter.
 PARTS = 256
 #: Classes of a shingle that are all paired; of more, so many of a length that every other is compared with at first.
-LEADERS = 16
+LEADERS = 4
+#: Rows, and bytes of sets, of one shingle that are compared in one task; of more, the group is dealt over cells.
+CELL_ROWS, CELL_BYTES = 1 << 14, 16 << 20
+#: Partners of a set that are verified in one task.
+PARTNERS = 1000
 #: Set keys that a task remembers to leave out copies early; later ones leave in the join.
 REMEMBERED = 200_000
 
@@ -81,7 +88,7 @@ def read(docs: DataFrame, n: int) -> DataFrame:
         blocks = SLOTS // SLOT_BLOCK
         yield pa.RecordBatch.from_arrays([
             pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()),
-            pa.array(range(blocks), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in counts.reshape(blocks, -1)], pa.binary())],
+            pa.array(range(blocks), pa.int32()), pa.array([np.minimum(x, MOST_IN_TASK).astype(np.uint16).tobytes() for x in counts.reshape(blocks, -1)], pa.binary())],
             ["doc_id", "size", "key", "parts", "block", "counts"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         function, "doc_id long, size long, key long, parts binary, block int, counts binary")
@@ -93,8 +100,8 @@ def slot_counts(seen: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
+                total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([np.minimum(x, MOST_COUNTED).astype(np.uint32).tobytes() for x in total.values()], pa.binary())],
                                          ["block", "counts"])
     blocks = seen.where("block is not null").select("block", "counts").repartition(SLOTS // SLOT_BLOCK, "block")
     counts = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint32)
@@ -210,102 +217,187 @@ def far_apart(parts_a: np.ndarray, parts_b: np.ndarray) -> np.ndarray:
     return np.abs(parts_a.astype(np.int16) - parts_b).sum(axis=-1, dtype=np.int64)
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one shingle whose classes are in different components; rows: (h, size, a, pos, root, parts).
+def pair_ids(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number for a row's id and its set."""
+    return mixed(keys.view(np.uint64) ^ mixed(ids.view(np.uint64) + np.uint64(1)))
 
-    The length, positional and suffix filters are applied to each pair before it leaves the task.
-    """
-    def pairs(group: np.ndarray, parts: np.ndarray):
-        """Each row outside the most frequent component against the others: nothing if there is one component."""
-        size, key, pos, root = group[1:]
-        roots, where, many = np.unique(root, return_inverse=True, return_counts=True)
-        if len(roots) < 2:
-            return
-        outside = where != many.argmax()
-        for i in np.flatnonzero(outside):
-            ok = admitted(size[i], pos[i], size, pos, percent) & (root != root[i])
-            ok[:i] &= ~outside[:i]  # those pairs were taken already
-            j = np.flatnonzero(ok)
-            total = size[i] + size[j]
-            j = j[far_apart(parts[i], parts[j]) <= total - 2 * least_overlap(total, percent)]
-            if j.size:
-                a, b = np.full(len(j), key[i]), key[j]
-                size_a, size_b = np.full(len(j), size[i]), size[j]
-                turn = (size_a > size_b) | ((size_a == size_b) & (a > b))
-                yield np.where(turn, b, a), np.where(turn, size_b, size_a), np.where(turn, a, b), np.where(turn, size_a, size_b)
-
-    def joined(groups):
-        out = []
-        for group in groups:
-            for x in pairs(*group):
-                out.append(x)
-                if len(out) > 10_000:
-                    yield made(out)
-                    out = []
-        if out:
-            yield made(out)
 
-    def made(out):
-        a, size_a, b, size_b = np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, size_a, b, size_b)], ["a", "size_a", "b", "size_b"])
+def id_bits(rows: DataFrame) -> np.ndarray:
+    """A table with the bits of the ids, and of the ids with their sets, of rows (doc_id, key)."""
+    def function(batches):
+        for batch in batches:
+            ids, keys = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "key"))
+            both = np.concatenate((mixed(ids.view(np.uint64)), pair_ids(ids, keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["id"])
+    return with_bits(empty_table(), rows.select("doc_id", "key").mapInArrow(function, "id long"))
+
+
+def with_keys(part: pa.RecordBatch, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of rows whose id and set have their bits: their places, set keys and sets. Only texts whose id has its bits are cut to shingles."""
+    ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+    place = np.flatnonzero(has(table, mixed(ids.view(np.uint64))) & part.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+    if not len(place):
+        return place, np.zeros(0, np.int64), []
+    found = shingles(words(*flat(part.column("text").take(pa.array(place))), NOT_SPACE), n)
+    keys = np.array([set_key(x) for x in found], np.int64)
+    ok = has(table, pair_ids(ids[place], keys))
+    return place[ok], keys[ok], [x for x, yes in zip(found, ok.tolist()) if yes]
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, counts, n: int) -> DataFrame:
+    """(key, values): the sets of the wanted (doc_id, key), rare shingles first. A few others may be among them, or one set twice."""
+    table = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def function(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the shingle that may go on
+        order = counts.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-            parts = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, PARTS)
-            edges = [0, *(np.flatnonzero(table[0, 1:] != table[0, :-1]) + 1).tolist(), table.shape[1]]
-            groups = [(table[:, a:b], parts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            if held and held[0][0][0, 0] == table[0, 0]:
-                held.append(groups.pop(0))
-            if groups:
-                whole = [(np.concatenate([t for t, _ in held], axis=1), np.concatenate([p for _, p in held]))] if held else []
-                held = [groups.pop()]
-                yield from joined(whole + groups)
-        if held:
-            yield from joined([(np.concatenate([t for t, _ in held], axis=1), np.concatenate([p for _, p in held]))])
-    sorted_rows = rows.select("h", "size", "a", "pos", "root", "parts").repartition("h").sortWithinPartitions("h", "size", "a")
-    return sorted_rows.mapInArrow(function, "a long, size_a long, b long, size_b long")
+            for part in slices(batch):
+                _, keys, found = with_keys(part, table.value, n)
+                rare = [x[np.argsort(order[(x & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")] for x in found]
+                if rare:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in rare], pa.binary())], ["key", "values"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(function, "key long, values binary").dropDuplicates(["key"])
+
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones among distinct pairs (a, size_a, b, size_b); a set is made from its text once more."""
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
+    """The linked ones among distinct pairs (a, size_a, b, size_b). Each b meets the set of its a in a stream; an a with many is dealt over tasks."""
     def near(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, PARTS) for x in ("parts_a", "parts_b"))
                 size = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
                 ok = far_apart(a, b) <= size - 2 * least_overlap(size, percent)
-                yield batch.select(["a", "size_a", "b", "size_b"]).filter(pa.array(ok))
-
-    def values(batches):
-        for batch in batches:
-            for part, found in sets(batch, n):
-                right = [int(set_key(x)) == key for x, key in zip(found, part.column("key").to_pylist())]
-                mask = pa.array(right)
-                yield pa.RecordBatch.from_arrays([part.column("key").filter(mask), pa.array([x.tobytes() for x, ok in zip(found, right) if ok], pa.binary())],
-                                                 ["key", "values"])
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    def linked(batches):
+    def met(batches):
+        here, held = None, None
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("values_a"), batch.column("values_b")):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for a, b, values in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("values")):
+                values = np.frombuffer(values.as_buffer(), np.uint64)
+                if b is None:
+                    here, held = a, values.copy()
+                elif a == here and linked(held, values, percent):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     side = lambda x: classes.select(F.col("key").alias(x), F.col("parts").alias(f"parts_{x}"))
     left = kept(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "size_a", "b", "size_b", "parts_a", "parts_b")
-                .mapInArrow(near, "a long, size_a long, b long, size_b long"))
+                .mapInArrow(near, "a long, b long"))
     wanted = left.select(F.col("a").alias("key")).union(left.select("b")).distinct().join(classes.select("key", "doc_id"), "key")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("key", "text")
-    made = kept(texts.mapInArrow(values, "key long, values binary"))
-    both = left.select("a", "b").join(made.select(F.col("key").alias("a"), F.col("values").alias("values_a")), "a").join(
-        made.select(F.col("key").alias("b"), F.col("values").alias("values_b")), "b")
-    return kept(both.select("a", "b", "values_a", "values_b").mapInArrow(linked, "a long, b long"))
+    sets = kept(sets_of(kept(wanted), docs, counts, n))
+    deals = left.groupBy("a").agg(F.expr(f"count(*) div {PARTNERS} + 1").alias("deals"))
+    leaders = deals.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "values", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    others = left.join(deals, "a").join(sets.withColumnRenamed("key", "b"), "b").select("a", "b", "values", F.pmod(F.xxhash64("b"), "deals").alias("deal"))
+    rows = leaders.union(others).repartition("a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
+    return kept(rows.select("a", "b", "values").mapInArrow(met, "a long, b long"))
+
+
+def dealt(rows: DataFrame, weight, limit: int, percent: int) -> DataFrame:
+    """The rows with the `cell` of their shingle they are compared in, and their `side` there.
+
+    A group within the limit is one cell. A larger one has blocks of rows by hash: two of one length class meet in the
+    cell of their blocks, two of neighbouring classes in a cell of the lower one, where both have a side of their own.
+    """
+    blocks = rows.groupBy("h").agg(F.expr(f"cast(ceil(sum({weight}) / {limit}) as int)").alias("blocks"))
+    length, block = F.floor(F.log(100 / percent, F.col("size"))).cast("string"), F.pmod(F.xxhash64("a"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)
+    name = lambda kind, c, i, j: F.concat_ws(",", F.lit(kind), c, i, j)
+    below = (length.cast("long") - 1).cast("string")
+    cells = F.concat(
+        F.transform(every, lambda j: F.struct(name("=", length, F.least(block, j), F.greatest(block, j)).alias("cell"), F.lit(0).alias("side"))),
+        F.transform(every, lambda j: F.struct(name("<", length, block, j).alias("cell"), F.lit(1).alias("side"))),
+        F.transform(every, lambda j: F.struct(name("<", below, j, block).alias("cell"), F.lit(2).alias("side"))))
+    one = F.array(F.struct(F.lit("").alias("cell"), F.lit(0).alias("side")))
+    return rows.join(blocks, "h").select(*rows.columns, F.explode(F.when(F.col("blocks") > 1, cells).otherwise(one)).alias("c")).select(*rows.columns, "c.cell", "c.side")
+
+
+def in_cells(rows: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
+    """function(cell) for each cell's rows (a table of its columns), cells in a stream."""
+    names = ["h", "cell", "side", *columns]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the cell that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, cell = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), len(h)]
+            parts = [batch.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
+            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) == (h[0], cell[0]):
+                held.append(parts.pop(0))
+            if parts:
+                if held:
+                    yield from function(pa.Table.from_batches(held))
+                for part in parts[:-1]:
+                    if part.num_rows > 1:
+                        yield from function(pa.Table.from_batches([part]))
+                held = parts[-1:]
+        if held:
+            yield from function(pa.Table.from_batches(held))
+    return rows.select(*names).repartition("h", "cell").sortWithinPartitions("h", "cell", "size", "a").mapInArrow(run, schema)
+
+
+def partners(cell: pa.Table, percent: int, same=None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row outside the most frequent component with the later ones, or those of it, that all filters admit in another component."""
+    side, size, key, pos, root = (cell.column(x).to_numpy() for x in ("side", "size", "a", "pos", "root"))
+    roots, where, many = np.unique(root, return_inverse=True, return_counts=True)
+    if len(roots) < 2:
+        return
+    parts = np.frombuffer(b"".join(cell.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
+    outside = where != many.argmax()
+    for i in np.flatnonzero(outside):
+        ok = admitted(size[i], pos[i], size, pos, percent) & (root != root[i]) & ((side != side[i]) | (side[i] == 0))
+        ok[:i] &= ~outside[:i]  # those pairs were taken already
+        j = np.flatnonzero(ok)
+        if same is not None:
+            j = j[[not same(root[i], root[k]) for k in j.tolist()]] if len(j) else j
+        total = size[i] + size[j]
+        j = j[far_apart(parts[i], parts[j]) <= total - 2 * least_overlap(total, percent)]
+        if j.size:
+            yield int(i), j
+
+
+def suspects(rows: DataFrame, percent: int) -> DataFrame:
+    """(h, a): the rows (h, size, a, pos, root, parts) that are some row's partners."""
+    def function(cell):
+        found = np.zeros(cell.num_rows, bool)
+        for i, j in partners(cell, percent):
+            found[i] = found[j] = True
+        if found.any():
+            yield cell.select(["h", "a"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
+    return in_cells(dealt(rows, "1", CELL_ROWS, percent), ["size", "a", "pos", "root", "parts"], function, "h long, a long")
+
+
+def joined(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows with sets (h, size, a, pos, root, parts, values), as a forest for each cell."""
+    def function(cell):
+        top: dict[int, int] = {}
+
+        def find(x):
+            while (up := top.get(x, x)) != x:
+                top[x] = top.get(up, up)
+                x = up
+            return x
+        keys, pos, root = (cell.column(x).to_pylist() for x in ("a", "pos", "root"))
+        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("values")]
+        out = []
+        for i, near in partners(cell, percent, lambda x, y: find(int(x)) == find(int(y))):
+            for j in near.tolist():
+                if find(root[i]) == find(root[j]) or np.isin(values[i][:pos[i]], values[j][:pos[j]]).any():
+                    continue  # joined meanwhile, or taken at an earlier shingle
+                if linked(values[i], values[j], percent):
+                    top[find(root[i])] = find(root[j])
+                    out.append((keys[i], keys[j]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+    return in_cells(dealt(rows, "8 * size", CELL_BYTES, percent), ["size", "a", "pos", "root", "parts", "values"], function, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -327,8 +419,8 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("key"), F.col("b").alias("root")).limit(0) if roots is None else roots
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of (doc_id, text)."""
+def groups(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """Rows (doc_id, size, key, root, component_id), one for each of the table: rows of one root are one component. Null ids and empty sets have no root."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = kept(read(docs, n))
     counts = spark.sparkContext.broadcast(slot_counts(seen))
@@ -336,19 +428,57 @@ def near_copies(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
     # first(): texts with one set have equal parts
     classes = kept(every.where("doc_id is not null and size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts")))
     found = kept(stars(prefixes(docs, counts, n, percent), percent))
-    once = lambda pairs: pairs.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    tried = kept(once(found.where("b is not null")))
-    links = verified(tried, classes, docs, n, percent)
+    tried = found.where("b is not null").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    links = verified(tried, classes, docs, counts, n, percent)
     first = components(links)
     rows = found.where("b is null").select("h", F.col("size_a").alias("size"), "a", "pos")
     rows = rows.join(first.select(F.col("key").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    rows = rows.join(several, "h", "left_semi").join(classes.select(F.col("key").alias("a"), "parts"), "a")
-    rest = once(across(rows, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(rest, classes, docs, n, percent)
-    roots = components(links.union(more))
-    least = classes.join(roots, "key").groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = kept(roots.join(least, "root").select("key", "component"))
-    joined = every.select("doc_id", "size", "key").join(classes.select("key", F.col("doc_id").alias("class_id")), "key", "left").join(named, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")))
-    return joined.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+    rows = kept(rows.join(several, "h", "left_semi").join(classes.select(F.col("key").alias("a"), "parts"), "a"))
+    some = kept(rows.join(suspects(rows, percent).distinct(), ["h", "a"], "left_semi"))
+    if not some.isEmpty():
+        wanted = kept(some.select(F.col("a").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"))
+        sets = kept(sets_of(wanted, docs, counts, n))
+        links = links.union(kept(joined(some.join(sets.withColumnRenamed("key", "a"), "a"), percent)))
+        first = components(links)
+    least = classes.join(first, "key").groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = kept(first.join(least, "root").select("key", "root", "component"))
+    both = every.select("doc_id", "size", "key").join(classes.select("key", F.col("doc_id").alias("class_id")), "key", "left").join(named, "key", "left")
+    part = F.col("doc_id").isNotNull() & (F.col("size") > 0)
+    return both.select("doc_id", "size", "key", F.when(part, F.coalesce("root", "key")).alias("root"),
+                       F.when(part, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of (doc_id, text)."""
+    return groups(spark, docs, n, percent).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of a table, with all their columns, without near-copies: of a component the row with the smallest id stays.
+
+    Of several rows of that id the one with the least set key stays, of several with one id and set any one. Rows without an id or words stay.
+    Rows that no bit of the ones to leave out matches pass without a shuffle; the others are joined exactly.
+    """
+    found = kept(groups(spark, docs, n, percent).where("root is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows")))
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("x"))
+    marked = found.join(stays, "root").withColumn("goes", F.struct("doc_id", "key") != F.col("x"))
+    touched = kept(marked.where("goes or rows > 1").select("doc_id", "key", "goes"))
+    table = spark.sparkContext.broadcast(id_bits(touched))
+    keyed, columns = docs.withColumns({"set_key_": F.lit(None).cast("long"), "set_id_": F.col("doc_id").cast("long")}), docs.columns
+
+    def function(batches):
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[columns.index("text")]):
+                rows = pa.RecordBatch.from_arrays([part.column(part.num_columns - 1), part.column(columns.index("text"))], ["doc_id", "text"])
+                place, keys, sets = with_keys(rows, table.value, n)
+                column = np.zeros(part.num_rows, np.int64)
+                column[place] = keys
+                unsure = np.zeros(part.num_rows, bool)
+                unsure[place] = [len(x) > 0 for x in sets]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(column, mask=~unsure), part.columns[-1]], part.schema.names)
+
+    told = keyed.mapInArrow(function, keyed.schema)
+    gone = touched.where("goes").select(F.col("doc_id").alias("set_id_"), F.col("key").alias("set_key_"))
+    unsure = told.where("set_key_ is not null").join(gone, ["set_id_", "set_key_"], "left_anti").dropDuplicates(["set_id_", "set_key_"])
+    return told.where("set_key_ is null").select(*columns).unionByName(unsure.select(*columns))
