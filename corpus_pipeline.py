@@ -4,7 +4,7 @@ language       Documents whose language is not recognised go: null texts, texts
                threshold that calibration sets.
 toxicity       Documents with a score of 0.3 or more go.
 near_copies    Of documents that links of five-word shingles (Jaccard 0.75 or more) connect, the one with the smallest id
-               stays. Rows that share id and text are copies, too. Documents without words or without an id are nobody's
+               stays. Rows that share an id are told apart by their sets, and of rows with one id and set one stays. Documents without words or without an id are nobody's
                copy and stay.
 decontaminate  Benchmark passages are cut out of texts, and n_chars is set anew; no document goes.
 encode         SentencePiece segmentations of each document: doc_id, samples, round_trip.
@@ -15,11 +15,10 @@ All but the last keep every column of the documents. An empty table passes throu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logtide.llm import decontaminate, language_id, toxicity
 from logtide.llm.common import kept, table
-from logtide.llm.jaccard_join import near_copies
+from logtide.llm.jaccard_join import one_of_each
 from logtide.llm.queries import tokenizer_path
 from logtide.llm.sentencepiece_sampling import sampled_segmentations
 
@@ -33,12 +32,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = kept(near_copies(spark, docs))
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").count()
-    once = docs.join(ids.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = ids.where("count > 1").select("doc_id")
-    more = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return one_of_each(spark, docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
