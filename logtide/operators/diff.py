@@ -1,4 +1,8 @@
-"""Row comparison of two tables by id: every row, only blocks whose digests differ, or a sample."""
+"""Row comparison of two tables by id: every row, only what a hash tree finds unequal, or a sample.
+
+A comparison descends a tree of hashes over ids: block, sub-block, row. What is equal at a level is left behind there, and only
+hashes are shuffled; values are fetched at the end, for ids that differ.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions.values import comparable, describe, same
 from logtide.operators.digest import block_digests
-from logtide.operators.sample import in_ranges, prepared
-from logtide.session import written
+from logtide.operators.sample import in_ranges, literal_ranges, prepared
+from logtide.session import fits, written
 
-#: Ids per block in a pruned comparison, as a power of two.
-PRUNE_BITS = 12
+#: Ids per block at each level above the rows, as powers of two.
+TREE_BITS = (12, 6)
+#: Unequal blocks or ids up to this count (16 bytes each) are broadcast to the rows; more are joined by shuffle.
+BROADCAST_UNEQUAL = 1_000_000
+#: The most rows that one row of a result may stand for before they are listed.
+LISTED = 1_000
+#: The most sampled ranges that a predicate spells out, so that the scan skips what lies between.
+SPELLED_RANGES = 500
 
 
 def shared_columns(left: DataFrame, right: DataFrame, id: str) -> list[tuple[str, str]]:
@@ -84,10 +94,63 @@ def _compare(source: DataFrame, target: DataFrame, typed: list) -> DataFrame:
 
     def rows(kind: str, prefix: str) -> Column:
         n = F.when(single, 0).when(copies, F.col(f"{prefix}_only")).otherwise(F.col(f"{prefix}_left"))
-        return F.array_repeat(_alone(kind), n.cast("int"))
+        return n.cast("bigint")
+
+    named = ids.select("id", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f")).select("id", "f.*")
+    return named.unionByName(_listed(ids, "missing", rows("missing", "s"))).unionByName(_listed(ids, "extra", rows("extra", "t")))
+
+
+def _listed(ids: DataFrame, kind: str, n: Column) -> DataFrame:
+    """A finding for each of an id's `n` rows: in two steps, so that no row holds more than a list of its hundreds or thousands."""
+    some = ids.select("id", n.alias("n")).filter("n > 0")
+    parts = some.select("id", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {LISTED}), k -> least({LISTED}L, n - k * {LISTED}))")).alias("part"))
+    return parts.select("id", F.explode(F.expr("sequence(1L, part)")).alias("k")).select("id", _alone(kind).alias("f")).select("id", "f.*")
+
+
+def _hash(typed: list, prefix: str, which: int) -> Column:
+    """128 bits of a row's content."""
+    return F.substring(F.unhex(F.sha2(_line(typed, prefix, which), 256)), 1, 16)
+
+
+def _within(df: DataFrame, place: Column, unequal: DataFrame | None, name: str) -> DataFrame:
+    """The rows whose block (or id) is among the unequal ones: few are broadcast, so that the rows stay where they are."""
+    if unequal is None:
+        return df
+    few = fits(unequal, BROADCAST_UNEQUAL)
+    return df.withColumn(name, place).join(F.broadcast(unequal) if few else unequal, name, "left_semi").drop(name)
+
 
-    every = F.concat(F.filter(F.array(*found), lambda f: f.isNotNull()), rows("missing", "s"), rows("extra", "t"))
-    return ids.select("id", F.explode(every).alias("f")).select("id", "f.*")
+def _unequal_ids(source: DataFrame, target: DataFrame, typed: list, levels: tuple[int, ...]) -> DataFrame:
+    """The ids whose bags of rows differ, by descent: the blocks of each level that differ, then the ids in those of the last.
+
+    Up to the last level a block is one sum of hashes, combined before the shuffle. Of the rows below, id and hash are shuffled.
+    """
+    sides = [side.filter("id IS NOT NULL") for side in (source, target)]
+    above: list[tuple[int, DataFrame]] = []
+
+    def rows(k: int) -> DataFrame:
+        df = sides[k]
+        for bits, unequal in above[-1:]:
+            df = _within(df, F.shiftright("id", bits), unequal, "block")
+        return df
+
+    for bits in levels:
+        sums = [block_digests(rows(k), "id", _line(typed, prefix, k + 1), bits).select("block", F.col("hash").alias(f"{prefix}_hash")) for k, prefix in enumerate("st")]
+        unequal = sums[0].join(sums[1], "block", "full_outer").filter(~F.col("s_hash").eqNullSafe(F.col("t_hash"))).select("block")
+        above.append((bits, written(unequal)))
+    both = None
+    for k, prefix in enumerate("st"):
+        one = rows(k).select("id", _hash(typed, prefix, k + 1).alias("row"), F.lit(1 - 2 * k).alias("n"))
+        both = one if both is None else both.unionByName(one)
+    left = both.groupBy("id", "row").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return written(left.select("id").distinct())
+
+
+def _descend(left: DataFrame, right: DataFrame, id: str, levels: tuple[int, ...]) -> DataFrame:
+    source, target, typed = _sides(left, right, id)
+    ids = _unequal_ids(source, target, typed, levels)
+    late = [_within(side.filter("id IS NOT NULL"), F.col("id"), ids.withColumnRenamed("id", "at"), "at") for side in (source, target)]
+    return _compare(*late, typed).unionByName(_without_id(source, target))
 
 
 def diff_full(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
@@ -95,31 +158,18 @@ def diff_full(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
     the sides have different numbers of (`repeated`, with the two numbers).
 
     Rows of a repeated id are compared as a bag: what is left of equal rows is named by column where it is one row on each side, else each
-    row is missing or extra. So is each row without an id.
+    row is missing or extra. So is each row without an id. Hashes of all rows are shuffled once, when called; values are read
+    again for ids that differ.
     """
-    source, target, typed = _sides(left, right, id)
-    return _compare(source, target, typed).unionByName(_without_id(source, target))
+    return _descend(left, right, id, ())
 
 
 def diff_pruned(left: DataFrame, right: DataFrame, id: str) -> DataFrame:
-    """The same differences, shuffling only rows of blocks whose digests differ. Reads both digests when called.
+    """The same differences by descent from blocks: for a copy that is almost right, next to nothing is shuffled.
 
-    For a copy that is almost right: two scans, a combined aggregate and next to no shuffle.
+    Reads both sides once a level that still differs, when called.
     """
-    source, target, typed = _sides(left, right, id)
-
-    def digests(side: DataFrame, prefix: str, which: int) -> DataFrame:
-        return block_digests(side.filter("id IS NOT NULL"), "id", _line(typed, prefix, which), PRUNE_BITS).select("block", F.col("hash").alias(f"{prefix}_hash"))
-
-    unequal = (digests(source, "s", 1).join(digests(target, "t", 2), "block", "full_outer")
-               .filter(~F.col("s_hash").eqNullSafe(F.col("t_hash"))).select("block"))
-    unequal = written(unequal)
-
-    def pruned(side: DataFrame) -> DataFrame:
-        return (side.withColumn("block", F.shiftright("id", PRUNE_BITS))
-                .join(unequal, "block", "left_semi").drop("block"))
-
-    return _compare(pruned(source), pruned(target), typed).unionByName(_without_id(source, target))
+    return _descend(left, right, id, TREE_BITS)
 
 
 def diff_sample(left: DataFrame, right: DataFrame, id: str, ranges: DataFrame) -> DataFrame:
@@ -128,6 +178,10 @@ def diff_sample(left: DataFrame, right: DataFrame, id: str, ranges: DataFrame) -
     A range whose source rows no longer number `rows` is reported as `moved`, with the two counts.
     """
     source, target, typed = _sides(left, right, id)
+    some = ranges.select("lo", "hi").limit(SPELLED_RANGES + 1).collect()
+    if len(some) <= SPELLED_RANGES:  # they reach the scan, which skips pages and row groups between them
+        spelled = literal_ranges("id", [tuple(r) for r in some])
+        source, target = source.filter(spelled), target.filter(spelled)
     bounds = prepared(ranges)
     sampled = in_ranges(source, "id", bounds)
     differences = _compare(sampled.drop("range_lo"), in_ranges(target, "id", bounds).drop("range_lo"), typed)

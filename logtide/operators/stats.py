@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtide.functions.values import row_size
+from logtide.session import fits, written
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -74,18 +75,37 @@ def coverage_counts(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     return counted.select(F.inline(pairs))
 
 
+#: Stripes of a value's rows, by a hash of the id, each of which keeps its least id; values up to this count are broadcast.
+STRIPES, BROADCAST_VALUES = 16, 200_000
+
+
 def duplicate_keys(df: DataFrame, key: str, id: str, examples: int = 5) -> DataFrame:
     """Non-null values shared by several rows, how many, and their smallest ids.
 
-    Counting combines before the shuffle, and only rows of shared values go on. `row_number() <= examples` lets Spark
-    cut each value to that many ids inside every map task, so a value held by a third of the table stays a few rows.
+    A value keeps its count and least id for each of a few stripes of its rows: two aggregates that combine before their
+    shuffle, so a value that half of the rows have sends a few rows a task. The `examples`-th of these ids is a bound: no id above
+    it is among the least. Most values are told by that. Of the others, rows up to the bound are looked at again, in every
+    task by itself, and each task sends on `examples` rows of a value at most.
     """
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("value"), F.col(id).cast("bigint").alias("id"))
-    counts = rows.groupBy("value").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
-    first = (rows.join(counts.select("value"), "value", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("id")))
-             .filter(F.col("at") <= examples)
-             .groupBy("value").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    return counts.join(first, "value").select(
+    stripe = F.pmod(F.xxhash64("id"), F.lit(STRIPES)).alias("stripe")
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("value"), F.col(id).cast("bigint").alias("id")).select("*", stripe)
+    least = rows.groupBy("value", "stripe").agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.min("id").alias("id"))
+    minima = F.filter(F.array_sort(F.collect_list(F.struct("id", "ids"))), lambda m: m["id"].isNotNull())
+    shared = least.groupBy("value").agg(F.sum("n").alias("copies"), minima.alias("minima")).filter(F.col("copies") > 1)
+    bound = F.when(F.size("minima") >= examples, F.element_at("minima", examples)["id"])
+    hides = F.exists("minima", lambda m: (m["ids"] > 1) & (F.col("bound").isNull() | (m["id"] < F.col("bound"))))
+    shared = written(shared.withColumn("bound", bound).withColumn("unsure", hides))
+    sure = shared.filter(~F.col("unsure")).select("value", "copies", F.slice(F.transform("minima", lambda m: m["id"]), 1, examples).alias("ids"))
+
+    unsure = shared.filter("unsure").select("value", "copies", "bound")
+    if fits(unsure, BROADCAST_VALUES):
+        near = rows.join(F.broadcast(unsure), "value")
+    else:
+        near = rows.join(unsure.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(STRIPES - 1)).cast("array<bigint>"))), ["value", "stripe"])
+    near = near.filter(F.col("id").isNotNull() & (F.col("bound").isNull() | (F.col("id") <= F.col("bound"))))
+    first = (near.withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("id"))).filter(F.col("at") <= examples)
+             .groupBy("value").agg(F.first("copies").alias("copies"), F.array_sort(F.collect_list("id")).alias("ids")))
+    return sure.unionByName(first).select(
         F.col("value").cast("string").alias("value"), "copies",
         F.array_join(F.transform("ids", lambda i: i.cast("string")), ", ").alias("first_ids"))
 

@@ -14,12 +14,20 @@ BUCKET = "id_bucket"
 BUCKET_BITS = 24
 
 
+class RowsWithoutId(Exception):
+    pass
+
+
 def write_idempotent(df: DataFrame, path: str, id: str, bits: int = BUCKET_BITS) -> None:
     """Write rows into folders by id range; a repeated write replaces the rows with its ids.
 
     Folders are replaced whole: rows of other ids in a folder that the batch touches are read first, kept in the
-    shared folder, and written again beside it. Batches that share a folder must not be written at the same time.
+    shared folder, and written again beside it. Batches that share a folder must not be written at the same time. Rows
+    without an id have nothing that a repeated write could replace: a batch with some is refused before anything is
+    written (`LedgerTable` takes them).
     """
+    if not df.filter(F.col(id).isNull()).isEmpty():
+        raise RowsWithoutId(f"rows without {id} cannot be written repeatably by id")
     bucketed = df.withColumn(BUCKET, F.shiftright(F.col(id), bits))
     if exists(df.sparkSession, path):
         before = df.sparkSession.read.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logtide.operators.encode import Codec, canonical, empty_is_null, encode, fit_audit, null_is_zero, reject_report, unwrap_binary
 from logtide.operators.sample import sample_plan, sample_ranges
 from logtide.operators.stats import table_stats
+from logtide.plans.ledger import LedgerTable, write_batches
 from logtide.plans.migration import copy_tables, migrate, plan_copy
 from logtide.plans.writes import (IDENTITY, begin_version, complete_version, open_published, pending_batches, plan_batches,
                                   read_buckets, write_idempotent)
@@ -131,6 +132,16 @@ def _(spark, folder):
         "bucket", "table", "columns", "count", "first_id", "last_id")
 
 
+@query("ledger_batches", """SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders""")
+def _(spark, folder):
+    """Orders, some without an id, in batches that are each committed once; a second writer of the same finds nothing to do."""
+    orders = table(spark, folder, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", "o_orderstatus", "o_totalprice")
+    ledger, width = LedgerTable(spark, work_dir(spark)), max(1, orders.agg(F.max("o_orderkey") - F.min("o_orderkey")).first()[0] // 4)
+    for _attempt in range(2):
+        write_batches(ledger, orders, "orders", "o_orderkey", width)
+    return ledger.read()
+
+
 COPIED = list(IDS)
 
 

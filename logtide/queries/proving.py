@@ -15,7 +15,8 @@ from logtide.operators.stats import (coverage_counts, duplicate_keys, duplicate_
 from logtide.queries.purging import DISORDERED, EVENTS_CUTOFF, EVENTS_OLD, disordered
 from logtide.operators.retention import purge_expired
 from logtide.queries.registry import query, table
-from logtide.session import written
+from logtide.session import work_dir, written
+from logtide.sources.zones import diff_sample_stored, write_zoned
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
        "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
@@ -296,6 +297,17 @@ def _(spark, folder):
     return diff_sample(left, right, "o_orderkey", written(order_ranges(spark, left)))
 
 
+@query("diff_sample_stored", f"""WITH {ranges_sql('orders', 'o_orderkey', window_rows=5_000, range_rows=20)}, {DAMAGED}
+    SELECT diff.* FROM diff JOIN ranges ON diff.id BETWEEN lo AND hi""")
+def _(spark, folder):
+    """The same sample of two stored copies with zone maps: only files and pages with sampled ids are read."""
+    left, right = both_sides(spark, folder)
+    paths = [work_dir(spark), work_dir(spark)]
+    for df, path in zip((left, right), paths):
+        write_zoned(df, path, "o_orderkey")
+    return diff_sample_stored(spark, *paths, "o_orderkey", written(order_ranges(spark, left)))
+
+
 @query("row_positions", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events")
 def _(spark, folder):
     return with_position(table(spark, folder, "events").select("event_id", "user_id"), "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.functions.times import seconds_of
@@ -10,7 +12,7 @@ from logtide.operators.links import clear_links, orphans, purge_orphans, purge_u
 from logtide.operators.retention import (partition_retention, purge_by_policy, purge_expired,
                                          purge_range_plan, purge_walked, removed_rows)
 from logtide.operators.stats import high_water, table_stats
-from logtide.plans.purge import EXPIRED, ORPHANED, LinkGraph, audit_rows, purge_cascade, purge_report
+from logtide.plans.purge import EXPIRED, ORPHANED, LinkGraph, audit_rows, purge_cascade, purge_report, retain_partitions
 from logtide.plans.resumable import resumable_purge
 from logtide.queries.registry import query, table, work_dir
 
@@ -110,6 +112,27 @@ def _(spark, folder):
     return partition_retention(table(spark, folder, "lineitem"), "l_shipdate", 884_822_400)
 
 
+@query("retain_months", """SELECT l_orderkey, l_linenumber, l_shipdate, CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem
+    WHERE NOT (l_shipdate >= TIMESTAMP '1970-01-01' AND l_shipdate < TIMESTAMP '1998-01-15')""")
+def _(spark, folder):
+    """Line items in a catalog table by month: old months are dropped from the catalog alone, the month of the cutoff is rewritten."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    path, name = work_dir(spark), f"months_{uuid.uuid4().hex}"
+    items.withColumn("month", F.trunc("l_shipdate", "MM").cast("date")).repartition("month").write.partitionBy("month").parquet(path)
+    spark.sql(f"CREATE TABLE {name} (l_orderkey BIGINT, l_linenumber {dict(items.dtypes)['l_linenumber']}, l_shipdate {dict(items.dtypes)['l_shipdate']}, month DATE) "
+              f"USING parquet PARTITIONED BY (month) LOCATION '{path}'")
+    try:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+        retain_partitions(spark, name, "month", "l_shipdate", 884_822_400, work_dir(spark))
+        left = [row[0] for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+        kept_months = [part.split("=", 1)[1] for part in left]
+        schema = spark.table(name).schema
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    # What the catalog listed last, by path: the query's result outlives the catalog entry
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/month={m}" for m in kept_months])
+
+
 @query("clear_links", """
     SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN o_custkey END AS o_custkey, o_orderstatus
     FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus FROM orders)

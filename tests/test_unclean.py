@@ -163,3 +163,33 @@ def test_unicode_escapes_are_read_before_headers(spark):
     assert all(r[0] == r[1] for r in got)
     hidden = spark.createDataFrame([("\\u002f* Notice \\u002a/ class A {}",)], "t string").select(header(F.col("t"))).first()[0]
     assert hidden == "Notice"
+
+
+def test_many_rows_of_one_id_are_listed_in_parts(spark):
+    from logtide.operators.diff import LISTED, diff_full
+    n = 2 * LISTED + 7
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "rowid bigint, v string").unionByName(spark.range(n).selectExpr("5L AS rowid", "concat('v', id % 3) AS v"))
+    right = spark.createDataFrame([(1, "a"), (2, "c")], "rowid bigint, v string")
+    got = diff_full(left, right, "rowid")
+    counted = {(r["id"], r["kind"]): r["count"] for r in got.groupBy("id", "kind").count().collect()}
+    assert counted == {(2, "differs"): 1, (5, "missing"): n}
+    assert {(r["id"], r["kind"]): r["count"] for r in diff_full(right, left, "rowid").groupBy("id", "kind").count().collect()} == {(2, "differs"): 1, (5, "extra"): n}
+
+
+def test_least_ids_of_hot_values(spark):
+    import random
+    from collections import defaultdict
+    from logtide.operators import stats
+    rng = random.Random(6)
+    rows = [("hot", k * 3 % 5000) for k in range(3000)] + [(f"v{k % 700}", rng.randint(-50, 900)) for k in range(2500)] + [("same", 4)] * 40 + [("few", 1), ("few", None), ("none", None), ("none", None), (None, 3), (None, 3), ("once", 9)]
+    want = defaultdict(list)
+    for v, i in rows:
+        want[v].append(i)
+    want = {(v, len(ids), ", ".join(map(str, sorted(i for i in ids if i is not None)[:5]))) for v, ids in want.items() if v is not None and len(ids) > 1}
+    df = spark.createDataFrame(rows, "v string, id bigint").repartition(6)
+    assert {tuple(r) for r in stats.duplicate_keys(df, "v", "id").collect()} == want
+    stats.BROADCAST_VALUES, kept = 0, stats.BROADCAST_VALUES
+    try:
+        assert {tuple(r) for r in stats.duplicate_keys(df, "v", "id").collect()} == want
+    finally:
+        stats.BROADCAST_VALUES = kept
