@@ -10,9 +10,9 @@ within their prefixes, so the join is on prefix shingles.
 3. `stars`: the rows of a shingle pass in a stream. Few classes are all paired; of more, each is paired with some of its
    length that lead them, so that pairs grow with the rows, whatever the size of the group. Verified pairs give first components.
 4. `suspects`: the rows of the other shingles that the length, positional and suffix filters admit with a row of another
-   component. Pairs do not leave the task, only the rows; a large group is dealt over tasks by cells (`dealt`).
-5. `joined`: these rows with their sets. A pair is verified where it is, at the first shingle that both share, and only if no
-   link has joined its components before; what leaves is a forest of links.
+   component, at the first shingle that both share. Pairs do not leave the task, only the rows; a large group is dealt over tasks by cells (`dealt`).
+5. `joined`: these rows with their sets. A pair is verified where it is, and only if no link has joined its components before; what leaves is a
+   forest of links.
 
 Sets are made from texts in the scan: a table of bits of fixed size lets the few texts that are needed pass, so texts are
 not shuffled. Rows without an id take no part and have no component; a text without words is empty, with links to nothing.
@@ -244,8 +244,8 @@ def with_keys(part: pa.RecordBatch, table: np.ndarray, n: int) -> tuple[np.ndarr
     return place[ok], keys[ok], [x for x, yes in zip(found, ok.tolist()) if yes]
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, counts, n: int) -> DataFrame:
-    """(key, values): the sets of the wanted (doc_id, key), rare shingles first. A few others may be among them, or one set twice."""
+def sets_of(wanted: DataFrame, docs: DataFrame, counts, n: int, percent: int | None = None) -> DataFrame:
+    """(key, values): the sets of the wanted (doc_id, key), rare shingles first, or with `percent` their prefixes. A few others may be among them."""
     table = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def function(batches):
@@ -253,7 +253,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, counts, n: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 _, keys, found = with_keys(part, table.value, n)
-                rare = [x[np.argsort(order[(x & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")] for x in found]
+                rare = [x[np.argsort(order[(x & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")[:None if percent is None else prefix_length(len(x), percent)]] for x in found]
                 if rare:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in rare], pa.binary())], ["key", "values"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(function, "key long, values binary").dropDuplicates(["key"])
@@ -344,8 +344,20 @@ def in_cells(rows: DataFrame, columns: list[str], function, schema: str) -> Data
     return rows.select(*names).repartition("h", "cell").sortWithinPartitions("h", "cell", "size", "a").mapInArrow(run, schema)
 
 
-def partners(cell: pa.Table, percent: int, same=None) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row outside the most frequent component with the later ones, or those of it, that all filters admit in another component."""
+def earlier(before: list[np.ndarray], i: int, j: np.ndarray) -> np.ndarray:
+    """Which rows j share a shingle with row i already before the cell's own."""
+    if not len(before[i]):
+        return np.zeros(len(j), bool)
+    sizes = np.array([len(before[k]) for k in j.tolist()])
+    held = np.isin(np.concatenate([before[k] for k in j.tolist()]), before[i])
+    total = np.concatenate(([0], np.cumsum(held)))
+    ends = np.cumsum(sizes)
+    return total[ends] > total[ends - sizes]
+
+
+def partners(cell: pa.Table, percent: int, before: list[np.ndarray], same=None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row outside the most frequent component with the later ones, or those of it, that all filters admit in another component,
+    where this is the first shingle that both share. `before`: each row's shingles before the cell's own."""
     side, size, key, pos, root = (cell.column(x).to_numpy() for x in ("side", "size", "a", "pos", "root"))
     roots, where, many = np.unique(root, return_inverse=True, return_counts=True)
     if len(roots) < 2:
@@ -360,19 +372,22 @@ def partners(cell: pa.Table, percent: int, same=None) -> Iterator[tuple[int, np.
             j = j[[not same(root[i], root[k]) for k in j.tolist()]] if len(j) else j
         total = size[i] + size[j]
         j = j[far_apart(parts[i], parts[j]) <= total - 2 * least_overlap(total, percent)]
+        if j.size:
+            j = j[~earlier(before, i, j)]
         if j.size:
             yield int(i), j
 
 
 def suspects(rows: DataFrame, percent: int) -> DataFrame:
-    """(h, a): the rows (h, size, a, pos, root, parts) that are some row's partners."""
+    """(h, a): the rows (h, size, a, pos, root, parts, before) that are some row's partners; `before`: the prefix up to the row's shingle."""
     def function(cell):
         found = np.zeros(cell.num_rows, bool)
-        for i, j in partners(cell, percent):
+        before = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("before")]
+        for i, j in partners(cell, percent, before):
             found[i] = found[j] = True
         if found.any():
             yield cell.select(["h", "a"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
-    return in_cells(dealt(rows, "1", CELL_ROWS, percent), ["size", "a", "pos", "root", "parts"], function, "h long, a long")
+    return in_cells(dealt(rows, "1", CELL_ROWS, percent), ["size", "a", "pos", "root", "parts", "before"], function, "h long, a long")
 
 
 def joined(rows: DataFrame, percent: int) -> DataFrame:
@@ -388,10 +403,11 @@ def joined(rows: DataFrame, percent: int) -> DataFrame:
         keys, pos, root = (cell.column(x).to_pylist() for x in ("a", "pos", "root"))
         values = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("values")]
         out = []
-        for i, near in partners(cell, percent, lambda x, y: find(int(x)) == find(int(y))):
+        before = [x[:p] for x, p in zip(values, pos)]
+        for i, near in partners(cell, percent, before, lambda x, y: find(int(x)) == find(int(y))):
             for j in near.tolist():
-                if find(root[i]) == find(root[j]) or np.isin(values[i][:pos[i]], values[j][:pos[j]]).any():
-                    continue  # joined meanwhile, or taken at an earlier shingle
+                if find(root[i]) == find(root[j]):
+                    continue  # joined meanwhile
                 if linked(values[i], values[j], percent):
                     top[find(root[i])] = find(root[j])
                     out.append((keys[i], keys[j]))
@@ -434,11 +450,14 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75)
     rows = found.where("b is null").select("h", F.col("size_a").alias("size"), "a", "pos")
     rows = rows.join(first.select(F.col("key").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    rows = kept(rows.join(several, "h", "left_semi").join(classes.select(F.col("key").alias("a"), "parts"), "a"))
-    some = kept(rows.join(suspects(rows, percent).distinct(), ["h", "a"], "left_semi"))
+    rows = kept(rows.join(several, "h", "left_semi"))
+    named = lambda df: kept(df.select(F.col("a").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"))
+    wanted = named(rows)
+    told = classes.join(sets_of(wanted, docs, counts, n, percent), "key").select(F.col("key").alias("a"), "parts", "values")
+    told = rows.join(told, "a").select(*rows.columns, "parts", F.expr("substring(values, 1, cast(8 * pos as int))").alias("before"))
+    some = kept(rows.join(suspects(told, percent).distinct(), ["h", "a"], "left_semi").join(classes.select(F.col("key").alias("a"), "parts"), "a"))
     if not some.isEmpty():
-        wanted = kept(some.select(F.col("a").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"))
-        sets = kept(sets_of(wanted, docs, counts, n))
+        sets = kept(sets_of(named(some), docs, counts, n))
         links = links.union(kept(joined(some.join(sets.withColumnRenamed("key", "a"), "a"), percent)))
         first = components(links)
     least = classes.join(first, "key").groupBy("root").agg(F.min("doc_id").alias("component"))
@@ -465,7 +484,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
     marked = found.join(stays, "root").withColumn("goes", F.struct("doc_id", "key") != F.col("x"))
     touched = kept(marked.where("goes or rows > 1").select("doc_id", "key", "goes"))
     table = spark.sparkContext.broadcast(id_bits(touched))
-    keyed, columns = docs.withColumns({"set_key_": F.lit(None).cast("long"), "set_id_": F.col("doc_id").cast("long")}), docs.columns
+    columns = docs.columns
+    key, own = "set_key", "set_id"
+    while {key, own} & {c.lower() for c in columns}:
+        key, own = key + "_", own + "_"
+    keyed = docs.withColumns({key: F.lit(None).cast("long"), own: F.col("doc_id").cast("long")})
 
     def function(batches):
         for batch in batches:
@@ -476,9 +499,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
                 column[place] = keys
                 unsure = np.zeros(part.num_rows, bool)
                 unsure[place] = [len(x) > 0 for x in sets]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(column, mask=~unsure), part.columns[-1]], part.schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(column, mask=~unsure), part.columns[-1]], names=part.schema.names)
 
     told = keyed.mapInArrow(function, keyed.schema)
-    gone = touched.where("goes").select(F.col("doc_id").alias("set_id_"), F.col("key").alias("set_key_"))
-    unsure = told.where("set_key_ is not null").join(gone, ["set_id_", "set_key_"], "left_anti").dropDuplicates(["set_id_", "set_key_"])
-    return told.where("set_key_ is null").select(*columns).unionByName(unsure.select(*columns))
+    gone = touched.where("goes").select(F.col("doc_id").alias(own), F.col("key").alias(key))
+    unsure = told.where(F.col(key).isNotNull()).join(gone, [own, key], "left_anti").dropDuplicates([own, key])
+    return told.where(F.col(key).isNull()).select(*columns).unionByName(unsure.select(*columns))
