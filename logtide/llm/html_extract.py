@@ -5,16 +5,20 @@ and text. The tokens of a host that occur equally often in the same pages (one o
 class; vectors are compared by sums of hashes over pages, so no host's pages are brought together. A class is valid with
 support by enough pages and at least two element tokens. Elements of valid classes nest by their paths into the host's template:
 each bounds a slot, which holds the texts that lie in it and in no template element further in. Texts in a valid class are the
-template's own words. A slot with no other texts on any page is fixed and left out; of the others, all but the template's words is extracted.
+template's own words. A slot with no other texts on any page is fixed.
 
-Slots in elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag, role, id or
-class are left out, with all they hold. Where a page has an article or main element, that is its slot: all in it is extracted, words that
-other pages have too included, and nothing outside of it; elsewhere, blocks that are all links are left out. A host whose slots hold next to no texts but
-the template's repeats one article, and has no template; that is decided for the host, not for a page.
+The template's main element is found from the root down: the template element that holds most of the text on the host's pages, and in it
+the one that holds most of that, as long as one does. It is extracted with all slots in it but the fixed ones; where most of its text is
+the template's, the host repeats one article and they are the article. All outside of it - menus, notices, adverts, footers - is left out
+whatever its tags and classes are called. Names only break ties: slots inside the main element that are called menus, adverts or
+comments are left out, and among elements none of which holds most, an article or main element is the main one.
+
+Hosts without such an element, or without support, are extracted by names alone: all of article or main elements, else all texts that are not
+in elements called menus and the like, not all links, not in fixed slots and not the template's words.
 
 A template is some lists of hashes of at most the tokens of some pages; pages of a hot host are dealt over salted parts of
-it. A null or empty page, and one without main text, has an empty text; a null address has no host and no template.
-Rows are handled one by one, repeated ones too; extra columns are ignored.
+it. A null or empty page, and one without main text, has an empty text; a null address has no host and no template. An empty table has no rows. A page of any
+length is read whole, by itself. Rows are handled one by one, repeated ones too; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ from logtide.llm.common import kept, slices
 
 #: Pages that support a class, and the share of the host's pages; pages of a host for one part of its salted template.
 LEAST_PAGES, LEAST_SHARE, PAGES_A_PART = 4, 0.3, 500
-#: A host whose own texts are less than this share of the text in its slots repeats one article.
-LEAST_OWN = 0.1
+#: An element holds most of the text with more than this share of it.
+MOST = 0.5
 #: A template's lists, in the order `extracted` takes them.
-LISTS = ("words", "elements", "fixed")
+LISTS = ("words", "elements", "fixed", "main")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -70,11 +74,14 @@ class Element:
 
 @dataclass
 class Page:
-    """Elements' path hashes in page order; blocks as (path, text, in the main part, all links, left out); the path above each path."""
+    """Elements' path hashes in page order; blocks as (path, text, in the main part by name, all links, left out by name); the path above each
+    path, and which elements are left out, or the main part, by their own names."""
 
     elements: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
     above: dict = field(default_factory=dict)
+    out: set = field(default_factory=set)
+    named_main: set = field(default_factory=set)
 
 
 def named(value: str) -> set[str]:
@@ -191,6 +198,10 @@ def parsed(html: str) -> Page:
         path = below(parent.path, key)
         page.elements.append(path)
         page.above[path] = parent.path
+        if out:
+            page.out.add(path)
+        elif main:
+            page.named_main.add(path)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
@@ -219,9 +230,10 @@ def candidates(page: Page) -> list:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, element: whether it is one, above: the path it is in, pages, low, high: sums of hashes of page and count, chars).
+    """(host, token, element: whether it is one, above: the path it is in, pages, low, high: sums of hashes of page and count, chars, main).
 
-    `chars` counts candidates outside of articles: in an element with all it holds, of a text itself, in token 0 of the page.
+    `chars` counts texts: in an element with all it holds, of a text itself, in token 0 of the page. `main` counts pages that have the element as
+    an article or main element by name.
     """
     def function(batches):
         for batch in batches:
@@ -237,9 +249,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 for path, words, *_ in page.blocks:
                     name = text_token(path, words), False, path
                     counts[name] = counts.get(name, 0) + 1
-                for path, words, main, *_ in candidates(page):
-                    if main:
-                        break
+                for path, words, *_ in page.blocks:
                     names, at = [(text_token(path, words), False, path), (0, True, 0)], path
                     while at in page.above:
                         names.append((at, True, page.above[at]))
@@ -250,18 +260,19 @@ def tokens(pages: DataFrame) -> DataFrame:
                 for name, n in counts.items():
                     mark = hash((own, n)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
                     mark ^= mark >> 29
-                    entry = total.setdefault((host, *name), [0, 0, 0, 0])
+                    entry = total.setdefault((host, *name), [0, 0, 0, 0, 0])
                     entry[0] += 1
                     entry[1] += mark & 0x7FFFFFFF
                     entry[2] += mark >> 33
                     entry[3] += chars.get(name, 0)
+                    entry[4] += name[1] and name[0] in page.named_main
             if total:
                 host, token, element, above = zip(*total)
                 columns = [pa.array(host, pa.string()), pa.array(token, pa.int64()), pa.array(element, pa.bool_()), pa.array(above, pa.int64()),
                            *(pa.array(numbers, pa.int64()) for numbers in zip(*total.values()))]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "token", "element", "above", "pages", "low", "high", "chars"])
-    found = pages.select("url", "html").mapInArrow(function, "host string, token long, element boolean, above long, pages long, low long, high long, chars long")
-    return found.groupBy("host", "token", "element", "above").agg(*[F.sum(c).alias(c) for c in ("pages", "low", "high", "chars")])
+                yield pa.RecordBatch.from_arrays(columns, ["host", "token", "element", "above", "pages", "low", "high", "chars", "main"])
+    found = pages.select("url", "html").mapInArrow(function, "host string, token long, element boolean, above long, pages long, low long, high long, chars long, main long")
+    return found.groupBy("host", "token", "element", "above").agg(*[F.sum(c).alias(c) for c in ("pages", "low", "high", "chars", "main")])
 
 
 def slot_of(path: int, above: dict, elements) -> int:
@@ -273,8 +284,8 @@ def slot_of(path: int, above: dict, elements) -> int:
     return path
 
 
-def nested(rows: list[dict]) -> tuple[list, list, list]:
-    """A host's template, of its tokens with support: elements, fixed slots, words. Without elements where it repeats one article."""
+def nested(rows: list[dict]) -> tuple[list, list, list, list]:
+    """A host's template, of its tokens with support: elements, fixed slots, words, and the main element if there is one."""
     classes: dict[tuple, list[dict]] = {}
     for row in rows:
         if row["token"]:
@@ -286,21 +297,40 @@ def nested(rows: list[dict]) -> tuple[list, list, list]:
     above = {r["token"]: r["above"] for r in rows if r["element"] and r["token"]}
     every = next(r["chars"] for r in rows if not r["token"])
     held = {r["token"]: r["chars"] for r in valid if r["element"]}
+    children: dict[int, list[int]] = {}
     inner = dict.fromkeys([*held, 0], 0)  # in template elements further in
     for element, chars in held.items():
-        inner[slot_of(above[element], above, elements)] += chars
+        parent = slot_of(above[element], above, elements)
+        inner[parent] += chars
+        children.setdefault(parent, []).append(element)
     own = {element: chars - inner[element] for element, chars in held.items()} | {0: every - inner[0]}
     filled = dict.fromkeys(own, 0)
     for row in words:
         filled[slot_of(row["above"], above, elements)] += row["chars"]
-    if sum(own[slot] - filled[slot] for slot in own) < LEAST_OWN * every:
-        return [], [], []
-    fixed = [slot for slot in held if own[slot] and own[slot] == filled[slot]]
-    return sorted(elements), sorted(fixed), sorted(r["token"] for r in words if r["chars"])
+    fixed = {slot for slot in held if own[slot] and own[slot] == filled[slot]}
+    called = {r["token"] for r in valid if r["element"] and 2 * r["main"] > r["pages"]}
+    main, total = 0, every
+    while total and (inside := children.get(main)):
+        largest = max(inside, key=lambda e: (held[e], e))
+        if held[largest] <= MOST * total:
+            called_main = [e for e in inside if e in called]
+            if len(called_main) == 1:
+                main = called_main[0]
+            break
+        main, total = largest, held[largest]
+    if main:
+        varied, open_ = 0, [main]
+        while open_:
+            slot = open_.pop()
+            varied += own[slot] - filled[slot]
+            open_ += children.get(slot, [])
+        if varied <= MOST * held[main]:
+            fixed = set()  # the article itself, on every page
+    return sorted(elements), sorted(fixed), sorted(r["token"] for r in words if r["chars"]), [main] if main else []
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, elements: paths of the template, fixed: those that bound fixed slots, words: its text tokens)."""
+    """(host, pages, elements: paths of the template, fixed: those that bound fixed slots, words: its text tokens, main: the path of the main element)."""
     every = tokens(pages).where(F.col("pages") >= LEAST_PAGES)
     every = kept(every)  # what occurs in some pages at least: small
     size = every.where("element and token = 0").select("host", F.col("pages").alias("all_pages"))
@@ -308,14 +338,30 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def function(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
-        elements, fixed, words = nested(rows)
+        elements, fixed, words, main = nested(rows)
         return pa.table({"host": [rows[0]["host"]], "pages": [rows[0]["all_pages"]], **{name: pa.array([found], pa.list_(pa.int64()))
-                                                                                      for name, found in (("elements", elements), ("fixed", fixed), ("words", words))}})
-    return supported.groupBy("host").applyInArrow(function, "host string, pages long, elements array<long>, fixed array<long>, words array<long>")
-
-
-def extracted(page: Page, words: set, elements: set = frozenset(), fixed: set = frozenset()) -> str:
-    """All of article or main elements, else what slots hold beside the template's words."""
+                                                                                      for name, found in (("elements", elements), ("fixed", fixed), ("words", words), ("main", main))}})
+    return supported.groupBy("host").applyInArrow(function, "host string, pages long, elements array<long>, fixed array<long>, words array<long>, main array<long>")
+
+
+def inside(page: Page, path: int, main: int) -> bool | None:
+    """Whether a path lies in the main element; None: in an element there that is left out by its name."""
+    out = None
+    while path != main:
+        if path not in page.above:
+            return False
+        if path in page.out:
+            out = path
+        path = page.above[path]
+    return None if out else True
+
+
+def extracted(page: Page, words: set, elements: set = frozenset(), fixed: set = frozenset(), main: set = frozenset()) -> str:
+    """The template's main element without fixed slots; without one, all of article or main elements, else what slots hold beside the template's words."""
+    for path in main:
+        if path in page.above:
+            # outside of an article by name, what is all links is no text
+            return "\n".join(b[1] for b in page.blocks if inside(page, b[0], path) and (b[2] or not b[3]) and slot_of(b[0], page.above, elements) not in fixed)
     return "\n".join(b[1] for b in candidates(page)
                      if b[2] or not words or (slot_of(b[0], page.above, elements) not in fixed and text_token(b[0], b[1]) not in words))
 
@@ -329,7 +375,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                        for html, *own in zip(part.column("html"), *(part.column(name).to_pylist() for name in LISTS))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
                                                  ["page_id", "url", "text", "n_chars"])
-    hosts = templates(pages).where(F.size("words") > 0).withColumn("parts", F.ceil(F.col("pages") / PAGES_A_PART).cast("int"))
+    hosts = templates(pages).where((F.size("words") > 0) | (F.size("main") > 0)).withColumn("parts", F.ceil(F.col("pages") / PAGES_A_PART).cast("int"))
     hosts = kept(hosts)
     if hosts.isEmpty():
         rows = pages.select(F.col("page_id").cast("long"), "url", "html", *[F.lit(None).cast("array<long>").alias(name) for name in LISTS])
