@@ -11,7 +11,8 @@ bounded sample of documents, which only prunes. Tasks hand on k rows a query and
 
 Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows without an id; vectors
 of different lengths have no score. Ties go to the smaller id. A query row finds all rows but those with its id; with
-fewer than k, all. Repeated rows count each. Products must fit 63 bits. Extra columns are ignored.
+fewer than k, all. Repeated rows count each. Integers are held to 62 bits and a sign, scores to 63: what lies beyond counts
+as the largest or smallest of them. An empty table, or one without queries, has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logtide.llm.common import kept
+
 #: Queries of one set, documents of the sample, of a block, and of a task's segment.
 QUERIES, SAMPLE, BLOCK, SEGMENT = 2048, 2048, 128, 1 << 15
 #: Below all scores; it can be negated.
 LEAST = -(2 ** 63 - 1)
+#: The largest component.
+LARGEST = 2 ** 62
 
 
 def valid(vectors: DataFrame, id: str, vector: str) -> DataFrame:
@@ -32,19 +37,38 @@ def valid(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     as_double = F.col(vector).cast("array<double>")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     sound = F.col(id).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(F.exists(as_double, odd), F.lit(True))
-    return vectors.where(sound).select(F.col(id).cast("long").alias("id"), F.transform(as_double, lambda x: F.floor(x * 256).cast("long")).alias("v"))
+    return vectors.where(sound).select(F.col(id).cast("long").alias("id"), F.transform(as_double, lambda x: F.floor(F.least(F.greatest(x * 256, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("long")).alias("v"))
+
+
+def held(values: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size within the range of scores."""
+    return np.clip(values, LEAST, -LEAST).astype(np.int64)
+
+
+def reach(a: np.ndarray, b: np.ndarray) -> float:
+    """What no partial sum of an inner product exceeds."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All inner products, exact: by floating point where every partial sum is a whole number below 2^53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """All inner products, exact: by floating point where every partial sum is a whole number below 2^53, by whole numbers of
+    any size where they may pass 63 bits."""
+    most = reach(a, b)
     if most < 2 ** 53:
         return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    if most >= 2 ** 63:
-        raise OverflowError("inner products over 63 bits")
+    if most >= 2 ** 62:
+        return held(a.astype(object) @ b.T.astype(object))
     return a @ b.T
 
 
+def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What each query can reach with a block's maxima and minima."""
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    if max(reach(up, high), reach(down, low)) >= 2 ** 61:
+        return held(up.astype(object) @ high.T.astype(object) + down.astype(object) @ low.T.astype(object))
+    return products(up, high) + products(down, low)
+
+
 def block_order(rows: np.ndarray) -> np.ndarray:
     """Like vectors near each other: by the signs of their widest components."""
     wide = np.argsort(-rows.var(axis=0), kind="stable")[:10]
@@ -57,7 +81,7 @@ def searched(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
     ids, rows = ids[order], rows[order]
     first = np.arange(0, len(rows), BLOCK)
     high, low = np.maximum.reduceat(rows, first, axis=0), np.minimum.reduceat(rows, first, axis=0)
-    bound = products(np.maximum(queries, 0), high) + products(np.minimum(queries, 0), low)
+    bound = bounds(queries, high, low)
     turns = np.argsort(-bound, axis=1, kind="stable")
     best: list[list[tuple[int, int]]] = [[] for _ in queries]
     least, on = least.copy(), np.arange(len(queries))
@@ -114,10 +138,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int, k: int, id: str =
         shared = spark.sparkContext.broadcast(groups)
 
         def function(batches, shared=shared, number=number):
-            held: dict[int, list] = {}
+            waiting: dict[int, list] = {}
             def out(size):
                 query_ids, q, least = shared.value[size]
-                ids, rows = (np.concatenate(x) for x in zip(*held.pop(size)))
+                ids, rows = (np.concatenate(x) for x in zip(*waiting.pop(size)))
                 hits = [(number, i, size, int(query_ids[i]), -score, found) for i, best in enumerate(searched(ids, rows, query_ids, q, least, k)) for score, found in best]
                 columns = list(zip(*hits)) or [()] * 6
                 return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["set", "number", "size", "query_id", "score", "vec_id"])
@@ -129,12 +153,15 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int, k: int, id: str =
                 for n in np.unique(size).tolist():
                     if n in shared.value:
                         rows = np.flatnonzero(size == n)
-                        held.setdefault(n, []).append((ids[rows], flat[(start[rows][:, None] + np.arange(n)).ravel()].reshape(-1, n)))
-                        if sum(len(x) for x, _ in held[n]) >= SEGMENT:
+                        waiting.setdefault(n, []).append((ids[rows], flat[(start[rows][:, None] + np.arange(n)).ravel()].reshape(-1, n)))
+                        if sum(len(x) for x, _ in waiting[n]) >= SEGMENT:
                             yield out(n)
-            for n in list(held):
+            for n in list(waiting):
                 yield out(n)
         part = documents.mapInArrow(function, "set long, number long, size long, query_id long, score long, vec_id long")
+        if sets > 1:  # a set's queries leave the driver before the next one's come
+            part = kept(part)
+            shared.destroy()
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
