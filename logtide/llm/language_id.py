@@ -2,8 +2,8 @@
 
 A text's subwords are the byte 3- and 4-grams of its lower-cased letters, words set apart by one blank, and whole words,
 each hashed to a bucket. Their embeddings are averaged; a linear softmax gives language probabilities. Both are trained
-by stochastic gradient descent in numpy, on whole texts and on short spans of them, from a sample of LEARNED_ROWS rows of
-texts of LEARNED_BYTES at most. A temperature is fitted on rows put aside; so is the score below which a text is rejected: the one that
+by stochastic gradient descent in numpy, in turn on a long and a short span of a text, from a sample of LEARNED_ROWS rows in the
+MOST_LANGUAGES most frequent languages, and LEARNED_CHARS characters of each, from a place that a hash chooses. A temperature is fitted on rows put aside; so is the score below which a text is rejected: the one that
 would lose `REJECTED` of the rows that the model gets right, and not over `MOST_REJECTING`.
 
 A null text, or one without a letter, is `und` with score 0 and rejected. All texts are read whole. If there is no row
@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm.common import fitted_in_task, flat, fold, slices
+from logtide.llm.structure import learned_span
 from logtide.llm.words import LOWER, bounds, spans, sums
 
 BUCKETS, DIMENSION = 1 << 17, 16
-#: Rows learned from, about as many of each language, and the bytes of the longest such text.
-LEARNED_ROWS, LEARNED_BYTES = 4000, 1 << 14
-EPOCHS, RATE, SPAN_WORDS = 6, 0.5, 40
+#: Rows learned from, about as many of each language; characters of such a text; and the most languages.
+LEARNED_ROWS, LEARNED_CHARS, MOST_LANGUAGES = 4000, 1 << 13, 512
+#: Words of a short and a long span.
+EPOCHS, RATE, SPAN_WORDS, LONG_SPAN = 6, 0.5, 40, 400
 REJECTED, MOST_REJECTING = 0.0005, 0.5
 UNKNOWN = "und"
 
@@ -131,10 +133,9 @@ def trained(texts: list[str], labels: list[str], seed: int = 1) -> Model:
         for i in rng.permutation(np.repeat(learned, 2)).tolist():
             found, row = place[i]
             a, b = int(found.first_word[row]), int(found.first_word[row + 1])
-            n = int(rng.integers(1, SPAN_WORDS))
-            if done % 2 or b - a > 10 * SPAN_WORDS:  # a span; whole long texts add little
-                a = int(rng.integers(a, max(a + 1, b - n + 1)))
-                b = min(b, a + n)
+            n = int(rng.integers(1, SPAN_WORDS)) if done % 2 else LONG_SPAN
+            a = int(rng.integers(a, max(a + 1, b - n + 1)))
+            b = min(b, a + n)
             ids, many = np.unique(buckets(found, a, b), return_counts=True)
             share = (many / many.sum()).astype(np.float32)
             mean = share @ table[ids]
@@ -164,16 +165,15 @@ def trained(texts: list[str], labels: list[str], seed: int = 1) -> Model:
 def learn(docs: DataFrame) -> Model | None:
     """Learns from the text and non-null lang of rows whose id's fold of three is not 1, a bounded number a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    rows = rows.where(F.octet_length("text") <= LEARNED_BYTES)
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
+    # picked by a hash of the id
+    parts = {row["lang"]: int(min(1.0, LEARNED_ROWS / len(counts) / row["count"]) * (1 << 30)) for row in counts}
+    share = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")]
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for row in counts:  # picked by a hash of the id
-        part = min(1.0, LEARNED_ROWS / len(counts) / row["count"])
-        share = F.when(F.col("lang") == row["lang"], F.lit(int(part * (1 << 30)))).otherwise(share)
-    picked = rows.where(slot < share).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * LEARNED_ROWS)
+    text = learned_span(F.col("text"), F.col("doc_id"), LEARNED_CHARS).alias("text")
+    picked = rows.where(slot < share).select("doc_id", text, "lang").orderBy("doc_id", "text").limit(2 * LEARNED_ROWS)
     return fitted_in_task(picked, lambda found: trained(found.column("text").to_pylist(), found.column("lang").to_pylist()))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import language_id, quality_fm, toxicity
@@ -19,6 +19,11 @@ from logtide.llm.token_counts import token_counts
 from logtide.llm.topk_search import top_k
 
 
+def in_fold(of: int, left_out: int) -> Column:
+    """Whether a row is held out; one without an id is learned from by nobody, but not held out."""
+    return F.coalesce(fold(F.col("doc_id"), of) == left_out, F.lit(False))
+
+
 def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(spark, table(spark, folder, "embeddings"), every=50, k=5)
 
@@ -26,7 +31,7 @@ def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = toxicity.scored(spark, docs, toxicity.learn(docs, table(spark, folder, "labels")))
-    held_out = fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.LEFT_OUT
+    held_out = in_fold(toxicity.FOLDS, toxicity.LEFT_OUT)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
@@ -61,7 +66,7 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = quality_fm.scored(spark, docs, quality_fm.learn(docs, table(spark, folder, "labels")))
-    held_out = fold(F.col("doc_id"), quality_fm.FOLDS) == quality_fm.LEFT_OUT
+    held_out = in_fold(quality_fm.FOLDS, quality_fm.LEFT_OUT)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_fm.GOOD).cast("int").alias("predicted"))
 
 
@@ -76,7 +81,7 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language_id.identified(spark, docs, language_id.learn(docs))
-    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+    return found.select("doc_id", in_fold(3, 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.llm.common import fold
 from logtide.llm.words import LETTERS, LOWER, NOT_SPACE, Words, bounds, spans, sums
 
-#: Bytes of the longest text that is learned from.
-LEARNED_BYTES = 1 << 16
+#: Characters of a text that are learned from: all, or of a longer text a span.
+LEARNED_CHARS = 1 << 15
 
 _UPPER, _DIGIT, _ALPHA, _PUNCT, _SYMBOL = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = True
@@ -89,10 +89,17 @@ def statistics(x: Texts) -> np.ndarray:
         x.per_words(ends_in_symbol, x.first_token) / tokens], axis=1)
 
 
+def learned_span(text: Column, key: Column, length: int = LEARNED_CHARS) -> Column:
+    """The text, or of one with more characters as many from a place that a hash of the key chooses."""
+    room = F.length(text) - length
+    start = F.pmod(F.xxhash64(key, F.lit(7)), F.greatest(room + 1, F.lit(1))) + 1
+    return F.when(room <= 0, text).otherwise(F.substr(text, start.cast("int"), F.lit(length)))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int) -> DataFrame:
     """About `most` rows (doc_id, text, label, weight) of either label, picked by a hash of the id; weight: rows that one stands for.
 
-    Rows in the fold `left_out`, without a label, with contradicting ones, or with texts over LEARNED_BYTES are left out.
+    Rows in the fold `left_out`, without a label or with contradicting ones are left out. Of a long text a span is learned from.
     """
     sure = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != left_out)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("label"), F.max(label).alias("_other")).where("label = _other").drop("_other")
@@ -102,6 +109,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_ou
         share = F.when(F.col("label") == row["label"], F.lit(int(part * (1 << 30)))).otherwise(share)
         weight = F.when(F.col("label") == row["label"], F.lit(1 / part)).otherwise(weight)
     picked = sure.where(slot < share).withColumn("weight", weight).orderBy("doc_id").limit(4 * most)
-    texts = docs.where(F.octet_length("text") <= LEARNED_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), learned_span(F.col("text"), F.col("doc_id")).alias("text"))
     # at most 4 * most ids: bounded
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("label").cast("int"), "weight").orderBy("doc_id", "text").limit(4 * most)
