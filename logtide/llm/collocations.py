@@ -36,7 +36,7 @@ from logtide.llm.common import dropped, empty_table, flat, has, kept, kept_by, s
 from logtide.llm.words import LOWER, bounds, mixed, runs, runs_at, spans, sums
 
 #: Shards of a cycle, and parts of a shard: the first part of all is described first.
-SHARDS, PARTS = 3, 2
+SHARDS, PARTS = 2, 3
 #: Bytes of texts that are cut to words at once.
 CUT_BYTES = 1 << 20
 LEAST, LONGEST = 30, 4
