@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logtide.functions.values import comparable, describe, same
 from logtide.operators.digest import block_digests
 from logtide.operators.sample import in_ranges, literal_ranges, prepared
-from logtide.session import fits, written
+from logtide.session import written
 
 #: Ids per block at each level above the rows, as powers of two.
 TREE_BITS = (12, 6)
@@ -112,16 +112,19 @@ def _hash(typed: list, prefix: str, which: int) -> Column:
     return F.substring(F.unhex(F.sha2(_line(typed, prefix, which), 256)), 1, 16)
 
 
-def _within(df: DataFrame, place: Column, unequal: DataFrame | None, name: str) -> DataFrame:
-    """The rows whose block (or id) is among the unequal ones: few are broadcast, so that the rows stay where they are."""
-    if unequal is None:
-        return df
-    few = fits(unequal, BROADCAST_UNEQUAL)
-    return df.withColumn(name, place).join(F.broadcast(unequal) if few else unequal, name, "left_semi").drop(name)
+def _few(unequal: DataFrame) -> tuple[DataFrame, int]:
+    """Unequal blocks or ids, written down, and how many; few are broadcast, so that the rows they are joined to stay where they are."""
+    unequal = written(unequal)
+    n = unequal.count()
+    return F.broadcast(unequal) if n <= BROADCAST_UNEQUAL else unequal, n
+
+
+def _within(df: DataFrame, place: Column, unequal: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, place).join(unequal, name, "left_semi").drop(name)
 
 
-def _unequal_ids(source: DataFrame, target: DataFrame, typed: list, levels: tuple[int, ...]) -> DataFrame:
-    """The ids whose bags of rows differ, by descent: the blocks of each level that differ, then the ids in those of the last.
+def _unequal_ids(source: DataFrame, target: DataFrame, typed: list, levels: tuple[int, ...]) -> tuple[DataFrame | None, int]:
+    """The ids whose bags of rows differ, by descent: the blocks of each level that differ, then the ids in those of the last. None once nothing differs.
 
     Up to the last level a block is one sum of hashes, combined before the shuffle. Of the rows below, id and hash are shuffled.
     """
@@ -137,19 +140,24 @@ def _unequal_ids(source: DataFrame, target: DataFrame, typed: list, levels: tupl
     for bits in levels:
         sums = [block_digests(rows(k), "id", _line(typed, prefix, k + 1), bits).select("block", F.col("hash").alias(f"{prefix}_hash")) for k, prefix in enumerate("st")]
         unequal = sums[0].join(sums[1], "block", "full_outer").filter(~F.col("s_hash").eqNullSafe(F.col("t_hash"))).select("block")
-        above.append((bits, written(unequal)))
+        unequal, n = _few(unequal)
+        if not n:
+            return None, 0
+        above.append((bits, unequal))
     both = None
     for k, prefix in enumerate("st"):
         one = rows(k).select("id", _hash(typed, prefix, k + 1).alias("row"), F.lit(1 - 2 * k).alias("n"))
         both = one if both is None else both.unionByName(one)
     left = both.groupBy("id", "row").agg(F.sum("n").alias("n")).filter("n <> 0")
-    return written(left.select("id").distinct())
+    return _few(left.select(F.col("id").alias("at")).distinct())
 
 
 def _descend(left: DataFrame, right: DataFrame, id: str, levels: tuple[int, ...]) -> DataFrame:
     source, target, typed = _sides(left, right, id)
-    ids = _unequal_ids(source, target, typed, levels)
-    late = [_within(side.filter("id IS NOT NULL"), F.col("id"), ids.withColumnRenamed("id", "at"), "at") for side in (source, target)]
+    ids, n = _unequal_ids(source, target, typed, levels)
+    if not n:
+        return _without_id(source, target)
+    late = [_within(side.filter("id IS NOT NULL"), F.col("id"), ids, "at") for side in (source, target)]
     return _compare(*late, typed).unionByName(_without_id(source, target))
 
 
