@@ -85,3 +85,14 @@ def test_timestamps_are_seconds(spark):
     for cutoff, gone in ((1705363200, 0), (1705363201, 1)):
         assert df.filter(expired(df, "t", cutoff)).count() == gone
         assert df.filter(kept(df, "t", cutoff)).count() == 3 - gone
+
+
+def test_latest_state_by_numbers(spark):
+    from logtide.operators.changelog import latest_state
+    rows = [("a", 1, "x", 5, {"k": 1}), ("a", 2, None, 6, None), ("a", 3, "y", None, None), ("b", 9, None, None, None), (None, 1, "n", None, {"z": 0}), (None, 2, None, 8, None)]
+    df = spark.createDataFrame(rows, "key string, seq bigint, `v.1` string, n int, m map<string,int>")
+    got = {r[0]: tuple(r)[1:] for r in latest_state(df, "key", "seq").collect()}
+    assert got == {"a": ("y", 6, {"k": 1}), "b": (None, None, None), None: ("n", 8, {"z": 0})}
+    shown = latest_state(df, "key", "seq", shown_with="v.1")
+    assert {r[0] for r in shown.collect()} == {"a", None}
+    assert "SortAggregate" not in shown._jdf.queryExecution().executedPlan().toString()
