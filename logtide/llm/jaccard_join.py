@@ -378,8 +378,11 @@ def partners(cell: pa.Table, percent: int, before: list[np.ndarray], same=None)
             yield int(i), j
 
 
-def suspects(rows: DataFrame, percent: int) -> DataFrame:
-    """(h, a): the rows (h, size, a, pos, root, parts, before) that are some row's partners; `before`: the prefix up to the row's shingle."""
+def suspects(rows: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """(h, a): the rows (h, size, a, pos, root) that are some row's partners; `told` has the parts and the prefix of each a.
+
+    Rows are dealt over cells before anything large is joined to them.
+    """
     def function(cell):
         found = np.zeros(cell.num_rows, bool)
         before = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("before")]
@@ -387,11 +390,12 @@ def suspects(rows: DataFrame, percent: int) -> DataFrame:
             found[i] = found[j] = True
         if found.any():
             yield cell.select(["h", "a"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
-    return in_cells(dealt(rows, "1", CELL_ROWS, percent), ["size", "a", "pos", "root", "parts", "before"], function, "h long, a long")
+    cells = dealt(rows, "1", CELL_ROWS, percent).join(told, "a").withColumn("before", F.expr("substring(prefix, 1, cast(8 * pos as int))"))
+    return in_cells(cells, ["size", "a", "pos", "root", "parts", "before"], function, "h long, a long")
 
 
-def joined(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among rows with sets (h, size, a, pos, root, parts, values), as a forest for each cell."""
+def joined(rows: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows (h, size, a, pos, root), as a forest for each cell; `told` has the parts and the set (`values`) of each a."""
     def function(cell):
         top: dict[int, int] = {}
 
@@ -413,7 +417,7 @@ def joined(rows: DataFrame, percent: int) -> DataFrame:
                     out.append((keys[i], keys[j]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-    return in_cells(dealt(rows, "8 * size", CELL_BYTES, percent), ["size", "a", "pos", "root", "parts", "values"], function, "a long, b long")
+    return in_cells(dealt(rows, "8 * size", CELL_BYTES, percent).join(told, "a"), ["size", "a", "pos", "root", "parts", "values"], function, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -452,13 +456,11 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75)
     several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     rows = kept(rows.join(several, "h", "left_semi"))
     named = lambda df: kept(df.select(F.col("a").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"))
-    wanted = named(rows)
-    told = classes.join(sets_of(wanted, docs, counts, n, percent), "key").select(F.col("key").alias("a"), "parts", "values")
-    told = rows.join(told, "a").select(*rows.columns, "parts", F.expr("substring(values, 1, cast(8 * pos as int))").alias("before"))
-    some = kept(rows.join(suspects(told, percent).distinct(), ["h", "a"], "left_semi").join(classes.select(F.col("key").alias("a"), "parts"), "a"))
+    parts = classes.select(F.col("key").alias("a"), "parts")
+    sets = lambda df, part=None: parts.join(sets_of(named(df), docs, counts, n, part).withColumnRenamed("key", "a"), "a")
+    some = kept(rows.join(suspects(rows, sets(rows, percent).withColumnRenamed("values", "prefix"), percent).distinct(), ["h", "a"], "left_semi"))
     if not some.isEmpty():
-        sets = kept(sets_of(named(some), docs, counts, n))
-        links = links.union(kept(joined(some.join(sets.withColumnRenamed("key", "a"), "a"), percent)))
+        links = links.union(kept(joined(some, sets(some), percent)))
         first = components(links)
     least = classes.join(first, "key").groupBy("root").agg(F.min("doc_id").alias("component"))
     named = kept(first.join(least, "root").select("key", "root", "component"))

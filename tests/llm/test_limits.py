@@ -142,8 +142,8 @@ def test_what_leaves_a_group_does_not_grow_with_its_square(spark):
         seen = []
         watched, joins = jaccard_join.suspects, jaccard_join.joined
         try:
-            jaccard_join.suspects = lambda rows, percent: seen.append((rows.count(), (found := watched(rows, percent)).count())) or found
-            jaccard_join.joined = lambda rows, percent: seen.append((rows.count(), (found := joins(rows, percent)).count())) or found
+            jaccard_join.suspects = lambda rows, *told: seen.append((rows.count(), (found := watched(rows, *told)).count())) or found
+            jaccard_join.joined = lambda rows, *told: seen.append((rows.count(), (found := joins(rows, *told)).count())) or found
             assert jaccard_join.near_copies(spark, docs).where("component_id <> doc_id").count() == 0
         finally:
             jaccard_join.suspects, jaccard_join.joined = watched, joins
