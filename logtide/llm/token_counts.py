@@ -33,6 +33,8 @@ from logtide.llm.common import kept
 FREQUENT, LONGEST = 1 << 17, 64
 #: Entries of a task's tables before they are handed on or begun anew.
 ENTRIES = 300_000
+#: Characters of texts whose chunks a task holds at most before it hands them on: chunks may be whole texts.
+HELD_CHARS = 16 << 20
 #: Tokens of a text beyond which it is over the limit.
 LIMIT = 1024
 
@@ -82,6 +84,8 @@ class Cutter:
 
 def vocabulary(docs: DataFrame, definition) -> DataFrame:
     """Every distinct pre-token: (token, times, pieces)."""
+    most = HELD_CHARS
+
     def counted(batches):
         cutter, total = Cutter(definition.value), Counter()
         def out():
@@ -90,13 +94,16 @@ def vocabulary(docs: DataFrame, definition) -> DataFrame:
                 for token in cutter.cut(chunk):
                     tokens[token] += times
             return pa.RecordBatch.from_arrays([pa.array(tokens.keys(), pa.string()), pa.array(tokens.values(), pa.int64())], ["token", "times"])
+        held = 0
         for batch in batches:
             for text in batch.column("text"):
                 if text := text.as_py():
                     total.update(cutter.chunks(text)[0])
-                    if len(total) > ENTRIES:
+                    held += len(text)
+                    if len(total) > ENTRIES or held > most:
                         yield out()
                         total.clear()
+                        held = 0
         yield out()
 
     def measured(batches):

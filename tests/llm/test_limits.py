@@ -88,6 +88,22 @@ def test_sets_of_queries_are_searched_one_after_the_other(spark, monkeypatch):
     assert few == sorted(map(tuple, topk_search.top_k(spark, df, 3, 2).collect())) and len(few) == 80
 
 
+def test_indented_texts_are_handed_on_by_their_size(spark, monkeypatch):
+    """A text with white space in a row is one chunk; a task hands its chunks on by their size, and counts stay right."""
+    import tokenizers
+    from logtide.llm import token_counts
+    from logtide.llm.queries import tokenizer_path
+    rng = random.Random(9)
+    rows = [(i, "\n".join("    " * rng.randint(1, 3) + f"x{i} = {rng.randint(0, 99)}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    for held in (1000, token_counts.HELD_CHARS):
+        monkeypatch.setattr(token_counts, "HELD_CHARS", held)
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark, docs, path).collect()} == want
+
+
 # near copies ----------------------------------------------------------------
 
 def sharing(rng, rows, shared, own):
