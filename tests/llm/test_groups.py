@@ -240,6 +240,19 @@ def test_phrases_against_brute_force(spark, monkeypatch, shards, bits):
     assert some.count() == 0
 
 
+def test_phrases_that_no_task_alone_counts_often(spark):
+    """The triples begin in a cycle's last step and reach the threshold only with the next one's first, after which no new bit is set."""
+    made = spark.createDataFrame([(i, t) for i in range(3000) for t in ("w x", "x y", "y z", "w x y z")], "doc_id long, text string")
+    parts = defaultdict(list)
+    for row in made.select("doc_id", "text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(co.SHARDS * co.PARTS)).alias("part")).collect():
+        parts[row.part, row.text].append(row.doc_id)
+    dealt = [((0, "w x"), 35), ((0, "x y"), 35), ((0, "y z"), 35), ((0, "w x y z"), 20), ((1, "w x y z"), 20)]
+    rows = [(i, key[1], "en") for key, n in dealt for i in parts[key][:n]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = sorted(tuple(r) for r in co.collocations(spark, docs).collect())
+    assert got == brute_phrases(rows, 30) and "w x y z" in [r[2] for r in got]
+
+
 def test_phrases_of_a_very_long_text(spark):
     rng = random.Random(9)
     rows = [(1, " ".join(rng.choice(("one", "two", "three", "four.", "five")) for _ in range(60_000)), "en"), (2, "q" * 500_000, "en")]
