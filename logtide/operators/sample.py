@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -99,8 +101,11 @@ def in_ranges(df: DataFrame, id: str, ranges: DataFrame | Ranges) -> DataFrame:
 
 
 def literal_ranges(id: str, ranges: list[tuple[int, int]]) -> Column:
-    """A few ranges as a predicate that prunes row groups."""
-    test = F.lit(False)
-    for lo, hi in ranges:
-        test = test | F.col(id).between(lo, hi)
-    return test
+    """Hundreds of ranges at most as a predicate that prunes row groups.
+
+    Tests are joined by pairs: the planner goes down a predicate by recursion, and one as deep as there are ranges overflows its stack.
+    """
+    tests = [F.col(id).between(lo, hi) for lo, hi in ranges] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [reduce(or_, tests[k:k + 2]) for k in range(0, len(tests), 2)]
+    return tests[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators.diff import diff_full, diff_sample
-from logtide.operators.sample import sample_plan, sample_ranges
+from logtide.operators.sample import literal_ranges, sample_plan, sample_ranges
 from logtide.session import written
 from logtide.sources import zones
 from logtide.sources.zones import Span, diff_sample_stored, files_of, read_ranges, read_spans, spans_of, write_zoned, write_zones
@@ -100,3 +100,10 @@ def test_a_sample_reads_less(spark, stored):
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, found["a"]), key=str)
     unordered = diff_sample_stored(spark, stored["shuffled"], stored["copy"], "rowid", ranges).collect()
     assert sorted(map(tuple, unordered), key=str) == sorted(map(tuple, found["a"]), key=str)
+
+
+def test_a_predicate_of_many_ranges_is_planned(spark):
+    ranges = [(k * 10, k * 10 + 3) for k in range(1_000)]
+    rows = spark.range(20_000).filter(literal_ranges("id", ranges)).filter(literal_ranges("id", ranges))
+    assert rows.count() == 4_000
+    assert spark.range(5).filter(literal_ranges("id", [])).count() == 0
