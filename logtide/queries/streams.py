@@ -8,13 +8,16 @@ from logtide.plans.ledger import LedgerTable
 from logtide.queries.purging import NOW
 from logtide.queries.registry import query, table, work_dir
 from logtide.queries.routing import DEFAULT, ROUTED, ROUTES
+from logtide.sources.files import folders
 from logtide.streaming.jobs import catch_up, catch_up_with_ids, dedupe_exact, dedupe_late, live_policy, run_to_end, to_parquet
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's file as a stream."""
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream: its one file, or the files of its folder."""
+    reader, file = spark.readStream.schema(table(spark, folder, name).schema), f"{name}.parquet"
+    if file in folders(spark, folder):
+        return reader.parquet(f"{folder}/{file}")
+    return reader.option("pathGlobFilter", file).parquet(folder)
 
 
 @query("stream_catch_up", """SELECT event_id, event_type, user_id FROM events

@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators.routing import Route
+from logtide.queries import QUERIES
 from logtide.streaming.jobs import catch_up, dedupe_late, future_rows, live_policy, run_to_end, to_parquet
 
 NOW = 1_705_363_200
@@ -48,3 +50,16 @@ def test_live_policy_equals_batch(spark, tmp_path):
     batch = live_policy(spark.read.parquet(folder), "url", routes, "BLOCK", "ts", NOW - 1000).select("rowid", "action")
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == sorted(tuple(r) for r in batch.collect()) == [(1, "PASSTHROUGH"), (2, "BLOCK")]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_and_of_a_folder_are_streamed(spark, tmp_path, files):
+    pages = [(i, f"https://h{i}.example/p", "") for i in range(6)]
+    made = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    if files == 1:
+        made.coalesce(1).write.parquet(str(tmp_path / "made"))
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    else:
+        made.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    found = QUERIES["stream_route"](spark, str(tmp_path))
+    assert sorted(r.page_id for r in found.collect()) == list(range(6))
