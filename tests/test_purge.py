@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.retention import retention
 from logtide.operators.changelog import latest_state
+from logtide.operators.links import purge_unreferenced, unreferenced
 from logtide.operators.retention import (partition_retention, purge_by_policy, purge_expired, purge_range_plan,
                                          purge_walked, removed_rows)
 from logtide.plans.purge import LinkGraph, month_class, purge_cascade, retain_partitions
@@ -235,3 +236,15 @@ def test_settled_cascade_is_the_same(spark, ids):
     lost = sum(df.count() - purge.tables[name].count() for name, df in seed(spark).items())
     assert state(purge, ids) == expected() and sum(r["removed"] for r in purge.report().collect()) == lost
     assert steps == ["entity", "block", "entity_spawn", "entity_interaction", "entity_container", "entity_spawn"]
+
+
+def test_the_keys_of_all_children_are_made_distinct_once(spark):
+    """Each further table of distinct keys holds as many rows in one task."""
+    hub = spark.range(6).select(F.col("id").alias("rowid"), F.lit(CUTOFF - 1).alias("time"))
+    children = [(spark.createDataFrame([(1,), (1,), (None,)], "a bigint"), "a"), (spark.createDataFrame([(1,), (4,)], "b int"), "b")]
+    spared = purge_unreferenced(hub, "rowid", children, F.lit(True), "time", CUTOFF)
+    gone = unreferenced(hub, "rowid", children, F.lit(True), "time", CUTOFF)
+    for rows, want in ((spared, [1, 4]), (gone, [0, 2, 3, 5])):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+        assert sorted(r.rowid for r in rows.collect()) == want
+    assert unreferenced(hub, "rowid", [], F.lit(True), "time", CUTOFF).count() == 6
