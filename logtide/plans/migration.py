@@ -163,8 +163,13 @@ def migrate(spark: SparkSession, sources: dict[str, DataFrame], ids: dict[str, s
             return True
         return not validate(sources[plan.name], store.read(spark, plan.name), plan, codecs=(codecs or {}).get(plan.name), policy=policy).isEmpty()
 
+    def differing_of(some: list[TablePlan]) -> list[str]:
+        """Names of the tables that differ; several are compared at the same time, as they are copied."""
+        with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+            return [p.name for p, found in zip(some, pool.map(differs, some)) if found]
+
     earlier = [replace(p, sampled=False) for p in plans if p not in pending]
-    stale = {p.name for p in earlier if differs(p)}
+    stale = set(differing_of(earlier))
     pending += [p for p in plans if p.name in stale]
     for plan in pending:
         if ledger[plan.name]:
@@ -182,7 +187,7 @@ def migrate(spark: SparkSession, sources: dict[str, DataFrame], ids: dict[str, s
     verdicts = stats_verdict(now, now, there)
     wrong = [r["table"] for r in verdicts.filter("verdict <> 'ok'").collect()]
     compared = [p for p in plans if p in pending] + [p for p in earlier if p.name not in stale]
-    differing = [p.name for p in compared if p.name not in wrong and differs(p)]
+    differing = differing_of([p for p in compared if p.name not in wrong])
     if wrong or differing:
         raise MigrationRefused(f"the copy is not the source: {', '.join(wrong + differing)}")
     marks = {r["table"]: r["high_water"] for r in high_water(now, allocated).collect()}

@@ -245,3 +245,18 @@ def test_a_resumed_migration_carries_rejects_and_no_stale_rows(spark, tmp_path,
     assert found["chat"]["rejects"] == 1 and found["block"]["rejects"] == 0
     assert {r["rowid"]: r["message"] for r in open_published(spark, root, "chat").collect()} == {1: "<tab\there", 2: "''", 3: "<", 4: None, 5: "<名前🙂"}
     assert sorted(r["Data"] for r in open_published(spark, root, "block").collect()) == [1 - 2**31, 6, 8]
+
+
+def test_a_migration_compares_tables_at_the_same_time(spark, tmp_path, monkeypatch):
+    import threading
+
+    from logtide.plans import migration
+    both, compare = threading.Barrier(2), migration.validate
+    met = []
+
+    def meeting(*a, **b):
+        if not met:
+            met.append(both.wait(60))
+        return compare(*a, **b)
+    monkeypatch.setattr(migration, "validate", meeting)
+    assert {r["verdict"] for r in migration.migrate(spark, source(spark), {}, str(tmp_path), "v1").collect()} == {"ok"}
