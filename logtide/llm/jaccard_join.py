@@ -9,13 +9,14 @@ within their prefixes, so the join is on prefix shingles.
 2. `prefixes`: (shingle, class, size, position), for the prefix alone.
 3. `stars`: the rows of a shingle pass in a stream. Few classes are all paired; of more, each is paired with some of its
    length that lead them, so that pairs grow with the rows, whatever the size of the group. Verified pairs give first components.
-4. `suspects`: the rows of the other shingles that the length, positional and suffix filters admit with a row of another
-   component, at the first shingle that both share. Pairs do not leave the task, only the rows; a large group is dealt over tasks by cells (`dealt`).
-5. `joined`: these rows with their sets. A pair is verified where it is, and only if no link has joined its components before; what leaves is a
+4. `unjoined`: the rows of the other shingles that are in more than one component; of shingles with the same classes, one stands for all.
+5. `suspects`: of these the rows that the length, positional and suffix filters admit with a row of another component, at the first
+   shingle that both share. Pairs do not leave the task, only the rows; a large group is dealt over tasks by cells (`dealt`).
+6. `joined`: these rows with their sets. A pair is verified where it is, and only if no link has joined its components before; what leaves is a
    forest of links.
 
-Sets are made from texts in the scan: a table of bits of fixed size lets the few texts that are needed pass, so texts are
-not shuffled. Rows without an id take no part and have no component; a text without words is empty, with links to nothing.
+Sets are made from texts in the scan: a table of bits of fixed size lets the few texts that are needed pass. Only their sets are
+shuffled, as compressed texts where that is shorter (`packed`). Rows without an id take no part and have no component; a text without words is empty, with links to nothing.
 Rows that share an id are told apart by their sets, and carry the id each. A text of any length is one row: its set takes
 eight bytes a shingle. An empty table has no rows. Extra columns are ignored.
 """
@@ -27,10 +28,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import empty_table, flat, has, kept, slices, with_bits
+from logtide.llm.common import CHUNK_BYTES, empty_table, flat, has, kept, slices, with_bits
 from logtide.llm.words import NOT_SPACE, mixed, shingles, words
 
 #: Slots of the shingle counts that give the order: fixed, so their size is bounded (8 MB).
@@ -43,6 +44,8 @@ PARTS = 256
 LEADERS = 4
 #: Rows, and bytes of sets, of one shingle that are compared in one task; of more, the group is dealt over cells.
 CELL_ROWS, CELL_BYTES = 1 << 14, 16 << 20
+#: Shingles of a row's class just before its own that are remembered with it, to leave out pairs that were taken there.
+REMEMBERED_BEFORE = 16
 #: Partners of a set that are verified in one task.
 PARTNERS = 1000
 #: Set keys that a task remembers to leave out copies early; later ones leave in the join.
@@ -68,6 +71,41 @@ def set_key(values: np.ndarray) -> np.int64:
     return mixed(mixed(values ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(values))).view(np.int64)[0]
 
 
+def part_sizes(found: list[np.ndarray]) -> np.ndarray:
+    """A row of part sizes for each set, 255 at most."""
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    joined = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    cells = np.bincount(owner * PARTS + (joined >> np.uint64(56)).astype(np.int64), minlength=len(found) * PARTS)
+    return np.minimum(cells, 255).astype(np.uint8).reshape(-1, PARTS)
+
+
+def packed(text: bytes, values: np.ndarray) -> bytes:
+    """What a set travels as: its text, compressed, after the text's length; or 0 and the set, where that is shorter."""
+    short = pa.compress(text, codec="zstd", asbytes=True)
+    return len(text).to_bytes(8, "little") + short if len(short) < values.nbytes else bytes(8) + values.tobytes()
+
+
+def unpacked(column, n: int) -> Iterator[np.ndarray]:
+    """The sets of a column of `packed` ones, in order; texts are cut to shingles some MB at a time."""
+    held, size = [], 0
+
+    def cut():
+        texts = [x for x in held if isinstance(x, bytes)]
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in texts], dtype=np.int64)))
+        found = iter(shingles(words(np.frombuffer(b"".join(texts), np.uint8), offsets, NOT_SPACE), n))
+        for x in held:
+            yield next(found) if isinstance(x, bytes) else x
+    for value in column:
+        value = value.as_py()
+        length, rest = int.from_bytes(value[:8], "little"), value[8:]
+        held.append(pa.decompress(rest, length, codec="zstd", asbytes=True) if length else np.frombuffer(rest, np.uint64))
+        size += length
+        if size > CHUNK_BYTES:
+            yield from cut()
+            held, size = [], 0
+    yield from cut()
+
+
 def read(docs: DataFrame, n: int) -> DataFrame:
     """A row for each text; for each task, its counts of shingle slots in blocks."""
     def function(batches):
@@ -77,13 +115,9 @@ def read(docs: DataFrame, n: int) -> DataFrame:
                 joined = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 np.add.at(counts, (joined & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 rows = len(found)
-                sizes = np.array([len(x) for x in found], np.int64)
-                owner = np.repeat(np.arange(rows), sizes)
-                cells = np.bincount(owner * PARTS + (joined >> np.uint64(56)).astype(np.int64), minlength=rows * PARTS)
-                parts = np.minimum(cells, 255).astype(np.uint8).reshape(rows, PARTS)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes), pa.array([set_key(x) for x in found], pa.int64()),
-                    pa.array([x.tobytes() for x in parts], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                    part.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([set_key(x) for x in found], pa.int64()),
+                    pa.array([x.tobytes() for x in part_sizes(found)], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                     ["doc_id", "size", "key", "parts", "block", "counts"])
         blocks = SLOTS // SLOT_BLOCK
         yield pa.RecordBatch.from_arrays([
@@ -244,18 +278,17 @@ def with_keys(part: pa.RecordBatch, table: np.ndarray, n: int) -> tuple[np.ndarr
     return place[ok], keys[ok], [x for x, yes in zip(found, ok.tolist()) if yes]
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, counts, n: int, percent: int | None = None) -> DataFrame:
-    """(key, values): the sets of the wanted (doc_id, key), rare shingles first, or with `percent` their prefixes. A few others may be among them."""
+def sets_of(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(key, values): the sets of the wanted (doc_id, key), as `packed`. A few others may be among them."""
     table = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def function(batches):
-        order = counts.value
         for batch in batches:
             for part in slices(batch):
-                _, keys, found = with_keys(part, table.value, n)
-                rare = [x[np.argsort(order[(x & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")[:None if percent is None else prefix_length(len(x), percent)]] for x in found]
-                if rare:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in rare], pa.binary())], ["key", "values"])
+                place, keys, found = with_keys(part, table.value, n)
+                if len(keys):
+                    texts = part.column("text").take(pa.array(place)).fill_null("").cast(pa.binary()).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([packed(*x) for x in zip(texts, found)], pa.binary())], ["key", "values"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(function, "key long, values binary").dropDuplicates(["key"])
 
 
@@ -264,7 +297,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked ones among distinct pairs (a, size_a, b, size_b). Each b meets the set of its a in a stream; an a with many is dealt over tasks."""
     def near(batches):
         for batch in batches:
@@ -278,10 +311,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, counts, n: i
         here, held = None, None
         for batch in batches:
             out = []
-            for a, b, values in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("values")):
-                values = np.frombuffer(values.as_buffer(), np.uint64)
+            for a, b, values in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), unpacked(batch.column("values"), n)):
                 if b is None:
-                    here, held = a, values.copy()
+                    here, held = a, values
                 elif a == here and linked(held, values, percent):
                     out.append((a, b))
             if out:
@@ -291,11 +323,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, counts, n: i
     left = kept(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "size_a", "b", "size_b", "parts_a", "parts_b")
                 .mapInArrow(near, "a long, b long"))
     wanted = left.select(F.col("a").alias("key")).union(left.select("b")).distinct().join(classes.select("key", "doc_id"), "key")
-    sets = kept(sets_of(kept(wanted), docs, counts, n))
     deals = left.groupBy("a").agg(F.expr(f"count(*) div {PARTNERS} + 1").alias("deals"))
-    leaders = deals.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "values", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-    others = left.join(deals, "a").join(sets.withColumnRenamed("key", "b"), "b").select("a", "b", "values", F.pmod(F.xxhash64("b"), "deals").alias("deal"))
-    rows = leaders.union(others).repartition("a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
+    leaders = deals.select(F.col("a").alias("key"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    others = left.join(deals, "a").select(F.col("b").alias("key"), "a", "b", F.pmod(F.xxhash64("b"), "deals").alias("deal"))
+    rows = leaders.union(others).join(sets_of(kept(wanted), docs, n), "key").repartition("a", "deal").sortWithinPartitions("a", "deal", F.asc_nulls_first("b"))
     return kept(rows.select("a", "b", "values").mapInArrow(met, "a long, b long"))
 
 
@@ -355,14 +386,14 @@ def earlier(before: list[np.ndarray], i: int, j: np.ndarray) -> np.ndarray:
     return total[ends] > total[ends - sizes]
 
 
-def partners(cell: pa.Table, percent: int, before: list[np.ndarray], same=None) -> Iterator[tuple[int, np.ndarray]]:
+def partners(cell: pa.Table, percent: int, parts, same=None) -> Iterator[tuple[int, np.ndarray]]:
     """Each row outside the most frequent component with the later ones, or those of it, that all filters admit in another component,
-    where this is the first shingle that both share. `before`: each row's shingles before the cell's own."""
+    where neither remembers an earlier shingle that both share. `parts`() has the rows' part sizes."""
     side, size, key, pos, root = (cell.column(x).to_numpy() for x in ("side", "size", "a", "pos", "root"))
     roots, where, many = np.unique(root, return_inverse=True, return_counts=True)
     if len(roots) < 2:
         return
-    parts = np.frombuffer(b"".join(cell.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
+    parts, before = parts(), [np.array(x, np.int64) for x in cell.column("before").to_pylist()]
     outside = where != many.argmax()
     for i in np.flatnonzero(outside):
         ok = admitted(size[i], pos[i], size, pos, percent) & (root != root[i]) & ((side != side[i]) | (side[i] == 0))
@@ -378,24 +409,36 @@ def partners(cell: pa.Table, percent: int, before: list[np.ndarray], same=None)
             yield int(i), j
 
 
+def unjoined(rows: DataFrame) -> DataFrame:
+    """The rows (h, size, a, pos, root) of shingles in more than one component, with the shingles `before` their own in the class's prefix.
+
+    What two sets share is bounded at any shingle of both, so of shingles with the same classes one stands for all. The others are in nobody's
+    `before`, and neither are shingles of which all pairs were taken: a pair is taken at the first shingle of these rows that both share.
+    Only the last ones are remembered, so rows stay small; a pair may be taken once more where more lie between.
+    """
+    shared = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
+                                   F.bit_xor(F.xxhash64("a")).alias("x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y")).where("low <> high")
+    one = shared.groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h")
+    last = Window.partitionBy("a").orderBy("pos").rowsBetween(-REMEMBERED_BEFORE, -1)
+    return rows.join(one, "h", "left_semi").withColumn("before", F.collect_list("h").over(last))
+
+
 def suspects(rows: DataFrame, told: DataFrame, percent: int) -> DataFrame:
-    """(h, a): the rows (h, size, a, pos, root) that are some row's partners; `told` has the parts and the prefix of each a.
+    """(h, a): the rows of `unjoined` that are some row's partners; `told` has the parts of each a.
 
     Rows are dealt over cells before anything large is joined to them.
     """
     def function(cell):
         found = np.zeros(cell.num_rows, bool)
-        before = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("before")]
-        for i, j in partners(cell, percent, before):
+        for i, j in partners(cell, percent, lambda: np.frombuffer(b"".join(cell.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)):
             found[i] = found[j] = True
         if found.any():
             yield cell.select(["h", "a"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
-    cells = dealt(rows, "1", CELL_ROWS, percent).join(told, "a").withColumn("before", F.expr("substring(prefix, 1, cast(8 * pos as int))"))
-    return in_cells(cells, ["size", "a", "pos", "root", "parts", "before"], function, "h long, a long")
+    return in_cells(dealt(rows, "1", CELL_ROWS, percent).join(told, "a"), ["size", "a", "pos", "root", "before", "parts"], function, "h long, a long")
 
 
-def joined(rows: DataFrame, told: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among rows (h, size, a, pos, root), as a forest for each cell; `told` has the parts and the set (`values`) of each a."""
+def joined(rows: DataFrame, told: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) among rows of `unjoined`, as a forest for each cell; `told` has the set (`values`) of each a."""
     def function(cell):
         top: dict[int, int] = {}
 
@@ -404,11 +447,10 @@ def joined(rows: DataFrame, told: DataFrame, percent: int) -> DataFrame:
                 top[x] = top.get(up, up)
                 x = up
             return x
-        keys, pos, root = (cell.column(x).to_pylist() for x in ("a", "pos", "root"))
-        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("values")]
+        keys, root = (cell.column(x).to_pylist() for x in ("a", "root"))
+        values = list(unpacked(cell.column("values"), n))
         out = []
-        before = [x[:p] for x, p in zip(values, pos)]
-        for i, near in partners(cell, percent, before, lambda x, y: find(int(x)) == find(int(y))):
+        for i, near in partners(cell, percent, lambda: part_sizes(values), lambda x, y: find(int(x)) == find(int(y))):
             for j in near.tolist():
                 if find(root[i]) == find(root[j]):
                     continue  # joined meanwhile
@@ -417,7 +459,7 @@ def joined(rows: DataFrame, told: DataFrame, percent: int) -> DataFrame:
                     out.append((keys[i], keys[j]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-    return in_cells(dealt(rows, "8 * size", CELL_BYTES, percent).join(told, "a"), ["size", "a", "pos", "root", "parts", "values"], function, "a long, b long")
+    return in_cells(dealt(rows, "8 * size", CELL_BYTES, percent).join(told, "a"), ["size", "a", "pos", "root", "before", "values"], function, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -449,18 +491,15 @@ def groups(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75)
     classes = kept(every.where("doc_id is not null and size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts")))
     found = kept(stars(prefixes(docs, counts, n, percent), percent))
     tried = found.where("b is not null").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    links = verified(tried, classes, docs, counts, n, percent)
+    links = verified(tried, classes, docs, n, percent)
     first = components(links)
     rows = found.where("b is null").select("h", F.col("size_a").alias("size"), "a", "pos")
     rows = rows.join(first.select(F.col("key").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    rows = kept(rows.join(several, "h", "left_semi"))
-    named = lambda df: kept(df.select(F.col("a").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"))
-    parts = classes.select(F.col("key").alias("a"), "parts")
-    sets = lambda df, part=None: parts.join(sets_of(named(df), docs, counts, n, part).withColumnRenamed("key", "a"), "a")
-    some = kept(rows.join(suspects(rows, sets(rows, percent).withColumnRenamed("values", "prefix"), percent).distinct(), ["h", "a"], "left_semi"))
+    rows = kept(unjoined(rows))
+    some = kept(rows.join(suspects(rows, classes.select(F.col("key").alias("a"), "parts"), percent).distinct(), ["h", "a"], "left_semi"))
     if not some.isEmpty():
-        links = links.union(kept(joined(some, sets(some), percent)))
+        named = kept(some.select(F.col("a").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"))
+        links = links.union(kept(joined(some, sets_of(named, docs, n).withColumnRenamed("key", "a"), n, percent)))
         first = components(links)
     least = classes.join(first, "key").groupBy("root").agg(F.min("doc_id").alias("component"))
     named = kept(first.join(least, "root").select("key", "root", "component"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,51 @@ def test_what_leaves_a_group_does_not_grow_with_its_square(spark):
         assert out[160][0][1] <= 6 * out[40][0][1]
 
 
+def test_sets_travel_as_the_shorter_of_text_and_set():
+    """Prose as its compressed text, well under eight bytes a shingle; a text of few distinct shingles as these."""
+    rng = random.Random(3)
+    prose = [" ".join(rng.choice(["Alpha", "bEta", "gamma", "delta", "\u00e9psilon", "zeta\n"]) + str(rng.randrange(50)) for _ in range(400)) for _ in range(40)]
+    texts = [*prose, "", "one two", " ".join(rng.choice("abcdefgh") * 40 for _ in range(7)), "x " * 30_000, None, *prose[:3]]
+    sets = [jaccard_join.shingles(jaccard_join.words(*jaccard_join.flat(pa.array([x])), jaccard_join.NOT_SPACE), 5)[0] for x in texts]
+    sent = [jaccard_join.packed((x or "").encode(), y) for x, y in zip(texts, sets)]
+    assert all(len(x) <= y.nbytes + 8 for x, y in zip(sent, sets)) and 2 * sum(map(len, sent[:40])) < sum(y.nbytes for y in sets[:40])
+    for size in (1, 5000, 2 << 20):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(jaccard_join, "CHUNK_BYTES", size)
+            got = list(jaccard_join.unpacked(pa.chunked_array([pa.array(sent[:7], pa.binary()), pa.array(sent[7:], pa.binary())]), 5))
+        assert len(got) == len(sets) and all(a.tolist() == b.tolist() for a, b in zip(got, sets))
+
+
+def test_shingles_of_the_same_classes_are_one(spark):
+    """Thirty shingles of one passage leave a row a class, not thirty; shingles of one component none; few are remembered."""
+    rows = [(h, 100, a, 5 + h, a) for h in range(30) for a in range(8)] + [(50, 100, a, 60, a) for a in range(5)]
+    rows += [(60, 100, a, 70, 1) for a in range(9)] + [(100 + h, 100, a, 100 + h, a) for h in range(40) for a in (7, 100 + h)]
+    out = jaccard_join.unjoined(spark.createDataFrame(rows, "h long, size long, a long, pos long, root long")).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.h, {})[r.a] = r.before
+    passage = next(h for h in by if h < 30)
+    assert sorted(by) == [passage, 50, *range(100, 140)] and set(by[passage]) == set(range(8)) and set(by[50]) == set(range(5))
+    assert by[50][0] == [passage] and by[139][7] == list(range(139 - jaccard_join.REMEMBERED_BEFORE, 139)) and by[139][139] == []
+
+
+@pytest.mark.parametrize("remembered", [0, 1, 16])
+def test_links_of_groups_that_share_several_passages(spark, monkeypatch, remembered):
+    """However few earlier shingles a row remembers, no pair is left out: passages overlap in part, in all and not at all."""
+    monkeypatch.setattr(jaccard_join, "REMEMBERED_BEFORE", remembered)
+    rng = random.Random(8)
+    parts = [[f"p{k}_{i}" for i in range(14)] for k in range(5)]
+    rows = []
+    for k in range(70):
+        shared = [x for part in rng.sample(parts, rng.randint(1, 4)) for x in part]
+        own = [f"o{k}_{i}" for i in range(rng.choice([1, 6, 20, 40]))]
+        rows.append((k, " ".join(own + shared if k % 2 else shared + own)))
+    rows += [(100 + k, rows[k][1] + f" t{k}") for k in range(0, 70, 6)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_join.near_copies(spark, docs).collect())) == brute(rows)
+
+
 def test_slot_counts_do_not_carry(spark):
     counts = np.full((jaccard_join.SLOTS // jaccard_join.SLOT_BLOCK, jaccard_join.SLOT_BLOCK), 65535, np.uint16)
     one = [(None, b, bytearray(counts[b].tobytes())) for b in range(2)]
