@@ -105,6 +105,30 @@ def test_indented_texts_are_handed_on_by_their_size(spark, monkeypatch):
         assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark, docs, path).collect()} == want
 
 
+def test_chunks_of_white_space_at_every_place():
+    """Texts are cut at every blank but where white space meets at one; a text of single blanks is told from others at the blanks alone."""
+    import time
+    from itertools import product
+    from logtide.llm.token_counts import Cutter
+    for length in range(7):
+        for letters in product(" \na\0", repeat=length):
+            text = "".join(letters)
+            meets = any(x == " " and (i == 0 or text[i - 1].isspace()) and (i + 1 == length or text[i + 1].isspace()) for i, x in enumerate(text))
+            blanks = [i for i, x in enumerate(text) if x == " " and i]
+            want = [text] if meets else [x for x in (text[a:b] for a, b in zip([0, *blanks], [*blanks, length])) if x]
+            assert (Cutter.chunks_of(text) == want) if text else Cutter.chunks_of(text) in ([], [""])
+    text = " ".join(["word"] * 400_000)
+
+    def took(work):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            times.append(time.process_time() - began)
+        return min(times)
+    assert took(lambda: Cutter.chunks_of(text)) < 6 * took(lambda: text.split(" "))  # 2.1 times; 9.6 before
+
+
 # near copies ----------------------------------------------------------------
 
 def sharing(rng, rows, shared, own):
