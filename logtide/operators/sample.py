@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +16,8 @@ RANGE_ROWS = 1_000
 
 #: Ranges up to this count (at most 32 bytes each, twice) are broadcast; more are joined by shuffle.
 BROADCAST_RANGES = 1_000_000
+#: Ranges of a predicate that are tested one by one, once their bounds hold.
+TESTED = 25
 
 
 def sample_plan(spark: SparkSession, row_count: int, seed: int = 0, window_rows: int = WINDOW_ROWS,
@@ -100,12 +100,35 @@ def in_ranges(df: DataFrame, id: str, ranges: DataFrame | Ranges) -> DataFrame:
             .drop("level", "cover", "range_hi"))
 
 
+def in_any_range(df: DataFrame, id: str, ready: Ranges) -> DataFrame:
+    """Rows whose id lies in any of the ranges, each once even where ranges overlap. One scan, no range join.
+
+    A block holds the few ranges that are longer than a 32nd of it, so each level's are looked up as a list.
+    """
+    rows, found, helpers = df, F.lit(False), []
+    for level in ready.levels:
+        helpers += (cover := f"_cover_{level}", held := f"_ranges_{level}")
+        lists = (ready.covers.filter(F.col("level") == level).groupBy(F.col("cover").alias(cover))
+                 .agg(F.collect_set(F.struct("range_lo", "range_hi")).alias(held)))
+        rows = (rows.withColumn(cover, F.shiftright(F.col(id).cast("bigint"), level))
+                .join(F.broadcast(lists) if ready.small else lists, cover, "left"))
+        inside = F.exists(held, lambda r: F.col(id).between(r["range_lo"], r["range_hi"]))
+        found = found | F.coalesce(inside, F.lit(False))
+    return rows.filter(found).drop(*helpers)
+
+
 def literal_ranges(id: str, ranges: list[tuple[int, int]]) -> Column:
     """Hundreds of ranges at most as a predicate that prunes row groups.
 
-    Tests are joined by pairs: the planner goes down a predicate by recursion, and one as deep as there are ranges overflows its stack.
+    A row is tested against the bounds of some ranges before it is tested against each of them. All is parsed as one text, as each column made
+    from here is several calls to the driver's JVM. The parser joins tests by pairs: the planner goes down a predicate by recursion, and one
+    as deep as there are ranges overflows its stack.
     """
-    tests = [F.col(id).between(lo, hi) for lo, hi in ranges] or [F.lit(False)]
-    while len(tests) > 1:
-        tests = [reduce(or_, tests[k:k + 2]) for k in range(0, len(tests), 2)]
-    return tests[0]
+    name = id if "`" in id else ".".join(f"`{part}`" for part in id.split("."))
+    known = sorted(tuple(r) for r in ranges if None not in tuple(r))
+    tests = []
+    for k in range(0, len(known), TESTED):
+        some = known[k:k + TESTED]
+        each = " OR ".join(f"({name} >= {lo} AND {name} <= {hi})" for lo, hi in some)
+        tests.append(each if len(some) == 1 else f"({name} >= {some[0][0]} AND {name} <= {max(hi for _, hi in some)} AND ({each}))")
+    return F.expr(" OR ".join(tests)) if tests else F.lit(False)

@@ -2,8 +2,9 @@
 
 A zone is a file's least and greatest id. A table that is written in id order has zones side by side, so a stretch of
 ranges concerns a few files; inside of them the ranges go to the scan as a predicate, and Parquet's own statistics skip
-row groups and pages. One scan spells out a bounded number of spans, and one read has a bounded number of scans. More
-ranges than that are first drawn together to spans, block by block of ids, and looked up exactly in what the spans let through.
+row groups and pages. One scan spells out a bounded number of spans, and one read has a bounded number of scans; several run one
+after the other. More ranges than that are first drawn together to spans, block by block of ids, and looked up exactly in what the
+spans let through.
 
 An unordered table has zones that overlap, so more files are read; the rows are the same. So they are without a zone map, or
 when files were added after it: files it does not know are always read.
@@ -12,13 +13,14 @@ when files were added after it: files it does not know are always read.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logtide.operators.diff import diff_sample
-from logtide.operators.sample import in_ranges, literal_ranges
+from logtide.operators.sample import in_any_range, in_ranges, literal_ranges, prepared
+from logtide.session import fits, work_dir, written
 from logtide.sources.files import exists
 from logtide.sources.scan import in_id_order, merged
 
@@ -93,30 +95,44 @@ def files_of(spark: SparkSession, path: str, groups: list[list[Span]]) -> list[l
     return out
 
 
-def read_spans(spark: SparkSession, path: str, id: str, spans: list[Span], columns: list[str] | None = None) -> DataFrame:
-    """Rows of a stored table whose id lies in one of the ascending spans."""
+def read_spans(spark: SparkSession, path: str, id: str, spans: list[Span], columns: list[str] | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """Rows of a stored table whose id lies in one of the ascending spans.
+
+    Spans that one scan spells out are read when the rows are. More are read scan by scan when called, into the shared folder: a plan of all
+    scans would hold every span several times over. `ranges` are those the spans were drawn from; of rows in no range none are written.
+    """
     whole = spark.read.parquet(path)
     picked = lambda df: df if columns is None else df.select(id, *[c for c in columns if c != id])
-    if not spans:
-        return picked(whole.filter(F.lit(False)))
     groups = [spans[k:k + SPELLED] for k in range(0, len(spans), SPELLED)]
-    out = None
-    for group, files in zip(groups, files_of(spark, path, groups)):
-        if files == []:
-            continue
+    scans = [(group, files) for group, files in zip(groups, files_of(spark, path, groups) if groups else []) if files != []]
+
+    def scan(group: list[Span], files: list[str] | None) -> DataFrame:
         source = whole if files is None else spark.read.schema(whole.schema).option("basePath", path).parquet(*files)
-        part = picked(source.filter(literal_ranges(id, [(s.lo, s.hi) for s in group])))
-        out = part if out is None else out.unionByName(part)
-    return picked(whole.filter(F.lit(False))) if out is None else out
+        return picked(source.filter(literal_ranges(id, [(s.lo, s.hi) for s in group])))
+
+    if not scans:
+        return picked(whole.filter(F.lit(False)))
+    if len(scans) == 1:
+        return scan(*scans[0])
+    drawn = None if ranges is None or fits(ranges, len(spans)) else prepared(written(ranges.select("lo", "hi").filter("lo <= hi")))
+    to = work_dir(spark)
+    for group, files in scans:
+        rows = scan(group, files)
+        if drawn is not None:
+            near = drawn.covers.filter((F.col("range_hi") >= group[0].lo) & (F.col("range_lo") <= group[-1].hi))
+            rows = in_any_range(rows, id, replace(drawn, covers=near))
+        rows.write.mode("append").parquet(to)
+    return spark.read.schema(picked(whole).schema).parquet(to)
 
 
 def read_ranges(spark: SparkSession, path: str, id: str, ranges: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows of a stored table in any of the disjoint ranges (lo, hi), each once."""
-    rows = read_spans(spark, path, id, spans_of(ranges), columns)
+    rows = read_spans(spark, path, id, spans_of(ranges), columns, ranges)
     return in_ranges(rows, id, ranges.select("lo", "hi")).drop("range_lo")
 
 
 def diff_sample_stored(spark: SparkSession, left: str, right: str, id: str, ranges: DataFrame) -> DataFrame:
     """`diff_sample` of two stored tables that opens only what the ranges (lo, hi, rows) touch."""
     spans = spans_of(ranges)
-    return diff_sample(read_spans(spark, left, id, spans), read_spans(spark, right, id, spans), id, ranges)
+    sides = [read_spans(spark, path, id, spans, ranges=ranges) for path in (left, right)]
+    return diff_sample(*sides, id, ranges)

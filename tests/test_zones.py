@@ -1,12 +1,13 @@
 """Reads by zone map: the same rows as a whole scan, and fewer bytes where ids are in order."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators.diff import diff_full, diff_sample
-from logtide.operators.sample import literal_ranges, sample_plan, sample_ranges
+from logtide.operators.sample import in_any_range, in_ranges, literal_ranges, prepared, sample_plan, sample_ranges
 from logtide.session import written
 from logtide.sources import zones
 from logtide.sources.zones import Span, diff_sample_stored, files_of, read_ranges, read_spans, spans_of, write_zoned, write_zones
@@ -107,3 +108,52 @@ def test_a_predicate_of_many_ranges_is_planned(spark):
     rows = spark.range(20_000).filter(literal_ranges("id", ranges)).filter(literal_ranges("id", ranges))
     assert rows.count() == 4_000
     assert spark.range(5).filter(literal_ranges("id", [])).count() == 0
+
+
+def scans_of(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_the_plan_does_not_grow_with_the_ranges(spark, stored, monkeypatch):
+    monkeypatch.setattr(zones, "SPELLED", 7)
+    pairs = [(k, k + 40) for k in range(0, 3 * ROWS, 3_000)]  # 60: nine scans
+    ranges = written(spark.createDataFrame(pairs, "lo bigint, hi bigint").join(rows(spark), F.col("rowid").between(F.col("lo"), F.col("hi"))).groupBy("lo", "hi").agg(F.count("*").alias("rows")))
+    spans = spans_of(ranges)
+    assert len(spans) == 60
+    for name in ("ordered", "shuffled", "bare"):
+        assert scans_of(read_spans(spark, stored[name], "rowid", spans)) == 1
+        assert scans_of(read_ranges(spark, stored[name], "rowid", ranges)) <= 2
+    found = diff_sample_stored(spark, stored["ordered"], stored["copy"], "rowid", ranges)
+    few = diff_sample_stored(spark, stored["ordered"], stored["copy"], "rowid", ranges.filter("lo < 9000"))
+    assert scans_of(found) == scans_of(few)
+    left, right = (spark.read.parquet(stored[n]) for n in ("ordered", "copy"))
+    want = diff_sample(left, right, "rowid", ranges).collect()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want), key=str) and len(want) > 60
+
+
+def test_of_spans_drawn_together_only_rows_in_ranges_are_kept(spark, stored, monkeypatch):
+    pairs = [(k, k + 1) for k in range(0, 100_000, 40)] + [(1, 5), (4, 200), (0, 70_000)]  # overlapping, of several lengths
+    ranges = spark.createDataFrame(pairs[:-1], "lo bigint, hi bigint")
+    monkeypatch.setattr(zones, "SPELLED", 7)
+    monkeypatch.setattr(zones, "spans_of", lambda ranges: spans_of(ranges, 100))
+    want = sorted(r.rowid for r in rows(spark).collect() if any(lo <= r.rowid <= hi for lo, hi in pairs[:-1]))
+    got = read_spans(spark, stored["ordered"], "rowid", spans_of(ranges, 100), ["n"], ranges)
+    assert got.columns == ["rowid", "n"] and sorted(r.rowid for r in got.collect()) == want
+    ready = prepared(spark.createDataFrame(pairs, "lo bigint, hi bigint"))
+    assert len(ready.levels) > 2
+    for small in (True, False):
+        some = in_any_range(rows(spark).filter("rowid < 80000"), "rowid", replace(ready, small=small))
+        assert some.count() == rows(spark).filter("rowid <= 70000 OR rowid < 80000 AND rowid % 40 <= 1").count()
+    # as from a whole scan: a row is there once for each range that it is in
+    whole = sorted(r.rowid for r in in_ranges(rows(spark), "rowid", ranges).collect())
+    assert sorted(r.rowid for r in read_ranges(spark, stored["ordered"], "rowid", ranges).collect()) == whole != want
+
+
+def test_spelled_ranges_may_overlap_and_lack_a_bound(spark):
+    ranges = [(k * 10, k * 10 + 3) for k in range(100)] + [(5, 500), (-7, -2), (None, 3), (2**40, 2**40 + 1)]
+    ids = spark.range(-20, 1_100).unionByName(spark.createDataFrame([(None,), (2**40,)], "id bigint"))
+    want = sorted(i for i in [*range(-20, 1_100), 2**40] if any(lo <= i <= hi for lo, hi in ranges if lo is not None))
+    assert sorted(r.id for r in ids.filter(literal_ranges("id", ranges)).collect()) == want
+    nested = ids.select(F.struct("id").alias("s"), F.col("id").alias("a b"))
+    for name in ("s.id", "a b", "`a b`"):
+        assert nested.filter(literal_ranges(name, ranges)).count() == len(want)
